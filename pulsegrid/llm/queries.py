@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .golay_simhash import op5_query
 from .line_dedup import OP1_SQL, op1_query
 
 QUERIES = {
     "op1_line_dedup": op1_query,
+    "op5_simhash_golay": op5_query,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
