@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from .golay_simhash import op5_query
+from .huffman import op9_query
 from .line_dedup import OP1_SQL, op1_query
+from .packing import op6_query
+from .word_bpe import op10_query
 
 QUERIES = {
     "op1_line_dedup": op1_query,
     "op5_simhash_golay": op5_query,
+    "op6_nnls_packing": op6_query,
+    "op9_huffman_tokens": op9_query,
+    "op10_word_bpe": op10_query,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
