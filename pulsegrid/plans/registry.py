@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_basic, q_signal  # noqa: F401
+from .register import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
