@@ -6,18 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def avg_rank(df: DataFrame, col: str, part: list[str] | None = None, desc: bool = True, out: str = "rank") -> DataFrame:
-    """Average rank of ties. Ranks come from counts of distinct values, so a common value is one row of the window."""
-    keys = [*(part or []), col]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+def upto_counts(counts: DataFrame, col: str, n: str, part: list[str], desc: bool, out: str) -> DataFrame:
+    """Adds the sum of ``n`` over rows up to and with each one in the order of a numeric ``col`` (NULL last).
+
+    Values fall into buckets at approximate quantiles of their part; sums run within buckets and are shifted by the
+    buckets before, so no part is ordered in one task.
+    """
+    steps = F.array(*[F.lit(k / 64) for k in range(1, 64)])
+    bounds = counts.groupBy(*part).agg(F.percentile_approx(F.col(col).cast("double"), steps, 1000).alias("_bounds"))
+    tagged = counts.join(F.broadcast(bounds), part) if part else counts.crossJoin(F.broadcast(bounds))
+    low = F.size(F.filter("_bounds", lambda b: b < F.col(col).cast("double")))
+    tagged = tagged.withColumn("_bucket", F.when(F.col(col).isNull(), 1000).otherwise(-low if desc else low)).drop("_bounds")
+    sums = tagged.groupBy(*part, "_bucket").agg(F.sum(n).alias("_sum"))
+    ahead = sums.select(*part, "_bucket", (F.sum("_sum").over(Window.partitionBy(*part).orderBy("_bucket")) - F.col("_sum")).alias("_ahead"))
     order = F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
-    upto = F.sum("_n").over(Window.partitionBy(*(part or [])).orderBy(order))
-    ranks = counts.withColumn(out, upto - (F.col("_n") - 1) / 2).drop("_n")
-    condition = [df[k].eqNullSafe(ranks[k]) for k in keys]
-    cond = condition[0]
-    for c in condition[1:]:
-        cond = cond & c
-    return df.join(ranks, cond).select(*[df[c] for c in df.columns], ranks[out])
+    local = F.sum(n).over(Window.partitionBy(*part, "_bucket").orderBy(order))
+    return tagged.withColumn("_local", local).join(F.broadcast(ahead), [*part, "_bucket"]).withColumn(out, F.col("_ahead") + F.col("_local")).drop("_bucket", "_local", "_ahead")
+
+
+def avg_rank(df: DataFrame, col: str, part: list[str] | None = None, desc: bool = True, out: str = "rank") -> DataFrame:
+    """Average rank of ties of a numeric column. Ranks come from counts of distinct values, so a common value is one row."""
+    part = part or []
+    counts = df.groupBy(*part, col).agg(F.count("*").alias("_n"))
+    ranks = upto_counts(counts, col, "_n", part, desc, "_upto").select(
+        *[F.col(k).alias(f"_k_{k}") for k in (*part, col)], (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)
+    )
+    condition = None
+    for k in (*part, col):
+        one = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        condition = one if condition is None else condition & one
+    return df.join(ranks, condition).select(*df.columns, out)
 
 
 def rank_diff(df: DataFrame, a: str, b: str, out: str = "rank_diff") -> DataFrame:
