@@ -146,29 +146,33 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def classification_report(cm: DataFrame) -> DataFrame:
-    """Per class, accuracy, macro and weighted averages; what divides by zero is 0."""
+    """Per class, accuracy, macro and weighted averages; what divides by zero is 0. The table is as small as the classes."""
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    right = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
-    rows = cm.groupBy(F.col("truth").alias("name")).agg(right.alias("hit"), F.sum("n").alias("support"))
-    cols = cm.groupBy(F.col("pred").alias("name")).agg(F.sum("n").alias("said"))
-    each = rows.join(cols, "name").select("name", "support", "hit", zero(F.col("hit"), F.col("said")).alias("precision"), zero(F.col("hit"), F.col("support")).alias("recall"))
+    sums = cm.withColumns({"support": F.sum("n").over(Window.partitionBy("truth")), "said": F.sum("n").over(Window.partitionBy("pred"))}).where("truth = pred")
+    each = sums.select(F.col("truth").alias("name"), "support", F.col("n").alias("hit"), zero(F.col("n"), F.col("said")).alias("precision"), zero(F.col("n"), F.col("support")).alias("recall"))
     each = each.withColumn("f1", zero(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     three = ("precision", "recall", "f1")
-    accuracy = F.sum("hit") / F.sum("support")
-    total = each.agg(F.sum("support").alias("support"), accuracy.alias("a"), *[F.avg(c).alias(f"m_{c}") for c in three], *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in three])
-    extra = [total.select(F.lit("accuracy").alias("name"), "support", *[F.col("a").alias(c) for c in three])]
-    extra += [total.select(F.lit(n).alias("name"), "support", *[F.col(f"{p}_{c}").alias(c) for c in three]) for n, p in (("macro avg", "m"), ("weighted avg", "w"))]
-    out = each.select("name", "support", *three)
-    for e in extra:
-        out = out.unionByName(e)
-    return out
+    total = F.sum("support")
+    row = lambda name, cols: F.struct(F.lit(name).alias("name"), total.alias("support"), *[c.alias(k) for k, c in zip(three, cols, strict=True)])
+    extra = F.array(
+        row("accuracy", [F.sum("hit") / total] * 3),
+        row("macro avg", [F.avg(c) for c in three]),
+        row("weighted avg", [F.sum(F.col(c) * F.col("support")) / total for c in three]),
+    )
+    listed = each.agg(F.collect_list(F.struct("name", "support", *three)).alias("own"), extra.alias("extra"))
+    return listed.select(F.explode(F.concat("own", "extra")).alias("r")).select("r.*")
+
 
+AVERAGES = {"macro": "macro avg", "micro": "accuracy", "weighted": "weighted avg"}
 
-def f1(cm: DataFrame, average: str = "macro") -> DataFrame:
-    report = classification_report(cm)
-    if average == "class":
-        return report.where(~F.col("name").isin("accuracy", "macro avg", "weighted avg")).select("name", "f1")
-    return report.where(F.col("name") == {"macro": "macro avg", "micro": "accuracy", "weighted": "weighted avg"}[average]).select("name", "f1")
+
+def f1(cm: DataFrame, *averages: str) -> DataFrame:
+    """F1 by name: 'macro', 'micro', 'weighted', or 'class' for every class."""
+    names = [AVERAGES[a] for a in averages if a != "class"]
+    keep = F.col("name").isin(names) if names else F.lit(False)
+    if "class" in averages:
+        keep = keep | ~F.col("name").isin(list(AVERAGES.values()))
+    return classification_report(cm).where(keep).select("name", "f1")
 
 
 def mixture_ratio(predictions: DataFrame, by: str, classes: tuple[str, ...], threshold: float = 0.8, only_confident: bool = False) -> DataFrame:
@@ -248,9 +252,8 @@ def pair_confusion(dist: DataFrame, cm: DataFrame) -> DataFrame:
 
 def distance_confusion(pairs: DataFrame) -> DataFrame:
     """Pearson and Spearman correlation and regression line of error on distance; NULL below three pairs."""
-    from .windows import avg_rank
-
-    ranked = avg_rank(avg_rank(pairs, "distance", desc=False, out="rd"), "error", desc=False, out="re")
+    average = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2  # noqa: E731  as few rows as class pairs
+    ranked = pairs.withColumns({"rd": average("distance"), "re": average("error")})
     enough = F.count("*") >= 3
     return ranked.agg(
         F.count("*").alias("n"), F.when(enough, F.corr("distance", "error")).alias("pearson"), F.when(enough, F.corr("rd", "re")).alias("spearman"),

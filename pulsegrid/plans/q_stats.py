@@ -173,8 +173,7 @@ def a14(spark, d):
 
 @query("a15_f1", _REPORT + f"SELECT name, {rn('f1')} AS f1 FROM r WHERE name <> 'weighted avg'")
 def a15(spark, d):
-    cm = _cm(spark, d)
-    return A.f1(cm, "class").union(A.f1(cm, "macro")).union(A.f1(cm, "micro")).select("name", n6("f1").alias("f1"))
+    return A.f1(_cm(spark, d), "class", "macro", "micro").select("name", n6("f1").alias("f1"))
 
 
 def _mix(where: str) -> str:

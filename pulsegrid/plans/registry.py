@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_basic, q_features, q_signal, q_stats, q_tables  # noqa: F401
+from . import q_basic, q_features, q_models, q_signal, q_stats, q_tables  # noqa: F401
 from .register import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
