@@ -5,6 +5,10 @@
 2. The words of one bucket, from all blocks, meet in one task; each distinct word is encoded once.
 3. Ids go back to the blocks by bucket and order, and to the documents by position.
 4. Decoding looks every id up in the table of pieces, whose size is the vocabulary's.
+
+Texts are read and split twice, once for words and once for positions, because a stored copy of the positions would cost
+more disk than the second reading costs time. Blocks are numbered by partition and carry a checksum of their words; the
+two readings are matched by both, and a block without its words is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import table, text_or_empty
 from .tokens import in_batches, load_tokenizer, pack, unpack
 
 WORD_BPE = "word_bpe_49k.json"
@@ -75,48 +79,68 @@ class _Slots(dict):
         return n
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("buckets", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))])
-_BLOCKS_SQL = "block long, docs array<bigint>, counts array<bigint>, codes binary, buckets array<bigint>, words array<binary>"
+_WORDS = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
+_CODES = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+
+
+def _blocks(batches, split):
+    """(block, documents, word counts, distinct words by number, numbers of all positions) of consecutive rows."""
+    part, number = TaskContext.get().partitionId(), 0
+    slots, docs, counts, codes, chars = _Slots(), [], [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = split(text)
+            docs.append(doc)
+            counts.append(len(words))
+            codes.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
+            chars += len(text)
+            if chars >= BLOCK_CHARS:
+                yield part << 33 | number, docs, counts, list(slots), codes
+                slots, docs, counts, codes, chars, number = _Slots(), [], [], [], 0, number + 1
+    if docs:
+        yield part << 33 | number, docs, counts, list(slots), codes
+
 
+def _order(words: list[str], n_buckets: int) -> tuple[list[int], list[int], int]:
+    """Bucket of each word, the order by bucket and word, and a checksum of the words in that order."""
+    home = [zlib.crc32(w.encode()) % n_buckets for w in words]
+    order = sorted(range(len(words)), key=lambda k: (home[k], words[k]))
+    return home, order, zlib.crc32("\n".join([words[k] for k in order]).encode())
 
-def _split_batches(tokenizer: str, n_buckets: int):
+
+def _word_batches(tokenizer: str, n_buckets: int):
     def rows(batches):
-        split, press = word_level(tokenizer).split, zstandard.ZstdCompressor(level=3)
-        part, number = TaskContext.get().partitionId(), 0
-        slots, docs, counts, codes, chars = _Slots(), [], [], [], 0
-
-        def close():
-            words = list(slots)
-            home = np.fromiter((zlib.crc32(w.encode()) % n_buckets for w in words), np.int64, len(words))
-            order = sorted(range(len(words)), key=lambda k: (home[k], words[k]))
+        press = zstandard.ZstdCompressor(level=3)
+        for block, _, _, words, _ in _blocks(batches, word_level(tokenizer).split):
+            home, order, mark = _order(words, n_buckets)
+            start = 0
+            for end in range(1, len(order) + 1):
+                if end == len(order) or home[order[end]] != home[order[start]]:
+                    yield block, mark, home[order[start]], press.compress("\n".join([words[k] for k in order[start:end]]).encode())
+                    start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows(batches), _WORDS, lambda r: len(r[3]))
+
+    return run
+
+
+def _code_batches(tokenizer: str, n_buckets: int):
+    def rows(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for block, docs, counts, words, codes in _blocks(batches, word_level(tokenizer).split):
+            _, order, mark = _order(words, n_buckets)
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            buckets, starts = np.unique(home[order], return_index=True)
-            bounds = [*starts.tolist(), len(words)]
-            packed = [press.compress("\n".join([words[k] for k in order[a:b]]).encode()) for a, b in zip(bounds, bounds[1:], strict=False)]
-            at = place[np.concatenate(codes)] if len(words) else np.zeros(0, np.int64)
-            return part << 33 | number, docs, counts, pack(at, press), buckets.tolist(), packed
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = split(text)
-                docs.append(doc)
-                counts.append(len(words))
-                codes.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
-                chars += len(text)
-                if chars >= BLOCK_CHARS:
-                    yield close()
-                    slots, docs, counts, codes, chars, number = _Slots(), [], [], [], 0, number + 1
-        if docs:
-            yield close()
+            yield block, mark, docs, counts, pack(place[np.concatenate(codes)], press)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _BLOCKS, lambda r: len(r[3]) + sum(map(len, r[5])))
+        return in_batches(rows(batches), _CODES, lambda r: len(r[4]))
 
     return run
 
 
-_ENCODED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_ENCODED = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode_batches(tokenizer: str):
@@ -127,7 +151,7 @@ def _encode_batches(tokenizer: str):
         known: dict[str, np.ndarray] = {}
         now = None
         for batch in batches:
-            for bucket, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, block, mark, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     known, now = {}, bucket
                 words = expand.decompress(packed).decode().split("\n")
@@ -136,10 +160,10 @@ def _encode_batches(tokenizer: str):
                     known[w] = np.array(ids, np.uint32)
                 found = [known[w] for w in words]
                 sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                yield block, bucket, pack(sizes, press), pack(np.concatenate(found), press)
+                yield block, mark, bucket, pack(sizes, press), pack(np.concatenate(found), press)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _ENCODED, lambda r: len(r[2]) + len(r[3]))
+        return in_batches(rows(batches), _ENCODED, lambda r: len(r[3]) + len(r[4]))
 
     return run
 
@@ -164,6 +188,8 @@ def _join_batches(tokenizer: str):
         pieces = np.array(pieces_of(tokenizer), object)
         for batch in batches:
             for docs, counts, codes, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts is None and sum(counts):
+                    raise RuntimeError("two readings of the input gave different blocks")
                 parts = sorted(parts or [], key=lambda p: p["bucket"])
                 sizes = np.concatenate([unpack(p["sizes"], expand) for p in parts] or [np.zeros(0)]).astype(np.int64)
                 flat = np.concatenate([unpack(p["ids"], expand) for p in parts] or [np.zeros(0)]).astype("<u4")
@@ -193,14 +219,12 @@ def word_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     spark = docs.sparkSession
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    blocks = stored(texts.mapInArrow(_split_batches(tokenizer, n_buckets), _BLOCKS_SQL), "word-blocks")
-    words = blocks.select("block", F.explode(F.arrays_zip("buckets", "words")).alias("w")).select(
-        F.col("w.buckets").alias("bucket"), "block", F.col("w.words").alias("words")
-    )
-    grouped = words.repartition("bucket").sortWithinPartitions("bucket")
-    encoded = grouped.mapInArrow(_encode_batches(tokenizer), "block long, bucket long, sizes binary, ids binary")
-    gathered = encoded.groupBy("block").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
-    joined = blocks.select("block", "docs", "counts", "codes").join(gathered, "block", "left").select("docs", "counts", "codes", "parts")
+    words = texts.mapInArrow(_word_batches(tokenizer, n_buckets), "block long, mark long, bucket long, words binary")
+    grouped = words.select("bucket", "block", "mark", "words").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = grouped.mapInArrow(_encode_batches(tokenizer), "block long, mark long, bucket long, sizes binary, ids binary")
+    gathered = encoded.groupBy("block", "mark").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
+    blocks = texts.mapInArrow(_code_batches(tokenizer, n_buckets), "block long, mark long, docs array<bigint>, counts array<bigint>, codes binary")
+    joined = blocks.join(gathered, ["block", "mark"], "left").select("docs", "counts", "codes", "parts")
     return joined.mapInArrow(_join_batches(tokenizer), "doc_id long, ids binary, decoded string")
 
 
