@@ -119,3 +119,8 @@ def label_index(df: DataFrame, label: str = "label", out: str = "y") -> DataFram
 
     names = df.select(label).distinct().withColumn(out, F.row_number().over(Window.orderBy(label)) - 1)
     return df.join(F.broadcast(names), label)
+
+
+def correlation(a, b) -> Column:
+    """Pearson correlation; NULL where either side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import argmax_prob, feature_category, sample_name, status_of
+from pulsegrid.functions.columns import argmax_prob, correlation, feature_category, sample_name, status_of
 
 
 def count_summary(files: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def distance_confusion(pairs: DataFrame) -> DataFrame:
     ranked = pairs.withColumns({"rd": average("distance"), "re": average("error")})
     enough = F.count("*") >= 3
     return ranked.agg(
-        F.count("*").alias("n"), F.when(enough, F.corr("distance", "error")).alias("pearson"), F.when(enough, F.corr("rd", "re")).alias("spearman"),
+        F.count("*").alias("n"), F.when(enough, correlation("distance", "error")).alias("pearson"), F.when(enough, correlation("rd", "re")).alias("spearman"),
         F.when(enough, F.regr_slope("error", "distance")).alias("slope"), F.when(enough, F.regr_intercept("error", "distance")).alias("intercept"),
     )
 

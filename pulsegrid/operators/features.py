@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.columns import correlation
+
 REACH = 6  # furthest neighbour that a calculator uses
 
 
@@ -40,12 +42,12 @@ def windowed(series: DataFrame) -> DataFrame:
 
 def _skew() -> Column:
     n = F.count("_x")
-    return F.when(n >= 3, F.skewness("_x") * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n >= 3, F.try_divide(F.skewness("_x") * F.sqrt(n * (n - 1)), n - 2))
 
 
 def _kurt() -> Column:
     n = F.count("_x")
-    return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis("_x") + 6))
+    return F.when(n >= 4, F.try_divide((n - 1) * ((n + 1) * F.kurtosis("_x") + 6), (n - 2) * (n - 3)))
 
 
 def _fft(coeff: int, attr: str) -> Column:
@@ -65,7 +67,7 @@ def _peaks(n: int) -> Column:
 
 def _trend(attr: str) -> Column:
     x, y = _c("_t"), _c("_x")
-    return {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "rvalue": F.corr(y, x)}[attr]
+    return {"slope": F.regr_slope(y, x), "intercept": F.regr_intercept(y, x), "rvalue": correlation(y, x)}[attr]
 
 
 def _chunk_trend(size: int) -> Column:
@@ -81,14 +83,14 @@ def _location(which: str, end: str) -> Column:
 def _autocorrelation(lag: int) -> Column:
     product = F.sum((_c("_x") - _c("_mu")) * (_c(f"_lead{lag}") - _c("_mu")))
     n, var = F.count("_x"), F.var_pop("_x")
-    return F.when((n > lag) & (var > 0), product / ((n - lag) * var))
+    return F.when((n > lag) & (var > 0), F.try_divide(product, (n - lag) * var))
 
 
 def _second() -> Column:
     n = F.count("_x")
     end = F.max_by("_x", "_t") - F.max(F.when(_c("_t") == _c("_n") - 2, _c("_x")))
     start = F.max(F.when(_c("_t") == 1, _c("_x"))) - F.min_by("_x", "_t")
-    return F.when(n > 2, (end - start) / (2 * (n - 2)))
+    return F.when(n > 2, F.try_divide(end - start, 2 * (n - 2)))
 
 
 #: calculator -> function of its parameters that gives a Column to aggregate; new ones may be registered
@@ -125,7 +127,7 @@ CALCULATORS: dict[str, Callable[..., Column]] = {
     "time_reversal_asymmetry_statistic": lambda lag: F.coalesce(
         F.avg(_c(f"_lead{2 * lag}") * _c(f"_lead{2 * lag}") * _c(f"_lead{lag}") - _c(f"_lead{lag}") * _c("_x") * _c("_x")), F.lit(0.0)
     ),
-    "mean_change": lambda: F.when(F.count("_x") > 1, (F.max_by("_x", "_t") - F.min_by("_x", "_t")) / (F.count("_x") - 1)),
+    "mean_change": lambda: F.try_divide(F.max_by("_x", "_t") - F.min_by("_x", "_t"), F.count("_x") - 1),
     "mean_second_derivative_central": _second,
     "ratio_beyond_r_sigma": lambda r: F.count_if(F.abs(_c("_x") - _c("_mu")) > r * _c("_sd")) / F.count("_x"),
     "symmetry_looking": lambda r: (F.abs(F.avg("_x") - F.median("_x")) < r * (F.max("_x") - F.min("_x"))).cast("int"),

@@ -126,7 +126,7 @@ def learning_curve(model: Boosted, df: DataFrame, label: str = "label") -> DataF
     rows = []
     for c, m in zip(model.classes, model.models, strict=True):
         m = m.copy({m.featuresCol: "_x", m.labelCol: "_y"})
-        losses = m.evaluateEachIteration(x.withColumn("_y", (F.col(label) == c).cast("double")), "logistic")
+        losses = m.evaluateEachIteration(x.withColumn("_y", (F.col(label) == c).cast("double")))
         rows += [(str(c), k + 1, float(v)) for k, v in enumerate(losses)]
     return df.sparkSession.createDataFrame(rows, "class string, round int, loss double")
 
