@@ -38,7 +38,7 @@ _GENERATOR = 0b110001110101  # fixed value: generator polynomial of the binary G
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(data: bytes, shingle: int = 3) -> int:
+def fingerprint(data: bytes, shingle: int = 3, seed: int = SEED) -> int:
     """SimHash of UTF-8 text: ASCII letters lower-cased, words between ASCII white space, majority of each hash bit."""
     words = data.lower().split()
     if not words:
@@ -49,7 +49,7 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
         runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(r, SEED) for r in runs), np.uint64, n)
+    hashes = np.fromiter((digest(r, seed) for r in runs), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         bits = np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -57,21 +57,24 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def _fingerprint_batches(shingle: int):
+def _fingerprint_batches(shingle: int, seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            found = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = [pa.array(np.fromiter((fingerprint(t or b"", shingle, s) for t in texts), np.uint64, len(texts)).view(np.int64)) for s in seeds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", *_names(len(seeds))])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp long): one row per input row; null and empty texts have fingerprint 0."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _fingerprint_batches(shingle), "id long, fp long"
-    )
+def _names(n: int) -> list[str]:
+    return ["fp", *[f"fp{k}" for k in range(1, n)]]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fp long, and fp1, ... for further seeds): one row per input row; null and empty texts have fingerprint 0."""
+    schema = ", ".join(["id long", *[f"{n} long" for n in _names(len(seeds))]])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(shingle, seeds), schema)
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -239,25 +242,49 @@ def fingerprint_links(distinct: DataFrame, limit: int = MAX_BITS, block: int = B
     return grouped.sortWithinPartitions("key", "x", "y").mapInArrow(_edge_batches(limit), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """(id, fp long, component_id): one row per input row; component_id is the smallest id reachable by links.
 
+    With several seeds a document has as many fingerprints, and two documents link where those of any one seed do; that
+    finds more of the pairs whose texts are alike without more differing bits, at the cost of a pass of keys per seed.
+
     Defined cases: null and empty texts have fingerprint 0 and link like any other; a null id takes part, never
     names a component unless all ids of it are null (then component_id is null); repeated rows stay; an empty
     table gives an empty table; other columns of ``docs`` are not read.
     """
-    found = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(distinct, limit)).withColumnRenamed("node", "fp")
-    nodes = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "nodes")
+    found = stored(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    if len(seeds) == 1:
+        distinct = found.groupBy("fp").agg(F.min("id").alias("least"))
+        roots = connected_components(fingerprint_links(distinct, limit)).withColumnRenamed("node", "fp")
+        nodes = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "nodes")
+        key = ["fp"]
+    else:
+        key = _names(len(seeds))
+        tuples = stored(found.groupBy(*key).agg(F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "*"), "tuples")
+        roots = connected_components(_seed_links(tuples, key, limit))
+        nodes = stored(tuples.join(roots, "node", "left").select(*key, "least", F.coalesce("root", "node").alias("root")), "nodes")
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(names, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("id", "fp", "component_id")
+    named = nodes.join(names, "root").select(*key, "component_id")
+    return found.join(named, key).select("id", "fp", "component_id")
+
+
+def _seed_links(tuples: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """Edges between nodes: each with the first node of its fingerprint of each seed, and first nodes whose fingerprints link."""
+    out = None
+    for name in key:
+        first = tuples.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("first"))
+        same = tuples.join(first, tuples[name] == first["fp"]).select(F.col("node").alias("u"), F.col("first").alias("v"))
+        links = fingerprint_links(first, limit)
+        a, b = first.select(F.col("fp").alias("u"), F.col("first").alias("nu")), first.select(F.col("fp").alias("v"), F.col("first").alias("nv"))
+        near = links.join(a, "u").join(b, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+        both = same.union(near)
+        out = both if out is None else out.union(both)
+    return out
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """Rows of ``docs`` whose id names its component; of rows that share that id one stays. Rows without id stay."""
-    firsts = near_duplicates(docs, id_col, text_col, shingle, limit).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
+    firsts = near_duplicates(docs, id_col, text_col, shingle, limit, seeds).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
     kept = docs.join(firsts, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))
 

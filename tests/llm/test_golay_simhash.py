@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import golay_simhash as G
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, seed=42):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words, word = [], ""
     for c in low + " ":
@@ -20,11 +20,13 @@ def slow_fingerprint(text):
     if not words:
         return 0
     runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)]
-    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    hashes = [xxhash.xxh64_intdigest(r.encode(), seed) for r in runs]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def slow_components(ids, fps, limit=3):
+    """fps: one fingerprint a row, or a tuple of them."""
+    fps = [f if isinstance(f, tuple) else (f,) for f in fps]
     root = list(range(len(ids)))
 
     def find(i):
@@ -34,7 +36,7 @@ def slow_components(ids, fps, limit=3):
 
     for i in range(len(ids)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= limit:
+            if any((a ^ b).bit_count() <= limit for a, b in zip(fps[i], fps[j], strict=True)):
                 root[find(i)] = find(j)
     least = {}
     for i in range(len(ids)):
@@ -103,6 +105,14 @@ def test_blocks_and_dense_groups(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_several_seeds(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    seeds = (42, 1, 2)
+    want = slow_components([r.doc_id for r in rows], [tuple(slow_fingerprint(r.text, s) for s in seeds) for r in rows])
+    assert {(r.id, r.component_id) for r in G.near_duplicates(docs, seeds=seeds).collect()} == want
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "one two three four"), (5, "one two three four"), (6, "x " * 30000)]
     docs = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, fp string, component_id int")
