@@ -29,6 +29,7 @@ MAX_CANDIDATES = 3000
 MIN_TEXTS = 3
 MIN_ODDS = 10.0
 MIN_G = 15.0
+COMMON_SHARE = 0.05
 FOLDS = 5
 SHORTEST, LONGEST = 3, 10
 CHAIN = ("abusive", "repeated", "toxic")
@@ -119,8 +120,17 @@ def log_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return np.where(odds >= MIN_ODDS, out, 0)
 
 
-def pick_terms(held: np.ndarray, toxic: np.ndarray, max_terms: int) -> list[int]:
-    """Columns of held (text x candidate), each the most telling one for toxic texts that none before it covers."""
+def _akin(a: bytes, b: bytes) -> bool:
+    a, b = a.lstrip(b"="), b.lstrip(b"=")
+    return a.startswith(b) or b.startswith(a)
+
+
+def pick_terms(held: np.ndarray, toxic: np.ndarray, names: list[bytes], max_terms: int) -> list[int]:
+    """Columns of held (text x candidate), each the most telling one for toxic texts that none before it covers.
+
+    After them come terms of many toxic texts that always stood beside others so far (a share of ``COMMON_SHARE`` at
+    least), unless a picked term begins like them.
+    """
     open_, clean, picked = toxic.copy(), ~toxic, []
     b = held[clean].sum(axis=0).astype(float)
     while len(picked) < max_terms and open_.sum() >= MIN_TEXTS:
@@ -131,6 +141,13 @@ def pick_terms(held: np.ndarray, toxic: np.ndarray, max_terms: int) -> list[int]
             break
         picked.append(best)
         open_ &= ~held[:, best]
+    a = held[toxic].sum(axis=0).astype(float)
+    g = np.where(a >= max(MIN_TEXTS, COMMON_SHARE * toxic.sum()), log_ratio(a, b, int(toxic.sum()), int(clean.sum())), 0)
+    for k in np.argsort(-g, kind="stable"):
+        if g[k] < MIN_G or len(picked) >= max_terms:
+            break
+        if not any(_akin(names[k], names[p]) for p in picked):
+            picked.append(int(k))
     return picked
 
 
@@ -235,7 +252,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     held = np.zeros((len(rows), len(candidates)), bool)
     for k, r in enumerate(rows):
         held[k, r.which] = True
-    picked = pick_terms(held, y > 0, max_terms)
+    picked = pick_terms(held, y > 0, candidates, max_terms)
     place = {c: k for k, c in enumerate(picked)}
     own = [{place[c]: n for c, n in zip(r.which, r.many, strict=True) if c in place} for r in rows]
     x = np.array([feature_row(o, r.n, len(picked)) for o, r in zip(own, rows, strict=True)])
