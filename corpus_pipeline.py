@@ -16,6 +16,9 @@ from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.pii import sanitise
 from pulsegrid.llm.toxicity import drop_toxic
 
+#: One fingerprint of 64 bits misses many near copies at three differing bits; documents link where any of these does.
+SEEDS = (42, 1, 2, 3)
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,7 +35,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, seeds=SEEDS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
