@@ -87,7 +87,8 @@ def train_boosted(df: DataFrame, features: list[str], label: str = "label", roun
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     if len(classes) < 2:
         raise ValueError("training needs two classes at least")
-    x = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
+    kept = [label, "_x", *([validation] if validation else [])]
+    x = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df).select(*kept).persist()
     strategy = "all" if colsample >= 1 else str(colsample)
     models = []
     for c in classes:
@@ -95,6 +96,7 @@ def train_boosted(df: DataFrame, features: list[str], label: str = "label", roun
         if validation:
             gbt = gbt.setValidationIndicatorCol(validation)
         models.append(gbt.fit(x.withColumn("_y", (F.col(label) == c).cast("double"))))
+    x.unpersist()
     return Boosted(models, classes, features)
 
 
