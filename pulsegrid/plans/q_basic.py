@@ -133,7 +133,7 @@ def a24(spark, d):
 
 @query("p1_to_sample_index", """
 SELECT event_id, trunc(value / 7 * 10000)::INTEGER AS peak_idx, trunc(value / 9 * 10000)::INTEGER AS start_idx, trunc(-value / 9 * 10000)::INTEGER AS end_idx,
-  trunc(value * 10)::INTEGER AS tl, value AS region_bl, value - 50 AS region_std FROM events
+  trunc(value * 10)::INTEGER AS tl, round(value, 6) AS region_bl, round(value - 50, 6) AS region_std FROM events
 """)
 def p1(spark, d):
     v = F.col("value")
