@@ -205,7 +205,7 @@ def _term_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for toxic, text in zip(part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
             for t in {t for w in set(words_of(text or b"")) if len(w) >= SHORTEST for t in beginnings(w)}:
                 sums.setdefault(t, [0, 0])[0 if toxic else 1] += 1
-            if len(sums) > 300_000:
+            if len(sums) > 100_000:
                 yield out()
                 sums.clear()
     yield out()
