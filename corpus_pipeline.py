@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import stored, table
-from pulsegrid.llm.golay_simhash import drop_near_duplicates
 from pulsegrid.llm.line_dedup import line_dedup
+from pulsegrid.llm.near_copies import drop_near_copies
 from pulsegrid.llm.packing import pack_documents
 from pulsegrid.llm.pii import sanitise
 from pulsegrid.llm.toxicity import drop_toxic
 
-#: One fingerprint of 64 bits misses many near copies at three differing bits; documents link where any of these does.
+#: Seeds of the SimHash candidates; MinHash bands give further ones, and five-word similarity of 0.8 decides.
 SEEDS = (42, 1, 2, 3)
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +35,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs, seeds=SEEDS)
+    return drop_near_copies(docs, seeds=SEEDS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
