@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: Texts that are encoded together.
+TEXTS = 1000
 
 
 def resolve(tokenizer: str) -> str:
@@ -37,37 +41,25 @@ def load_tokenizer(tokenizer: str):
     return lib
 
 
-def _byte_symbols() -> dict[str, int]:
-    """The printable stand-ins of the 256 bytes in byte-level vocabularies, by their published rule."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
-def _twin(spec: dict):
-    """The same vocabulary as a tiktoken encoding, where the file is a plain byte-level BPE whose ids follow its merges."""
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
-        return None
-    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    made = [model["vocab"][a + b] for a, b in pairs]
-    if any(x >= y for x, y in zip(made, made[1:], strict=False)):
-        return None
-    import public_tokenizers
-    import tiktoken
-
-    byte = _byte_symbols()
-    own = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(map(byte.__getitem__, token)): i for token, i in model["vocab"].items() if token not in own}
-    return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+# fixed value: the split pattern of byte-level vocabularies, with its classes written out for Latin-1
+_LATIN = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d"
+    r"| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
+    r"| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+    r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])"
+    r"|[\t-\r \x85\xa0]+"
+)
+#: Distinct pieces, and characters of them, that a worker process keeps encoded; beyond that it starts anew.
+KNOWN_PIECES, KNOWN_CHARS = 400_000, 20_000_000
 
 
 class ByteLevelIds:
-    """Ids as the tokenizers library gives them with ``add_special_tokens=False``.
+    """Ids as the tokenizers library gives them with ``add_special_tokens=False``; the library makes all of them.
 
-    Latin-1 texts without added tokens go through a several times faster implementation of the same vocabulary;
-    every other text goes through the library itself. Tests hold both against each other.
+    A byte-level vocabulary encodes each pre-token on its own. Latin-1 texts without added tokens are therefore cut into
+    pre-tokens here and the library encodes each distinct one once; every other text it encodes as a whole. Tests hold
+    both against the library on whole texts.
     """
 
     def __init__(self, tokenizer: str):
@@ -75,17 +67,59 @@ class ByteLevelIds:
         with open(resolve(tokenizer), encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.twin = _twin(spec)
-        self.wide = self.lib.get_vocab_size(with_added_tokens=True) > 65536
-
-    def one(self, text: str) -> np.ndarray:
-        if self.twin is not None and not any(a in text for a in self.added):
-            try:
-                text.encode("latin-1")
-                return self.twin.encode_to_numpy(text, disallowed_special=())
-            except UnicodeEncodeError:
-                pass
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self._restart()
+
+    def _restart(self) -> None:
+        self.place, self.chars = _Places(), 0
+        self.sizes, self.starts, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if not self.by_piece or any(a in text for a in self.added):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return _LATIN.findall(text)
+
+    def _learn(self) -> None:
+        new = list(itertools.islice(self.place, len(self.sizes), None))
+        self.chars += sum(map(len, new))
+        found = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > KNOWN_PIECES or self.chars > KNOWN_CHARS:
+            self._restart()
+        places: list[np.ndarray | None] = []
+        for text in texts:
+            pieces = self._pieces(text)
+            places.append(None if pieces is None else np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces)))
+        self._learn()
+        whole = iter(self.lib.encode_batch_fast([t for t, p in zip(texts, places, strict=True) if p is None], add_special_tokens=False))
+        out = []
+        for own in places:
+            if own is None:
+                out.append(np.array(next(whole).ids, np.uint32))
+                continue
+            sizes = self.sizes[own]
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(own) else 0)
+            out.append(self.flat[at].astype(np.uint32))
+        return out
+
+
+class _Places(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 @functools.lru_cache(maxsize=2)
@@ -125,9 +159,11 @@ def _token_batches(tokenizer: str, end_id: int | None):
         encode, press = byte_level(tokenizer), zstandard.ZstdCompressor(level=1)
         end = [] if end_id is None else [end_id]
         for batch in batches:
-            for key, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.concatenate([encode.one(text), np.array(end, np.uint32)])
-                yield key, doc, len(ids), pack(ids, press)
+            for at in range(0, batch.num_rows, TEXTS):
+                keys, docs, texts = (c.to_pylist() for c in batch.slice(at, TEXTS).columns)
+                for key, doc, found in zip(keys, docs, encode.many(texts), strict=True):
+                    ids = np.concatenate([found, np.array(end, np.uint32)])
+                    yield key, doc, len(ids), pack(ids, press)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches(rows(batches), _TOKENS, lambda r: len(r[3]))

@@ -8,23 +8,35 @@ def library_ids(text):
     return lib.encode(text, add_special_tokens=False).ids
 
 
-def test_fast_twin_gives_the_library_ids():
-    encoder = T.byte_level(T.BYTE_BPE)
-    assert encoder.twin is not None
+def texts_of_all_kinds():
     rng = random.Random(4)
     latin = [chr(c) for c in range(256)]
     letters = "abcdefghijklmnopqrstuvwxyzéñßü"
-    texts = ["", " ", "\n\n  \n", "a" * 3000, " \t" * 500, "don't we'll I'M x's 12 3.4,5", "\x85\xa0a\x1c b", "<|endoftext|>", "a<|endoftext|> b", "日本 é", "é"]
+    texts = ["", " ", "\n\n  \n", "a" * 3000, " \t" * 500, "don't we'll I'M x's 12 3.4,5", "\x85\xa0a\x1c b", "<|endoftext|>", "a<|endoftext|> b", "日本 é", "é"]
     texts += ["".join(rng.choice(latin) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
     texts += ["".join(rng.choice(letters + "  \n") for _ in range(rng.randint(1, 200))) for _ in range(3000)]
-    lib = encoder.lib
-    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encoder.one(text).tolist() == want.ids, repr(text)
+    return texts
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    encoder = T.byte_level(T.BYTE_BPE)
+    assert encoder.by_piece
+    texts = texts_of_all_kinds()
+    got = [ids.tolist() for at in range(0, len(texts), 700) for ids in encoder.many(texts[at : at + 700])]
+    want = [e.ids for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
+    assert got == want
+
+
+def test_starting_anew_changes_nothing(monkeypatch):
+    texts = texts_of_all_kinds()[:600]
+    want = [ids.tolist() for ids in T.ByteLevelIds(T.BYTE_BPE).many(texts)]
+    monkeypatch.setattr(T, "KNOWN_PIECES", 50)
+    encoder = T.ByteLevelIds(T.BYTE_BPE)
+    assert [ids.tolist() for at in range(0, 600, 7) for ids in encoder.many(texts[at : at + 7])] == want
 
 
-def test_twin_on_the_documents(spark):
+def test_ids_of_all_documents(spark):
     encoder = T.byte_level(T.BYTE_BPE)
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    texts = [r.text for r in rows if r.text is not None]
-    for text, want in zip(texts, encoder.lib.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encoder.one(text).tolist() == want.ids
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    texts = [r.text or "" for r in rows]
+    assert [ids.tolist() for ids in encoder.many(texts)] == [e.ids for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
