@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in local mode) a folder of this process is made and removed at its end.
+    Only where that is unset and the session is local (tests) a folder of this process is made and removed at its end;
+    on a cluster no other machine would see such a folder, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_dirs:
         _own_dirs[key] = tempfile.mkdtemp(prefix="pulsegrid-shared-")
@@ -40,12 +43,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """Has the folder removed when the application ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
+def boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, hash, t): all columns of ``docs`` as one struct, so that none of their names can meet an internal one,
+    with its id, the hash of its text, and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("t"))
+
+
 def same(left, right):
     """Equality under which null equals null; Spark plans it as an equi-join."""
     return left.eqNullSafe(right)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import passing, shared_dir, table
 from .tokens import BYTE_BPE, in_batches, token_table, unpack
 
 MAX_LENGTH = 20
@@ -232,4 +232,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def op9_query(spark, sf_dir):
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path)
+    passing(spark, path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,9 +1,9 @@
 import corpus_pipeline as C
-from pulsegrid.llm import pii, toxicity
+from pulsegrid.llm import toxicity
 
-from .test_golay_simhash import slow_components, slow_fingerprint
+from .test_near_copies import slow_components
 from .test_packing import SF, check_layout, ids_of
-from .test_pii import slow_terms, base_spans
+from .test_pii import slow_sanitised
 
 
 def slow_lines(rows):
@@ -21,19 +21,6 @@ def slow_lines(rows):
     return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in cut)) for i, t in rows]
 
 
-def slow_sanitised(rows):
-    terms, out = slow_terms(rows), []
-    for i, text in rows:
-        spans = sorted([(a, -b, k, f"[{pii.KINDS[k].upper()}]") for k, a, b in base_spans(text)] + [(a, -b, 4, "" if r >= pii.REMOVE else "[TERM]") for (a, b), r in terms.get((i, text), {}).items()])
-        new, at = "", 0
-        for a, b, _, tag in spans:
-            if a >= at:
-                new += text[at:a] + tag
-            at = max(at, -b)
-        out.append((i, new + text[at:]))
-    return out
-
-
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in C.STAGES[:-1]:
@@ -51,7 +38,7 @@ def test_stages_against_brute_force(spark):
         elif name == "line_dedup":
             want = slow_lines(before)
         elif name == "simhash_near_dedup":
-            named = slow_components([i for i, _ in before], [tuple(slow_fingerprint(t, s) for s in C.SEEDS) for _, t in before])
+            named = slow_components(before)
             want = [(i, t) for i, t in before if (i, i) in named]
         else:
             want = slow_sanitised(before)
