@@ -4,12 +4,17 @@ Categories are predicted one after the other by linear (logistic) models. A late
 earlier categories; for its training these are out-of-fold predictions, so that it sees them as uncertain as they will be
 on new texts.
 
+Categories are label columns where the labels table has them. The given table has one flag, ``toxic``; the default chain
+crosses it with a column of the documents that is no input of a score, their language: toxic in the main language of the
+labelled texts (``main``), toxic in another one (``other``), toxic at all. Insults differ by language, so the last model
+joins two detectors.
+
 Features are occurrences of telling terms: beginnings of words (and whole words) whose share among labelled toxic texts is
 many times their share among the others. Terms are picked one by one, each for the toxic texts that none before it covers.
-The labels table holds one flag, ``toxic``; the default chain puts two weak categories before it, made from the same
-labelled texts: ``abusive`` (a telling term occurs) and ``repeated`` (three or more occurrences).
+Each fold picks its own terms and fits its own models on the other folds only, so neither out-of-fold probabilities nor the
+threshold, which is the cut of largest F1 among them, have seen the labels that they are held against.
 
-The fit uses at most ``max_labelled`` labelled rows (by hash order of the id); scoring covers all rows and whole texts.
+The fit uses at most ``max_labelled`` labelled texts (by hash order of the id); scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -18,21 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
 
 MAX_LABELLED = 20_000
-MAX_TERMS = 96
-MAX_CANDIDATES = 3000
 MIN_TEXTS = 3
 MIN_ODDS = 10.0
 MIN_G = 15.0
 COMMON_SHARE = 0.05
 FOLDS = 5
 SHORTEST, LONGEST = 3, 10
-CHAIN = ("abusive", "repeated", "toxic")
+CHAIN = ("main", "other", "toxic")
 
 #: ASCII letters in lower case; other ASCII characters part words; bytes of other letters stay.
 _FOLD = bytes((c | 32) if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,8 +47,9 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def beginnings(word: bytes) -> list[bytes]:
-    """The word's first 3 to 10 bytes and, behind a mark, the word as a whole."""
-    return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [b"=" + word[:40]]
+    """The word's first 3 to 10 bytes and, behind a mark, the word as a whole (long ones by a hash)."""
+    whole = word if len(word) <= 64 else word[:SHORTEST] + b"#" + xxhash.xxh3_128_hexdigest(word).encode()
+    return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [b"=" + whole]
 
 
 # ---------------------------------------------------------------- linear models and the chain
@@ -71,16 +76,19 @@ def predict_logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """One model per column of ``labels``, and the out-of-fold probabilities of all columns."""
+def fit_chain(views: list[np.ndarray], x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """One model per column of ``labels`` on the features ``x``, and the out-of-fold probabilities of all columns.
+
+    ``views[f]`` are the features of all rows as fold ``f`` sees them, made without its labels.
+    """
     models, seen = [], np.zeros((len(x), 0))
     for k in range(labels.shape[1]):
-        full = np.hstack([x, seen])
-        models.append(fit_logistic(full, labels[:, k]))
+        models.append(fit_logistic(np.hstack([x, seen]), labels[:, k]))
         out = np.full(len(x), labels[:, k].mean() if len(x) else 0.0)
-        for f in np.unique(folds):
+        for f, view in enumerate(views):
             inside, outside = folds != f, folds == f
-            if inside.any():
+            if inside.any() and outside.any():
+                full = np.hstack([view, seen])
                 out[outside] = predict_logistic(full[outside], fit_logistic(full[inside], labels[inside, k]))
         seen = np.hstack([seen, out[:, None]])
     return models, seen
@@ -125,26 +133,28 @@ def _akin(a: bytes, b: bytes) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-def pick_terms(held: np.ndarray, toxic: np.ndarray, names: list[bytes], max_terms: int) -> list[int]:
-    """Columns of held (text x candidate), each the most telling one for toxic texts that none before it covers.
+def pick_terms(which: list[np.ndarray], toxic: np.ndarray, names: list[bytes]) -> list[int]:
+    """Candidates, each the most telling one for toxic texts that none before it covers; which: the candidates of each text.
 
     After them come terms of many toxic texts that always stood beside others so far (a share of ``COMMON_SHARE`` at
     least), unless a picked term begins like them.
     """
-    open_, clean, picked = toxic.copy(), ~toxic, []
-    b = held[clean].sum(axis=0).astype(float)
-    while len(picked) < max_terms and open_.sum() >= MIN_TEXTS:
-        a = held[open_].sum(axis=0).astype(float)
-        g = np.where(a >= MIN_TEXTS, log_ratio(a, b, int(open_.sum()), int(clean.sum())), 0)
-        best = int(np.argmax(g)) if len(g) else 0
-        if not len(g) or g[best] < MIN_G:
+    count = lambda rows: np.bincount(np.concatenate([which[r] for r in rows] or [np.zeros(0, np.int64)]), minlength=len(names)).astype(float)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    a, b = count(np.flatnonzero(toxic)), count(np.flatnonzero(~toxic))
+    open_, left, picked = {int(r) for r in np.flatnonzero(toxic)}, a.copy(), []
+    while len(open_) >= MIN_TEXTS and len(names):
+        g = np.where(left >= MIN_TEXTS, log_ratio(left, b, len(open_), n0), 0)
+        best = int(np.argmax(g))
+        if g[best] < MIN_G:
             break
         picked.append(best)
-        open_ &= ~held[:, best]
-    a = held[toxic].sum(axis=0).astype(float)
-    g = np.where(a >= max(MIN_TEXTS, COMMON_SHARE * toxic.sum()), log_ratio(a, b, int(toxic.sum()), int(clean.sum())), 0)
+        covered = [r for r in open_ if best in which[r]]
+        left -= count(covered)
+        open_ -= set(covered)
+    g = np.where(a >= max(MIN_TEXTS, COMMON_SHARE * n1), log_ratio(a, b, n1, n0), 0) if n1 and n0 else np.zeros(len(names))
     for k in np.argsort(-g, kind="stable"):
-        if g[k] < MIN_G or len(picked) >= max_terms:
+        if g[k] < MIN_G:
             break
         if not any(_akin(names[k], names[p]) for p in picked):
             picked.append(int(k))
@@ -192,19 +202,19 @@ def features(texts: list[bytes | None], terms: list[bytes]) -> np.ndarray:
 
 
 def _term_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, texts with it that are toxic, that are not), summed per task."""
-    sums: dict[bytes, list[int]] = {}
+    """(term, fold, texts of the fold with it that are toxic, that are not), summed per task."""
+    sums: dict[tuple[bytes, int], list[int]] = {}
 
     def out():
-        terms = list(sums)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.binary()), pa.array([sums[t][0] for t in terms], pa.int64()), pa.array([sums[t][1] for t in terms], pa.int64())], ["term", "a", "b"]
-        )
+        keys, values = list(sums), list(sums.values())
+        columns = [pa.array([k[0] for k in keys], pa.binary()), *(pa.array(c, pa.int64()) for c in ([k[1] for k in keys], [v[0] for v in values], [v[1] for v in values]))]
+        return pa.RecordBatch.from_arrays(columns, ["term", "fold", "a", "b"])
 
     for part in parts:
-        for toxic, text in zip(part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), strict=True):
+        toxic, folds, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist()
+        for flag, fold, text in zip(toxic, folds, texts, strict=True):
             for t in {t for w in set(words_of(text or b"")) if len(w) >= SHORTEST for t in beginnings(w)}:
-                sums.setdefault(t, [0, 0])[0 if toxic else 1] += 1
+                sums.setdefault((t, fold), [0, 0])[0 if flag else 1] += 1
             if len(sums) > 100_000:
                 yield out()
                 sums.clear()
@@ -214,73 +224,103 @@ def _term_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- operator
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED,
-                 max_candidates: int = MAX_CANDIDATES, max_terms: int = MAX_TERMS, folds: int = FOLDS) -> dict:
-    """Terms, chain and threshold as plain values. Labels without id or flag, and ids with both flags, do not count.
-
-    Terms are counted in Spark; the driver sees the best ``max_candidates`` of them and which labelled text holds which.
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, categories: tuple[str, ...], by: str | None, max_labelled: int, folds: int) -> DataFrame:
+    """(id, toxic, flags, group, fold, text): at most ``max_labelled`` rows, one per id."""
+    flags = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
+    named = F.array(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)) for c in categories]).cast("array<int>")
+    agreed = flags.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"), named.alias("flags")).where(F.col("toxic") == F.col("most"))
+    chosen = agreed.select("id", F.col("toxic").cast("int").alias("toxic"), "flags").orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    group = F.col(by).cast("string") if by and by in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), group.alias("group"), text_or_empty(text_col).alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id"))
+    one = met.groupBy("id").agg(F.min_by(F.struct("toxic", "flags", "group", "text"), F.struct(F.xxhash64("text"), "group")).alias("one"))
+    return one.select("id", "one.toxic", "one.flags", "one.group", F.pmod("id", F.lit(folds)).cast("int").alias("fold"), "one.text")
+
+
+def category_labels(groups: list[str | None], toxic: np.ndarray, flags: np.ndarray, categories: tuple[str, ...], by: str | None) -> tuple[tuple[str, ...], np.ndarray]:
+    """Names of the chain and a column of 0/1 for each: the given categories or the crossing with groups, then ``toxic``."""
+    if categories:
+        return (*categories, "toxic"), np.column_stack([flags, toxic]).astype(float)
+    if not by:
+        return ("toxic",), toxic[:, None].astype(float)
+    known = sorted({g for g in groups if g is not None})
+    main = max(known, key=lambda g: sum(x == g for x in groups), default=None)
+    inside = np.array([g == main for g in groups], bool)
+    return CHAIN, np.column_stack([toxic & inside, toxic & ~inside, toxic]).astype(float)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, folds: int = FOLDS,
+                 categories: tuple[str, ...] = (), by: str | None = "lang") -> dict:
+    """Chain, terms, models and threshold as plain values. Labels without id or flag, and ids with both flags, do not count;
+    of an id's several texts the one of least hash does; a missing category or language counts as none.
+
+    Terms are counted in Spark. The driver sees those that ``MIN_TEXTS`` toxic texts hold with ``MIN_ODDS`` times the odds in
+    any set of folds, and which labelled text holds which: as much as the bounded labelled sample has, whatever the corpus.
     """
-    flags = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id"))
-    agreed = flags.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where(F.col("toxic") == F.col("_most"))
-    chosen = agreed.select("_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("text")).join(
-        F.broadcast(chosen), F.col("_doc") == F.col("_id")
-    ).select("_id", "toxic", "text")
-    texts = stored(texts, "labelled")
-    n1, n0 = (int(n or 0) for n in texts.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    empty = {"terms": [], "models": [np.append(np.zeros(2 + k), -30.0) for k in range(len(CHAIN))], "threshold": 1.1}
+    texts = stored(labelled_texts(docs, labels, id_col, text_col, categories, by, max_labelled, folds), "labelled")
+    sizes = {r.fold: (r.n1, r.n0) for r in texts.groupBy("fold").agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")).collect()}
+    n1, n0 = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values())
+    names, _ = category_labels([], np.zeros(0, bool), np.zeros((0, len(categories))), categories, by)
     if not n1 or not n0:
-        return empty
-    counts = texts.mapInArrow(_term_counts, "term binary, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    odds = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
-    telling = counts.where((F.col("a") >= MIN_TEXTS) & (odds >= MIN_ODDS)).orderBy(F.desc("a"), "b", F.desc(F.length("term")), "term").limit(max_candidates)
-    candidates = [bytes(r.term) for r in telling.collect()]
+        return {"chain": names, "terms": [], "models": [np.append(np.zeros(2 + k), -30.0) for k in range(len(names))], "threshold": 1.1}
+    counts = texts.select("toxic", "fold", "text").mapInArrow(_term_counts, "term binary, fold long, a long, b long")
+    sums = [F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(-1, folds) for c in "ab"]
+    telling = F.lit(False)
+    for f in range(-1, folds):
+        own1, own0 = n1 - sizes.get(f, (0, 0))[0], n0 - sizes.get(f, (0, 0))[1]
+        odds = ((F.col(f"a{f}") + 0.5) / (own1 + 1)) / ((F.col(f"b{f}") + 0.5) / (own0 + 1))
+        telling = telling | ((F.col(f"a{f}") >= MIN_TEXTS) & (odds >= MIN_ODDS))
+    candidates = sorted(bytes(r.term) for r in counts.groupBy("term").agg(*sums).where(telling).select("term").collect())
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(candidates)
         for part in parts:
-            words = [words_of(t or b"") for t in part.column(2).cast(pa.large_binary()).to_pylist()]
+            words = [words_of(t or b"") for t in part.column(1).cast(pa.large_binary()).to_pylist()]
             found = [lookup.counts(w) for w in words]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                ["_id", "toxic", "n", "which", "many"],
+                [part.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
+                ["id", "n", "which", "many"],
             )
 
-    schema = "_id long, toxic int, n long, which array<int>, many array<int>"
-    rows = sorted(texts.mapInArrow(batches, schema).collect(), key=lambda r: (r._id, r.n))
-    y = np.array([r.toxic for r in rows], float)
-    held = np.zeros((len(rows), len(candidates)), bool)
-    for k, r in enumerate(rows):
-        held[k, r.which] = True
-    picked = pick_terms(held, y > 0, candidates, max_terms)
-    place = {c: k for k, c in enumerate(picked)}
-    own = [{place[c]: n for c, n in zip(r.which, r.many, strict=True) if c in place} for r in rows]
-    x = np.array([feature_row(o, r.n, len(picked)) for o, r in zip(own, rows, strict=True)])
-    hits = np.array([sum(o.values()) for o in own])
-    made = {"abusive": (hits >= 1).astype(float), "repeated": (hits >= 3).astype(float), "toxic": y}
-    models, seen = fit_chain(x, np.column_stack([made[c] for c in CHAIN]), np.array([r._id for r in rows]) % folds)
-    return {"terms": [candidates[c] for c in picked], "models": models, "threshold": best_threshold(seen[:, -1], y)}
+    held = texts.select("id", "text").mapInArrow(batches, "id long, n long, which array<int>, many array<int>")
+    rows = sorted(held.join(texts.drop("text"), "id").collect(), key=lambda r: r.id)
+    toxic = np.array([r.toxic > 0 for r in rows])
+    _, labelled = category_labels([r.group for r in rows], toxic, np.array([r.flags for r in rows]).reshape(len(rows), len(categories)), categories, by)
+    own_fold = np.array([r.fold for r in rows])
+    which = [np.array(r.which, np.int64) for r in rows]
+
+    def view(mask: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """Terms picked from the rows of the mask, and the features of all rows by them."""
+        picked = pick_terms([w for w, m in zip(which, mask, strict=True) if m], toxic[mask], candidates)
+        place = {c: k for k, c in enumerate(picked)}
+        own = [{place[c]: n for c, n in zip(r.which, r.many, strict=True) if c in place} for r in rows]
+        return picked, np.array([feature_row(o, r.n, len(picked)) for o, r in zip(own, rows, strict=True)])
+
+    picked, x = view(np.ones(len(rows), bool))
+    models, seen = fit_chain([view(own_fold != f)[1] for f in range(folds)], x, labelled, own_fold)
+    return {"chain": names, "terms": [candidates[c] for c in picked], "models": models, "threshold": best_threshold(seen[:, -1], toxic.astype(float))}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_abusive, p_repeated, p_toxic, rejected): one row per input row.
+    """(doc_id, p_<category> of the chain, rejected): one row per input row.
 
     Defined cases: null and empty texts have no features and get the chain's base probability; repeated rows and ids are
     scored each; a null id stays null; an empty table gives an empty table; without usable labels nothing is rejected;
     other columns are not read.
     """
     terms, models, threshold = model["terms"], model["models"], model["threshold"]
+    names = [f"p_{c}" for c in model["chain"]]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             p = run_chain(features(part.column(1).cast(pa.large_binary()).to_pylist(), terms), models)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)],
-                ["doc_id", *(f"p_{c}" for c in CHAIN), "rejected"],
+                ["doc_id", *names, "rejected"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        batches, "doc_id long, p_abusive double, p_repeated double, p_toxic double, rejected boolean"
+        batches, ", ".join(["doc_id long", *(f"{n} double" for n in names), "rejected boolean"])
     )
 
 
