@@ -59,6 +59,19 @@ def boxed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("t"))
 
 
+def keep_firsts(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id names the component of their own text: named(id, hash, component_id).
+
+    A row goes only where a row of smaller id stands for its text. Of equal (id, text) rows one stays; rows that share an id
+    but not a component are told apart by their texts; rows without id stay.
+    """
+    firsts = named.where("id = component_id").select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    rows = boxed(docs, id_col, text_col)
+    kept = rows.where("doc is not null").join(firsts, (F.col("doc").cast("long") == F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    one = kept.groupBy("doc", "hash").agg(F.first("row").alias("row")).select("row")
+    return one.union(rows.where("doc is null").select("row")).select("row.*")
+
+
 def same(left, right):
     """Equality under which null equals null; Spark plans it as an equi-join."""
     return left.eqNullSafe(right)

@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import keep_firsts, stored, table
 from .components import connected_components, forest
+from .groups import block_pairs, sorted_groups
 
 SEED = 42
 MAX_BITS = 3
@@ -62,7 +63,7 @@ def _fingerprint_batches(shingle: int, seeds: tuple[int, ...]):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             found = [pa.array(np.fromiter((fingerprint(t or b"", shingle, s) for t in texts), np.uint64, len(texts)).view(np.int64)) for s in seeds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", *_names(len(seeds))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], ["id", "hash", *_names(len(seeds))])
 
     return run
 
@@ -72,9 +73,10 @@ def _names(n: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, fp long, and fp1, ... for further seeds): one row per input row; null and empty texts have fingerprint 0."""
-    schema = ", ".join(["id long", *[f"{n} long" for n in _names(len(seeds))]])
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(shingle, seeds), schema)
+    """(id, hash of the text, fp long, and fp1, ... for further seeds): one row per input row; null and empty texts have fingerprint 0."""
+    schema = ", ".join(["id long", "hash long", *[f"{n} long" for n in _names(len(seeds))]])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    return rows.mapInArrow(_fingerprint_batches(shingle, seeds), schema)
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -182,28 +184,9 @@ def _group_edges(side: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndar
 
 
 def _edge_batches(limit: int):
-    def runs(batches):
-        """Whole groups, although batches cut them: the last group of a batch waits for the next one."""
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-            new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
-            cut = new[-1] + 1 if len(new) else 0
-            rest = [x[cut:] for x in cols]
-            if cut:
-                yield [x[:cut] for x in cols], np.concatenate([[0], new + 1])
-        if rest is not None and len(rest[0]):
-            c = rest
-            new = np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1]))
-            yield c, np.concatenate([[0], new + 1, [len(c[0])]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, side, fp), bounds in runs(batches):
-            fps = fp.view(np.uint64)
+        for batch, bounds in sorted_groups(batches, 3):
+            side, fps = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
             start, size = bounds[:-1], np.diff(bounds)
             two = start[size == 2]
             close = np.bitwise_count(fps[two] ^ fps[two + 1]) <= limit
@@ -231,19 +214,13 @@ def fingerprint_links(distinct: DataFrame, limit: int = MAX_BITS, block: int = B
     cuts = F.ceil(F.col("n") / block).cast("int")
     rows = keyed.join(shared, "key").select("key", "fp", cuts.alias("s"))
     mine = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-    tiles = F.transform(
-        F.sequence(F.lit(0), F.col("s") - 1),
-        lambda k: F.struct(
-            F.least(k, F.col("b")).alias("x"), F.greatest(k, F.col("b")).alias("y"), (k < F.col("b")).cast("int").alias("side")
-        ),
-    )
-    spread = rows.withColumn("b", mine).select("key", "fp", F.explode(tiles).alias("t"))
+    spread = rows.withColumn("b", mine).select("key", "fp", F.explode(block_pairs(F.col("b"), F.col("s"))).alias("t"))
     grouped = spread.select("key", "t.x", "t.y", "t.side", "fp").repartition("key", "x", "y")
     return grouped.sortWithinPartitions("key", "x", "y").mapInArrow(_edge_batches(limit), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(id, fp long, component_id): one row per input row; component_id is the smallest id reachable by links.
+    """(id, hash, fp long, component_id): one row per input row; component_id is the smallest id reachable by links.
 
     With several seeds a document has as many fingerprints, and two documents link where those of any one seed do; that
     finds more of the pairs whose texts are alike without more differing bits, at the cost of a pass of keys per seed.
@@ -265,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = stored(tuples.join(roots, "node", "left").select(*key, "least", F.coalesce("root", "node").alias("root")), "nodes")
     names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(names, "root").select(*key, "component_id")
-    return found.join(named, key).select("id", "fp", "component_id")
+    return found.join(named, key).select("id", "hash", "fp", "component_id")
 
 
 def _seed_links(tuples: DataFrame, key: list[str], limit: int) -> DataFrame:
@@ -283,10 +260,8 @@ def _seed_links(tuples: DataFrame, key: list[str], limit: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, limit: int = MAX_BITS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """Rows of ``docs`` whose id names its component; of rows that share that id one stays. Rows without id stay."""
-    firsts = near_duplicates(docs, id_col, text_col, shingle, limit, seeds).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(firsts, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that name their component, as ``keep_firsts`` tells them; columns stay, whatever they are called."""
+    return keep_firsts(docs, near_duplicates(docs, id_col, text_col, shingle, limit, seeds), id_col, text_col)
 
 
 def op5_query(spark, sf_dir):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same
+from .common import boxed, same
 
 WINDOW = 3
 
@@ -57,7 +57,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: a null text stays null with 0 lines; an empty text has one empty line; texts of fewer than
     ``width`` lines stay whole; a null id sorts first; equal (id, text) rows count as one document and are cut alike;
-    an empty table gives an empty table; input columns named ``n_lines`` or ``n_removed`` are replaced.
+    an empty table gives an empty table; input columns named ``n_lines`` or ``n_removed`` are replaced, all others
+    stay, whatever they are called.
 
     Plan: windows are pre-aggregated per key before the shuffle (a window held by a third of the corpus is one row
     per task); the join that finds later occurrences has plain equi keys, so adaptive execution may split a hot key.
@@ -75,19 +76,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         later.groupBy(F.col("_doc").alias("_cdoc"), F.col("_text").alias("_ctext"))
         .agg(F.collect_set("pos").alias("_later"))
     )
-    keyed = docs.withColumn("_h", F.xxhash64(text_col))
-    joined = keyed.join(cut, same(F.col(id_col), F.col("_cdoc")) & (F.col("_h") == F.col("_ctext")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    # the user's columns travel as one struct, so none of their names can meet a name used here
+    joined = boxed(docs, id_col, text_col).join(cut, same(F.col("doc"), F.col("_cdoc")) & (F.col("hash") == F.col("_ctext")), "left")
+    lines = F.split(F.col("t"), "\n", -1)
     covered = F.flatten(F.transform("_later", lambda p: F.sequence(p, p + (width - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    text = F.when(F.col("_later").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    )
-    total = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    text = F.when(F.col("_later").isNull(), F.col("t")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    total = F.when(F.col("t").isNull(), 0).otherwise(F.size(lines)).cast("long")
     gone = F.when(F.col("_later").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
-        *[(text.alias(c) if c == text_col else F.col(c)) for c in others],
+        *[(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in others],
         total.alias("n_lines"),
         gone.alias("n_removed"),
     )

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, stored
+from .common import keep_firsts, same, stored
 from .components import connected_components
 from .golay_simhash import MAX_BITS, _names, _seed_links, fingerprint
 from .groups import block_pairs, sorted_groups
@@ -141,7 +141,7 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, block: int)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,), block: int = BLOCK) -> DataFrame:
-    """(id, component_id): one row per input row; component_id is the smallest id reachable by links.
+    """(id, hash of the text, component_id): one row per input row; component_id is the smallest id reachable by links.
 
     Defined cases: null and empty texts are alike; a null id takes part, never names a component unless all ids of it are
     null; repeated rows stay; an empty table gives an empty table; other columns of ``docs`` are not read.
@@ -168,11 +168,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         roots = connected_components(links.union(more))
     rooted = stored(nodes.join(roots, "node", "left").select("own", "least", F.coalesce("root", "node").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.select("id", "own").join(rooted.join(names, "root").select("own", "component_id"), "own").select("id", "component_id")
+    named = rooted.join(names, "root").select("own", "component_id")
+    return found.select("id", F.col("h").alias("hash"), "own").join(named, "own").select("id", "hash", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """Rows of ``docs`` whose id names its component; of rows that share that id one stays. Rows without id stay."""
-    firsts = near_copies(docs, id_col, text_col, seeds).where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(firsts, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that name their component, as ``keep_firsts`` tells them; columns stay, whatever they are called."""
+    return keep_firsts(docs, near_copies(docs, id_col, text_col, seeds), id_col, text_col)

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import golay_simhash as G
+from pulsegrid.llm import near_copies
 
 
 def slow_fingerprint(text, seed=42):
@@ -122,3 +123,17 @@ def test_defined_cases(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 5, 6]
     assert G.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+CLASHES = ("id", "hash", "_id", "_hash", "_kept", "row", "t", "doc", "fp", "own", "node", "least", "a b.c")
+
+
+def test_only_copies_go(spark):
+    """One id over two texts, an equal row of the same id, a copy under a larger id, and every internal name as a column."""
+    rows = [(5, "an apple fell from the old tree"), (5, "quite another matter of state"), (5, "quite another matter of state"), (9, "an apple fell from the old tree"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in CLASHES})
+    for kept in (G.drop_near_duplicates(docs), near_copies.drop_near_copies(docs)):
+        assert kept.columns == docs.columns
+        out = kept.collect()
+        assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "alone"), (5, "an apple fell from the old tree"), (5, "quite another matter of state")]
+        assert all(r[c] == c for r in out for c in CLASHES)
