@@ -9,6 +9,7 @@ window borders. Only the histogram (as many entries as bins) reaches the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .tokens import BYTE_BPE, in_batches, token_table, unpack
 WINDOW = 2048
 GRAIN = 8
 PARTS = 3
+#: Rows are ordered in runs of 2 ** 10 consecutive keys.
+RUN_BITS = 10
 
 
 # ---------------------------------------------------------------- the fit, on the histogram
@@ -51,22 +54,26 @@ def combinations(present: np.ndarray, full: int, parts: int = PARTS, slack: int
     return found
 
 
-def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Non-negative least squares by an active set: minimise |a x - h| over x >= 0."""
+def nnls(a: np.ndarray, h: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Non-negative least squares by an active set: minimise |a x - h| over x >= 0.
+
+    Warns where it has not converged after ``rounds`` exchanges (default: ten for each row and column that can be active).
+    """
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(a.T @ h).max(initial=0)))
-    for _ in range(rounds):
+    gram, moment = a.T @ a if n <= 4000 else None, a.T @ h
+    for _ in range(10 * sum(a.shape) if rounds is None else rounds):
         gradient = a.T @ (h - a @ x)
         gradient[passive] = -np.inf
         best = int(np.argmax(gradient)) if n else 0
         if not n or gradient[best] <= tolerance:
-            break
+            return x
         passive[best] = True
         while True:
             on = np.flatnonzero(passive)
             part = a[:, on]
-            solved = np.linalg.lstsq(part.T @ part, part.T @ h, rcond=None)[0]
+            solved = np.linalg.lstsq(gram[np.ix_(on, on)] if gram is not None else part.T @ part, moment[on], rcond=None)[0]
             if (solved > 0).all():
                 x[:] = 0
                 x[on] = solved
@@ -79,6 +86,9 @@ def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 600) -> np.ndarray:
                 drop = on[bad][:1]
             passive[drop] = False
             x[drop] = 0
+            if not passive.any():
+                break
+    warnings.warn("the fit of the histogram has not converged; the greedy pass takes up what it leaves", stacklevel=2)
     return x
 
 
@@ -150,6 +160,13 @@ def _assign(spans, used):
 
 # ---------------------------------------------------------------- pieces
 
+
+def _before(value: str, within: str | None, order: tuple[str, ...]):
+    """Sum of ``value`` over the rows ahead in the order."""
+    w = Window.partitionBy(within).orderBy(*order) if within else Window.orderBy(*order)
+    return F.sum(value).over(w) - F.col(value)
+
+
 _PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]
 )
@@ -190,39 +207,40 @@ def pack_documents(
     than id and text are not read. Every id lies in exactly one piece. Padding: at most ``grain`` tokens a piece and
     the last sequence of the end-to-end run.
 
-    Ranks within a bin come from counts per writing partition, so no bin, however common, is ordered in one task.
+    Rows are ordered only within runs of ``2 ** RUN_BITS`` keys. Ranks within a bin and places in the end-to-end run come
+    from sums over runs, and over writing partitions, so no bin or partition, however large, is ordered in one task.
     """
     tokens = token_table(docs, id_col, text_col, tokenizer, end_id)
     rest = F.pmod("n", F.lit(window))
     lengths = tokens.select(
-        "key", F.shiftright("key", 33).alias("part"), F.expr(f"n div {window}").alias("whole"), rest.alias("rest"), F.ceil(rest / grain).cast("long").alias("bin")
-    )
-    counts = lengths.groupBy("bin", "part").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("bin").orderBy("part")) - F.col("c")
-    ahead = stored(counts.select("bin", "part", "c", before.alias("ahead")), "bins")
+        "key", F.shiftright("key", 33).alias("part"), F.shiftright("key", RUN_BITS).alias("run_no"), F.expr(f"n div {window}").alias("whole"),
+        rest.alias("rest"), F.ceil(rest / grain).cast("long").alias("bin"),
+    )
+    counts = lengths.groupBy("bin", "part", "run_no").agg(F.count("*").alias("c"))
+    ahead = stored(counts.select("bin", "part", "run_no", "c", _before("c", "bin", ("part", "run_no")).alias("ahead")), "bins")
     histogram = {r.bin: r.n for r in ahead.groupBy("bin").agg(F.sum("c").alias("n")).collect() if r.bin}
     spans, used, n_mixed = _slots(solve(histogram, window // grain, parts))
 
-    place = F.row_number().over(Window.partitionBy("part", "bin").orderBy("key")) - 1
-    ranked = lengths.withColumn("k", place).join(ahead.select("bin", "part", "ahead"), ["part", "bin"])
-    ranked = ranked.select("key", "part", "whole", "rest", "bin", (F.col("ahead") + F.col("k")).alias("rank"))
-    placed = stored(ranked.mapInArrow(_assign(spans, used), "key long, part long, whole long, rest long, seq long, slot long"), "placed")
+    place = F.row_number().over(Window.partitionBy("run_no", "bin").orderBy("key")) - 1
+    ranked = lengths.withColumn("k", place).join(ahead.select("bin", "run_no", "ahead"), ["run_no", "bin"])
+    ranked = ranked.select("key", "run_no", "whole", "rest", "bin", (F.col("ahead") + F.col("k")).alias("rank"))
+    placed = stored(ranked.mapInArrow(_assign(spans, used), "key long, run_no long, whole long, rest long, seq long, slot long"), "placed")
 
     loose = F.when(F.col("seq") < 0, F.col("rest")).otherwise(0)
-    sums = placed.groupBy("part").agg(F.sum(loose).alias("run"), F.sum("whole").alias("wholes"))
-    order = Window.orderBy("part")
-    parts_at = stored(
-        sums.select("part", "run", (F.sum("run").over(order) - F.col("run")).alias("run0"), (F.sum("wholes").over(order) - F.col("wholes")).alias("whole0")), "parts"
-    )
-    total = parts_at.agg(F.coalesce(F.sum("run"), F.lit(0))).first()[0]
+    sums = placed.groupBy("run_no").agg(F.sum(loose).alias("run"), F.sum("whole").alias("wholes")).withColumn("part", F.shiftright("run_no", 33 - RUN_BITS))
+    totals = sums.groupBy("part").agg(F.sum("run").alias("run"), F.sum("wholes").alias("wholes"))
+    totals = stored(totals.select("part", "run", _before("run", None, ("part",)).alias("run0"), _before("wholes", None, ("part",)).alias("whole0")), "parts")
+    total = totals.agg(F.coalesce(F.sum("run"), F.lit(0))).first()[0]
     stream_base, whole_base = n_mixed, n_mixed + -(-total // window)
+    runs_at = sums.select("part", "run_no", _before("run", "part", ("run_no",)).alias("run1"), _before("wholes", "part", ("run_no",)).alias("whole1"))
+    runs_at = runs_at.join(totals, "part").select("run_no", (F.col("run0") + F.col("run1")).alias("run0"), (F.col("whole0") + F.col("whole1")).alias("whole0"))
 
-    own = Window.partitionBy("part").orderBy("key")
+    own = Window.partitionBy("run_no").orderBy("key")
     at = placed.select(
-        "key", "part", "whole", "rest", "seq", "slot",
-        (F.sum(loose).over(own) - loose).alias("run1"), (F.sum("whole").over(own) - F.col("whole")).alias("whole1"),
-    ).join(parts_at, "part")
-    at = at.select("key", "whole", "seq", "slot", "rest", (F.col("run0") + F.col("run1")).alias("run_at"), (F.col("whole0") + F.col("whole1")).alias("whole_at"))
+        "key", "run_no", "whole", "rest", "seq", "slot",
+        (F.sum(loose).over(own) - loose).alias("run2"), (F.sum("whole").over(own) - F.col("whole")).alias("whole2"),
+    ).join(runs_at, "run_no")
+    at = at.select("key", "whole", "seq", "slot", "rest", (F.col("run0") + F.col("run2")).alias("run_at"), (F.col("whole0") + F.col("whole2")).alias("whole_at"))
     inside = F.sum("rest").over(Window.partitionBy("seq").orderBy("slot")) - F.col("rest")
     mixed = at.where("seq >= 0").withColumn("offset", inside)
     alone = at.where("seq < 0").withColumn("offset", F.lit(0).cast("long"))
