@@ -59,19 +59,18 @@ def _block_batches(factor: float, rows: int):
     return run
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, id, score) of the k highest scores of each row, ties to the smaller id; -inf takes no part.
+def best_of(scores: np.ndarray, taken: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of the k highest scores (int64) of each row, ties to the smaller id; entries not ``taken`` are left out.
 
-    Scores and ids become one key per entry where they fit 53 bits together; else rows are sorted one by one.
+    Scores and ids become one key per entry where they fit 63 bits together; else rows are sorted one by one.
     """
     order = np.argsort(ids, kind="stable")
     n = len(ids)
     shift = max(1, int(n - 1).bit_length()) if n else 1
-    finite = np.isfinite(scores)
-    top = np.abs(np.where(finite, scores, 0)).max(initial=0)
-    if top < 2.0 ** (52 - shift):
-        key = np.where(finite, scores, 0)[:, order] * (1 << shift) + (n - 1 - np.arange(n))
-        key[~finite[:, order]] = -np.inf
+    top = max(abs(int(scores.max(initial=0))), abs(int(scores.min(initial=0))))
+    if top < 2 ** (61 - shift):
+        key = scores[:, order] * (1 << shift) + (n - 1 - np.arange(n))
+        key[~taken[:, order]] = np.iinfo(np.int64).min
         if n > k:
             part = np.argpartition(key, n - k, axis=1)[:, n - k :]
         else:
@@ -79,19 +78,30 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
         row = np.repeat(np.arange(len(scores)), part.shape[1])
         col = order[part.ravel()]
     else:
-        picks = [order[np.argsort(-scores[r, order], kind="stable")[:k]] for r in range(len(scores))]
+        picks = []
+        for r in range(len(scores)):
+            own = order[taken[r, order]]
+            picks.append(own[np.argsort(~scores[r, own], kind="stable")[:k]])  # ~s falls as s rises, without overflow
         row = np.repeat(np.arange(len(scores)), [len(p) for p in picks])
         col = np.concatenate(picks) if picks else np.zeros(0, int)
-    some = finite[row, col]
+    some = taken[row, col]
     return row[some], ids[col[some]], scores[row[some], col[some]]
 
 
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact as long as sums stay below 2^53; larger ones go through Python's integers and are exact up to a double's range."""
-    bound = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1]
+    """Exact inner products as int64: in doubles while sums stay below 2^53, in int64 below 2^63, else in Python's integers.
+
+    What lies beyond int64 becomes the nearest int64.
+    """
+    high = lambda v: float(np.abs(v).max(initial=0))
+    bound = high(q) * high(x) * q.shape[1]
     if bound < 2.0**53:
-        return q @ x.T
-    return (q.astype(object) @ x.T.astype(object)).astype(np.float64)
+        return (q @ x.T).astype(np.int64)
+    if bound < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    exact = np.vectorize(int, otypes=[object])
+    least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    return np.clip(exact(q) @ exact(x).T, least, most).astype(np.int64)
 
 
 def _tile_batches(k: int):
@@ -102,7 +112,7 @@ def _tile_batches(k: int):
             if number in lists:
                 found = [np.concatenate([a, b]) for a, b in zip(lists[number], found, strict=True)]
             q, c, s = found
-            order = np.lexsort((c, -s, q))
+            order = np.lexsort((c, ~s, q))
             q, c, s = q[order], c[order], s[order]
             start = np.flatnonzero(np.diff(q, prepend=q[0] - 1)) if len(q) else np.zeros(0, int)
             rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
@@ -117,14 +127,13 @@ def _tile_batches(k: int):
                 for at in range(0, len(q_ids), TILE_ROWS):
                     own = q_ids[at : at + TILE_ROWS]
                     scores = _product(q[at : at + TILE_ROWS], x)
-                    scores[own[:, None] == c_ids[None, :]] = -np.inf
-                    row, ids, best = best_of(scores, c_ids, k)
+                    row, ids, best = best_of(scores, own[:, None] != c_ids[None, :], c_ids, k)
                     found.append((own[row], ids, best))
                 merge(number, [np.concatenate(c) for c in zip(*found, strict=True)])
         for q, c, s in lists.values():
             for at in range(0, len(q), 50_000):
                 part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(c[part]), pa.array(s[part].astype(np.int64))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[part]), pa.array(c[part]), pa.array(s[part])], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -136,7 +145,12 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, factor:
     Components become floor(factor * x). A candidate whose id is the query's is left out; ties go to the smaller id.
     Defined cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; only
     vectors of equal length are compared; a query id that occurs more than once is asked once, with its least vector;
-    repeated candidate rows count each; fewer than k candidates give shorter lists; empty tables give an empty table.
+    repeated candidate rows count each; fewer than k candidates give shorter lists; empty tables give an empty table; a score
+    beyond long's range counts as the nearest long.
+
+    What is shuffled: each block of queries once per shard and each block of candidates once per query block. The work is the
+    product of both tables by definition; every byte sent serves thousands of multiplications, and no more than a block of
+    either side is held at a time.
     """
 
     def usable(df):

@@ -40,3 +40,15 @@ def test_defined_cases(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 20)
     none = df.where(F.lit(False))
     assert K.exact_top_k(none, df).count() == 0 and K.exact_top_k(df.where("vec_id % 20 = 0"), none).count() == 0
+
+
+def test_large_integers_stay_exact(spark):
+    big = float(2**40 + 1)
+    rows = [(0, [big, 1.0]), (1, [big, 1.0]), (2, [big, 2.0]), (3, [-big, 0.0]), (4, [2.0**27, 3.0]), (5, [2.0**27, 4.0]), (6, [1e300, 1.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in K.exact_top_k(df, df, k=7, factor=1.0).collect()]
+    want = []
+    for q, a in rows:
+        scores = [(max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b, strict=True)))), i) for i, b in rows if i != q]
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(sorted(scores, key=lambda r: (-r[0], r[1])))]
+    assert sorted(got) == sorted(want)
