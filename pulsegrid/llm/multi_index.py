@@ -11,7 +11,6 @@ directions, and the rank of the turned vector's cell in the traversal is recorde
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +24,10 @@ from .groups import block_pairs, sorted_groups
 
 MIN_COSINE = 0.98
 TARGET_RECALL = 0.999
+#: Vectors that the index is fitted on at most; a codebook has a quarter as many words at most.
 MAX_SAMPLE = 20_000
-MAX_CODEWORDS = 256
-CELL_ROWS = 512
+#: Vectors that a cell holds on average; the codebooks grow with the square root of the table.
+CELL_ROWS = 64
 BLOCK = 1024
 
 
@@ -38,7 +38,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, centres).argmin(axis=1)
+        near = np.concatenate([distances(x[at : at + 2048], centres).argmin(axis=1) for at in range(0, len(x), 2048)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         sizes = np.bincount(near, minlength=k)
@@ -51,37 +51,38 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1))
 
 
-def multi_sequence(d1: np.ndarray, d2: np.ndarray, many: int) -> list[tuple[int, int]]:
-    """The ``many`` cells of smallest d1[i] + d2[j], in that order: pairs of positions in both sorted lists from a heap."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < many:
-        _, a, b = heapq.heappop(heap)
-        out.append((int(o1[a]), int(o2[b])))
-        for x, y in ((a + 1, b), (a, b + 1)):
-            if x < len(o1) and y < len(o2) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (d1[o1[x]] + d2[o2[y]], x, y))
-    return out
+def multi_sequence(d1: np.ndarray, d2: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (n, many) in both codebooks of the ``many`` cells of smallest d1[i] + d2[j], in that order, for n vectors.
 
+    The traversal of two sorted lists, for all vectors in step: each row of the grid keeps how far it has been visited, the
+    nearest of the rows' next cells is visited, and a row joins once the one before it has been entered.
+    """
+    many = min(many, d1.shape[1] * d2.shape[1])
+    o1, o2 = (np.argsort(d, axis=1, kind="stable")[:, :many] for d in (d1, d2))
+    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+    n, rows, width = len(d1), s1.shape[1], s2.shape[1]
+    s2 = np.hstack([s2, np.full((n, 1), np.inf)])
+    every = np.arange(n)
+    upto = np.zeros((n, rows), np.int64)
+    front = np.full((n, rows), np.inf)
+    front[:, 0] = s1[:, 0] + s2[:, 0]
+    a, b = np.empty((n, many), np.int64), np.empty((n, many), np.int64)
+    for step in range(many):
+        row = front.argmin(axis=1)
+        col = upto[every, row]
+        a[:, step], b[:, step] = row, col
+        upto[every, row] = col + 1
+        front[every, row] = s1[every, row] + s2[every, np.minimum(col + 1, width)]
+        new = np.flatnonzero((col == 0) & (row + 1 < rows))
+        front[new, row[new] + 1] = s1[new, row[new] + 1] + s2[new, 0]
+    return np.take_along_axis(o1, a, 1), np.take_along_axis(o2, b, 1)
 
-def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], many: int) -> np.ndarray:
-    """(n, many) cell numbers in the order of the traversal, its first one the vector's own cell.
 
-    A cell among the first ``many`` lies within the first a and b positions of the lists with (a+1)(b+1) <= many; only
-    these candidates are summed and sorted, for all vectors at once.
-    """
+def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], many: int) -> np.ndarray:
+    """(n, many) cell numbers in the order of the traversal, its first one the vector's own cell."""
     half = books[0].shape[1]
-    d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
-    k1, k2 = d1.shape[1], d2.shape[1]
-    many = min(many, k1 * k2)
-    o1 = np.argsort(d1, axis=1, kind="stable")[:, :many]
-    o2 = np.argsort(d2, axis=1, kind="stable")[:, :many]
-    pairs = [(a, b) for a in range(o1.shape[1]) for b in range(o2.shape[1]) if (a + 1) * (b + 1) <= many]
-    a, b = np.array(pairs).T
-    total = np.take_along_axis(d1, o1, 1)[:, a] + np.take_along_axis(d2, o2, 1)[:, b]
-    first = np.argsort(total, axis=1, kind="stable")[:, :many]
-    return np.take_along_axis(o1, a[first], 1) * k2 + np.take_along_axis(o2, b[first], 1)
+    i, j = multi_sequence(distances(x[:, :half], books[0]), distances(x[:, half:], books[1]), many)
+    return i * len(books[1]) + j
 
 
 def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float, seed: int = 11) -> int:
@@ -95,17 +96,22 @@ def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine:
     aside /= np.maximum(np.linalg.norm(aside, axis=1), 1e-12)[:, None]
     turned = cosine * x + np.sqrt(1 - cosine * cosine) * aside
     home = nearest_cells(turned, books, 1)
-    cells = nearest_cells(x, books, len(books[0]) * len(books[1])) if len(books[0]) * len(books[1]) <= 1024 else nearest_cells(x, books, 512)
-    met = cells == home
-    rank = np.where(met.any(axis=1), met.argmax(axis=1), cells.shape[1])
-    return int(np.quantile(rank, recall, method="higher")) + 1
+    many, grid = 128, len(books[0]) * len(books[1])
+    while True:
+        met = np.concatenate([nearest_cells(x[at : at + 500], books, many) == home[at : at + 500] for at in range(0, len(x), 500)])
+        cells = int(np.quantile(np.where(met.any(axis=1), met.argmax(axis=1), many), recall, method="higher")) + 1
+        if cells <= many or many >= grid:
+            return min(cells, grid)
+        many *= 4
 
 
 # ---------------------------------------------------------------- Arrow jobs
 
 
 def _unit(rows: list) -> np.ndarray:
+    """Unit vectors; by the largest component first, so that no square vanishes or overflows."""
     x = np.array(rows, np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -117,8 +123,8 @@ def _cell_batches(books, cells: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 node, label, copies = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
                 x = _unit(part.column(3).to_pylist())
                 near = nearest_cells(x, books, cells)
@@ -177,18 +183,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     recall: float = TARGET_RECALL, max_sample: int = MAX_SAMPLE, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row.
 
-    Only vectors of the same label and length are compared. Defined cases: vectors that are null, empty, zero, of overflowing
-    length or with null or non-finite components, and those with a null label, link with nothing; equal vectors of a label
+    Only vectors of the same label and length are compared. Defined cases: vectors that are null, empty, zero
+    or hold null or non-finite components, and those with a null label, link with nothing; equal vectors of a label
     are one node with a multiplicity, each other copy counts as a link; repeated ids are rows of their own and name a
     component together; a null id is never kept unless it is alone; an empty table gives an empty table; other columns are not read.
 
     Cells that hold more than ``block`` vectors are cut into blocks and each pair of blocks is one group.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
-    norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.col("v").isNotNull() & F.col("label").isNotNull() & finite
-    usable = F.coalesce(whole & (norm > 1e-300) & (norm < float("inf")), F.lit(False))
+    usable = F.coalesce(whole & F.exists("v", lambda x: x != 0), F.lit(False))
     keyed = rows.select("id", "label", "v", usable.alias("ok"), F.xxhash64("v").alias("a"), F.xxhash64(F.lit("second"), "v").alias("b"))
     good = keyed.where("ok").groupBy("label", "a", "b").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = stored(good.select(F.monotonically_increasing_id().alias("node"), "*"), "vectors")
@@ -197,7 +202,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
         own = nodes.where(F.size("v") == r.d)
         sample = _unit([x.v for x in own.orderBy(F.xxhash64("a", "label"), "node").select("v").limit(max_sample).collect()])
-        k = int(np.clip(np.sqrt(r.n / cell_rows), 1, min(MAX_CODEWORDS, len(sample))))
+        k = int(np.clip(np.sqrt(r.n / cell_rows), 1, max(1, len(sample) // 4)))
         half = max(1, r.d // 2)
         books = (k_means(sample[:, :half], k), k_means(sample[:, half:], k) if r.d > 1 else np.zeros((1, 0)))
         cells = calibrate(sample, books, cosine, recall)

@@ -43,9 +43,29 @@ def test_traversal_order():
     x = rng.normal(size=(50, 8))
     for many in (1, 5, 20, 63):
         cells = M.nearest_cells(x, books, many)
+        assert cells.shape == (50, many)
         for row, v in zip(cells, x, strict=True):
             d1, d2 = M.distances(v[None, :4], books[0])[0], M.distances(v[None, 4:], books[1])[0]
-            assert [(int(c) // 7, int(c) % 7) for c in row] == M.multi_sequence(d1, d2, many)
+            every = sorted((d1[i] + d2[j], i * 7 + j) for i in range(9) for j in range(7))
+            assert row.tolist() == [c for _, c in every[:many]]
+
+
+def test_recall_over_many_cells(spark):
+    """Planted neighbours at and above the threshold among 6,000 vectors, in a grid of 9 by 9 cells and production settings."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(5000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = rng.normal(size=(1000, 64))
+    aside -= (aside * base[:1000]).sum(axis=1)[:, None] * base[:1000]
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    cosine = rng.uniform(0.98, 0.9999, 1000)[:, None]
+    x = np.vstack([base, cosine * base[:1000] + np.sqrt(1 - cosine**2) * aside]) * rng.uniform(1e-200, 1e200, (6000, 1))
+    df = spark.createDataFrame([(i, [float(t) for t in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in M.embedding_links(df).collect()}
+    unit = M._unit(x.tolist())
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert np.sqrt(6000 / M.CELL_ROWS) >= 9 and want.sum() >= 1990
+    assert sum(got.values()) >= 0.995 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
 def test_small_cells_and_blocks(spark):
