@@ -70,15 +70,15 @@ def normalise_file_name(files: DataFrame, col: str = "name", pattern: str = NAME
 
 #: fixed values: the physical categories and the name patterns that lead to them, in order
 CATEGORY_PATTERNS = (
-    ("frequency", r"fft|spkt|cwt_coeff|fourier"),
-    ("autocorrelation", r"autocorr|c3|time_reversal"),
-    ("peaks", r"peak|crossing"),
-    ("trend", r"trend|slope|mean_change|derivative"),
-    ("location", r"location|strike"),
-    ("amplitude", r"max|min|mean|median|quantile|energy|rms|root_mean|sum_values|signal"),
-    ("dispersion", r"variance|deviation|skew|kurt|sigma|abs_change|sum_of_changes"),
-    ("duration", r"length|duration|value_number"),
-)
+    ("peak count", r"number_peaks|number_cwt_peaks|number_crossing_m"),
+    ("frequency content", r"fft_coefficient|fft_aggregated|spkt_welch_density|cwt_coefficients"),
+    ("autocorrelation", r"autocorrelation|partial_autocorrelation|agg_autocorrelation|time_reversal_asymmetry|(^|_)c3(_|$)"),
+    ("waveform asymmetry", r"skewness|kurtosis|symmetry_looking|ratio_beyond_r_sigma"),
+    ("rise / fall", r"linear_trend|agg_linear_trend|first_location_of_maximum|last_location_of_maximum|first_location_of_minimum|last_location_of_minimum|longest_strike"),
+    ("local variation", r"variance|standard_deviation|mean_abs_change|mean_change|absolute_sum_of_changes|variance_larger_than_standard_deviation|ratio_value_number_to_time_series_length|mean_second_derivative"),
+    ("current level", r"abs_energy|sum_values|root_mean_square|maximum|minimum|median|(^|_)mean(_|$)|quantile|sum_of_reoccurring|large_standard_deviation|value_count"),
+    ("event duration", r"length"),
+)
 
 
 def feature_category(name: Column, patterns=CATEGORY_PATTERNS, extra: dict[str, str] | None = None) -> Column:

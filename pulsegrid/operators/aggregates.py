@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import argmax_prob, correlation, feature_category, sample_name, status_of
 
+from .windows import exact_percentiles, kept
+
 
 def count_summary(files: DataFrame) -> DataFrame:
     """files(filename, time, signal_sum) per file and in total: counts, seconds, frequency count / time * 1000 (2 digits)."""
@@ -45,24 +47,31 @@ def long_features(df: DataFrame, features: list[str], label: str = "label") -> D
     return df.select(label, *[F.col(f).cast("double") for f in features]).unpivot([label], list(features), "feature", "value").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def value_counts(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(feature, label, value, c): how often each value of a feature stands in a class; one scan of ``df``."""
+    return kept(long_features(df, features, label).groupBy("feature", label, "value").agg(F.count("*").alias("c")))
+
+
 def summary_stats(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    v = "value"
-    return long_features(df, features, label).groupBy("feature", label).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sd"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3")
-    )
+    cells, group = value_counts(df, features, label), ["feature", label]
+    v, c = F.col("value"), F.col("c")
+    means = cells.groupBy(*group).agg(F.sum("c").alias("n"), (F.sum(v * c) / F.sum("c")).alias("mean"))
+    spread = cells.join(F.broadcast(means), group).groupBy(*group).agg(F.sqrt(F.sum(c * F.pow(v - F.col("mean"), F.lit(2))) / F.sum("c")).alias("sd"))
+    quartiles = exact_percentiles(cells, "value", "c", group, {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return means.join(spread, group).join(quartiles, group).select(*group, "n", "mean", "median", "sd", "q1", "q3")
 
 
-def value_ranges(rows: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Per feature: display range, log flag, counts inside and outside and the bin count (see histogram_stats)."""
-    ends = rows.groupBy("feature").agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
+def value_ranges(cells: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Per feature of cells(feature, value, c): display range, log flag, counts inside and outside, bin count (see histogram_stats)."""
+    ends = exact_percentiles(cells, "value", "c", ["feature"], {"lo": low, "hi": high})
     flat = F.col("hi") <= F.col("lo")
     ends = ends.select("feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
     inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    v = F.when(inside, F.col("value"))
-    stats = rows.join(F.broadcast(ends), "feature").groupBy("feature").agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count_if(inside).alias("n"), F.count_if(~inside).alias("clipped"),
-        F.min(v).alias("least"), F.max(v).alias("most"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"),
-    )
+    placed = kept(cells.join(F.broadcast(ends), "feature").withColumn("inside", inside))
+    v, count = F.when(F.col("inside"), F.col("value")), lambda test: F.sum(F.when(test, F.col("c")).otherwise(0))
+    stats = placed.groupBy("feature").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"), count(F.col("inside")).alias("n"), count(~F.col("inside")).alias("clipped"), F.min(v).alias("least"), F.max(v).alias("most"),
+    ).join(exact_percentiles(placed.where("inside"), "value", "c", ["feature"], {"q1": 0.25, "q3": 0.75}), "feature", "left")
     log = (F.col("least") > 0) & (F.col("most") / F.when(F.col("least") > 0, F.col("least")) > 50)
     span, n = F.col("most") - F.col("least"), F.col("n")
     width_fd = 2 * (F.col("q3") - F.col("q1")) / F.cbrt(n)
@@ -70,26 +79,26 @@ def value_ranges(rows: DataFrame, low: float = 0.005, high: float = 0.995) -> Da
     width = F.when(width_fd > 0, F.least(width_fd, width_st)).otherwise(width_st)
     auto = F.when(span > 0, F.ceil(span / width)).otherwise(1)
     bins = F.when(log, F.least(F.greatest(F.floor(F.sqrt(n)), F.lit(20)), F.lit(60))).otherwise(F.least(F.greatest(auto, F.lit(15)), F.lit(80)))
-    return stats.select("feature", "lo", "hi", "n", "clipped", F.coalesce(log, F.lit(False)).alias("log"), bins.cast("int").alias("bins"))
+    return kept(stats.select("feature", "lo", "hi", "n", "clipped", F.coalesce(log, F.lit(False)).alias("log"), bins.cast("int").alias("bins")))
 
 
 def clipped_counts(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    return value_ranges(long_features(df, features, label)).select("feature", "clipped")
+    return value_ranges(value_counts(df, features, label)).select("feature", "clipped")
 
 
 def histogram_stats(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Long histogram: feature, class, bin, edges, count, pdf, pdf over its largest. Empty bins are kept; the last bin holds its right end."""
-    rows = long_features(df, features, label)
-    ranges = value_ranges(rows)
+    cells = value_counts(df, features, label)
+    ranges = value_ranges(cells)
     scale = lambda x: F.when(F.col("log"), F.log(F.when(x > 0, x))).otherwise(x)
     lo, hi = scale(F.col("lo")), scale(F.col("hi"))
     step = (hi - lo) / F.col("bins")
-    placed = rows.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    placed = cells.join(F.broadcast(ranges), "feature").where(F.col("value").between(F.col("lo"), F.col("hi")))
     at = F.least(F.floor((scale(F.col("value")) - lo) / step), F.col("bins") - 1).cast("int")
-    counts = placed.groupBy("feature", label, at.alias("bin")).agg(F.count("*").alias("count"))
+    counts = placed.groupBy("feature", label, at.alias("bin")).agg(F.sum("c").alias("count"))
     edge = lambda k: F.when(F.col("log"), F.exp(lo + k * step)).otherwise(lo + k * step)
     bins = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select("feature", "bin", edge(F.col("bin")).alias("left"), edge(F.col("bin") + 1).alias("right"))
-    grid = rows.select("feature", label).distinct().join(F.broadcast(bins), "feature")
+    grid = cells.select("feature", label).distinct().join(F.broadcast(bins), "feature")
     full = grid.join(counts, ["feature", label, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     group = Window.partitionBy("feature", label)
     pdf = F.try_divide(F.col("count"), F.sum("count").over(group)) / (F.col("right") - F.col("left"))
@@ -120,12 +129,13 @@ def heatmap_matrix(hist: DataFrame, by: str, names: list, width: float = 0.025)
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, number of values beyond them."""
-    q = df.groupBy(by).agg(F.percentile(value, 0.25).alias("q1"), F.median(value).alias("median"), F.percentile(value, 0.75).alias("q3"))
+    cells = kept(df.groupBy(by, value).agg(F.count("*").alias("c")))
+    q = exact_percentiles(cells, value, "c", [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    rows = df.join(F.broadcast(q), by)
-    return rows.groupBy(by).agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.count_if(~inside).alias("fliers")
+    return cells.join(q, by).groupBy(by).agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"), F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"),
+        F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("fliers"),
     )
 
 
@@ -137,11 +147,14 @@ def file_metrics(quality: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """Long class x class counts, zeros kept, and the row's percentage (NULL for a class without rows)."""
+    """Long class x class counts, zeros kept, and the row's percentage (NULL for a class without rows).
+
+    The counts become one row whose list is completed by zeros: one scan and no join for a table of classes squared.
+    """
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
-    labels = counts.select("truth").union(counts.select("pred")).distinct()
-    grid = labels.crossJoin(F.broadcast(labels.withColumnRenamed("truth", "pred")))
-    full = grid.join(counts, ["truth", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = counts.agg(F.array_distinct(F.array_compact(F.flatten(F.collect_list(F.array("truth", "pred"))))).alias("labels"), F.collect_list(F.struct("truth", "pred", "n")).alias("cells"))
+    zeros = F.flatten(F.transform("labels", lambda a: F.transform("labels", lambda b: F.struct(a.alias("truth"), b.alias("pred"), F.lit(0).cast("long").alias("n")))))
+    full = one.select(F.explode(F.concat("cells", zeros)).alias("c")).select("c.*").where("truth is not null and pred is not null").groupBy("truth", "pred").agg(F.sum("n").alias("n"))
     return full.withColumn("percent", 100 * F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy("truth"))))
 
 

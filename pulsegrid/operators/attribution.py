@@ -112,7 +112,8 @@ def importance_comparison(gain: DataFrame, attribution: DataFrame, tests: DataFr
 def dominant_class(phi: DataFrame) -> DataFrame:
     """Class of the largest sum of |phi| (the first by name on ties)."""
     sums = phi.groupBy("class").agg(F.sum(F.abs("phi")).alias("total"))
-    return sums.agg(F.max_by("class", F.struct("total", -F.col("class"))).alias("class"), F.max("total").alias("total"))
+    first = sums.agg(F.min(F.struct((-F.col("total")).alias("less"), "class")).alias("one"))
+    return first.select("one.class", (-F.col("one.less")).alias("total"))
 
 
 def misclassification_gap(phi: DataFrame) -> DataFrame:

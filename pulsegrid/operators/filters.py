@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import derive_keys
 
+from .windows import exact_percentiles, kept
+
 DERIVED = ("file_number", "machine_no", "measured_at")
 
 
@@ -74,7 +76,8 @@ def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def outlier_bounds(df: DataFrame, col: str, by: list[str], k: float = 4.0, absolute: float = 10.0) -> DataFrame:
     """Tukey fences per group; where the interquartile range is below 1e-6 the fences are at plus and minus ``absolute``."""
-    quartiles = df.groupBy(*by).agg(F.percentile(col, 0.25).alias("q1"), F.percentile(col, 0.75).alias("q3"))
+    cells = kept(df.groupBy(*by, col).agg(F.count("*").alias("_c")))
+    quartiles = exact_percentiles(cells, col, "_c", by, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return quartiles.select(
         *by, F.when(iqr < 1e-6, -absolute).otherwise(F.col("q1") - k * iqr).alias("lower"), F.when(iqr < 1e-6, absolute).otherwise(F.col("q3") + k * iqr).alias("upper")
@@ -83,7 +86,7 @@ def outlier_bounds(df: DataFrame, col: str, by: list[str], k: float = 4.0, absol
 
 def split_outliers(df: DataFrame, col: str, by: list[str], k: float = 4.0, absolute: float = 10.0) -> DataFrame:
     """Adds lower, upper and outlier; NULL is no outlier."""
-    flagged = df.join(outlier_bounds(df, col, by, k, absolute), by)
+    flagged = df.join(outlier_bounds(df, col, by, k, absolute), by, "left")
     return flagged.withColumn("outlier", F.coalesce((F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper")), F.lit(False)))
 
 

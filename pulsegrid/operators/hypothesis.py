@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import long_features
-from .windows import avg_rank, upto_counts
+from .aggregates import long_features, value_counts
+from .windows import avg_rank, kept, upto_counts
 
 
 def anova(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -24,10 +24,9 @@ def anova(df: DataFrame, features: list[str], label: str = "label") -> DataFrame
 
 def kruskal(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Per feature: H with tie correction and epsilon squared. Ranks come from counts of distinct values."""
-    rows = long_features(df, features, label)
-    cells = rows.groupBy("feature", "value", label).agg(F.count("*").alias("c"))
+    cells = value_counts(df, features, label)
     values = cells.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    upto = upto_counts(values, "value", "t", ["feature"], False, "upto").select("feature", "value", "t", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank"))
+    upto = kept(upto_counts(kept(values), "value", "t", ["feature"], False, "upto").select("feature", "value", "t", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank")))
     ranked = cells.join(upto, ["feature", "value"])
     groups = ranked.groupBy("feature", label).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("n"))
     cube = F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")

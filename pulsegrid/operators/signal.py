@@ -28,17 +28,17 @@ def halo(trace: DataFrame, size: int, reach: int) -> DataFrame:
 def clip_events(peaks: DataFrame, trace: DataFrame, chunk: int = CLIP_CHUNK) -> DataFrame:
     """Interval join: peaks(file, peak, start, end, duration, ...) with the samples of [start-1-m, end+1+m), m = duration div 2.
 
-    Both sides meet on (file, chunk); an event is copied only to the chunks that it covers. clip: samples in order; empty
-    where the window holds at most one sample.
+    Both sides meet on (file, chunk); an event is copied only to the chunks that it covers, equal windows of a file once.
+    clip: samples in order; empty where the window holds at most one sample. Repeated peak rows get a clip each.
     """
     m = F.floor(F.col("duration") / 2)
     lo, hi = F.greatest(F.col("start") - 1 - m, F.lit(0)), F.col("end") + 1 + m
     events = peaks.select("*", lo.alias("lo"), hi.alias("hi"))
-    covered = events.where("hi > lo").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor((F.col("hi") - 1) / chunk))))
+    covered = events.where("hi > lo").select("file", "lo", "hi").distinct().withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor((F.col("hi") - 1) / chunk))))
     points = trace.select("file", F.floor(F.col("idx") / chunk).alias("chunk"), "idx", "y")
     met = covered.join(points, ["file", "chunk"]).where("idx >= lo and idx < hi")
-    clips = met.groupBy("file", "peak").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("_c"))
-    joined = events.join(clips, ["file", "peak"], "left")
+    clips = met.groupBy("file", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("idx", "y"))).alias("_c"))
+    joined = events.join(clips, ["file", "lo", "hi"], "left").select(*events.columns, "_c")
     y = F.transform("_c", lambda s: s["y"])
     return joined.withColumn("clip", F.when(F.size("_c") > 1, y).otherwise(F.array().cast("array<double>"))).drop("_c")
 
@@ -154,13 +154,16 @@ def local_threshold(trace: DataFrame, k: float = 6.0, width: int = 501, size: in
 
 
 def assign_event_ids(events: DataFrame, order: list[str], start: int = 0, out: str = "event_id") -> DataFrame:
-    """Consecutive ids by ``order``, whose first column is the file: numbers within a file plus the counts of files before."""
+    """Consecutive ids by ``order``, whose first column is the file: numbers within a file plus the counts of files before.
+
+    The second column of ``order`` is a position; files are numbered in stretches of ``CHUNK`` positions, none as a whole.
+    """
     from .windows import running_id
 
     file = order[0]
     counts = events.groupBy(file).agg(F.count("*").alias("_c"))
     before = counts.select(file, (F.sum("_c").over(Window.orderBy(file)) - F.col("_c")).alias("_files"))
-    numbered = running_id(events, [file], order[1:], F.lit(0), "_in_file")
+    numbered = running_id(events, [file], order[1:], F.floor(F.col(order[1]) / CHUNK), "_in_file")
     return numbered.join(before, file).withColumn(out, F.col("_files") + F.col("_in_file") + start).drop("_files", "_in_file")
 
 

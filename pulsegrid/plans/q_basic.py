@@ -217,11 +217,11 @@ def p10(spark, d):
 _CATEGORY = "CASE WHEN p_type = 'PROMO' THEN 'special' " + " ".join(f"WHEN regexp_matches(lower(p_name), '{p}') THEN '{v}'" for v, p in C.CATEGORY_PATTERNS) + " ELSE 'other' END"
 
 
-@query("p11_feature_category", f"SELECT p_partkey, {_CATEGORY} AS category FROM (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'PROMO' ELSE '' END AS p_type, ['Fft_c', 'AutoCorr', 'n_peak', 'Trend', 'max_x', 'variance', 'length', 'zzz'][p_partkey % 8 + 1] AS p_name FROM part)")
+@query("p11_feature_category", f"SELECT p_partkey, {_CATEGORY} AS category FROM (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'PROMO' ELSE '' END AS p_type, ['value__fft_coefficient__coeff_0', 'Value__Agg_Autocorrelation', 'value__number_peaks__n_1', 'value__linear_trend', 'value__maximum', 'value__fft_aggregated__variance', 'value__length', 'zzz', 'value__mean', 'value__mean_abs_change', 'value__c3__lag_1', 'value__skewness', 'value__longest_strike_above_mean', 'value__large_standard_deviation', 'x_c30'][p_partkey % 15 + 1] AS p_name FROM part)")
 def p11(spark, d):
     p = X.table(spark, d, "part")
-    names = F.array(*[F.lit(x) for x in ("Fft_c", "AutoCorr", "n_peak", "Trend", "max_x", "variance", "length", "zzz")])
-    name = F.when(F.col("p_partkey") % 50 == 0, "PROMO").otherwise(F.get(names, (F.col("p_partkey") % 8).cast("int")))
+    names = F.array(*[F.lit(x) for x in ("value__fft_coefficient__coeff_0", "Value__Agg_Autocorrelation", "value__number_peaks__n_1", "value__linear_trend", "value__maximum", "value__fft_aggregated__variance", "value__length", "zzz", "value__mean", "value__mean_abs_change", "value__c3__lag_1", "value__skewness", "value__longest_strike_above_mean", "value__large_standard_deviation", "x_c30")])
+    name = F.when(F.col("p_partkey") % 50 == 0, "PROMO").otherwise(F.get(names, (F.col("p_partkey") % 15).cast("int")))
     return p.select("p_partkey", C.feature_category(name, extra={"PROMO": "special"}).alias("category"))
 
 

@@ -191,11 +191,11 @@ def a17(spark, d):
     return A.mixture_ratio(X.predictions(spark, d), "file", CLASSES, only_confident=True)
 
 
-_IMPORTANCE = "SELECT 'dim' || (i - 1) || ['_fft', '_mean', '_peak', '_zz'][(i - 1) % 4 + 1] AS feature, avg(abs(embedding[i]::DOUBLE)) AS importance_mean FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i"
+_IMPORTANCE = "SELECT 'dim' || (i - 1) || ['_fft_coefficient', '_mean', '_number_peaks', '_zz'][(i - 1) % 4 + 1] AS feature, avg(abs(embedding[i]::DOUBLE)) AS importance_mean FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY i"
 
 
 def _importance(spark, d):
-    tail = F.array(*[F.lit(x) for x in ("_fft", "_mean", "_peak", "_zz")])
+    tail = F.array(*[F.lit(x) for x in ("_fft_coefficient", "_mean", "_number_peaks", "_zz")])
     e = t(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg(F.abs(F.col("x").cast("double"))).alias("importance_mean"))
     return e.select(F.concat(F.lit("dim"), F.col("i").cast("string"), F.get(tail, F.col("i") % 4)).alias("feature"), "importance_mean")
 

@@ -129,7 +129,7 @@ def test_mixture_keeps_files_without_confident_events(spark):
 def test_histograms_hold_all_in_range(spark):
     df = spark.createDataFrame([("a", float(i), 1.0) for i in range(1, 400)] + [("b", 0.5, 1.0)], "label string, x double, flat double")
     h = A.histogram_stats(df, ["x", "flat"])
-    ranges = {r.feature: r for r in A.value_ranges(A.long_features(df, ["x", "flat"])).collect()}
+    ranges = {r.feature: r for r in A.value_ranges(A.value_counts(df, ["x", "flat"])).collect()}
     for r in h.groupBy("feature").agg(F.sum("count").alias("n")).collect():
         assert r.n == ranges[r.feature].n
     empty = spark.createDataFrame([], "value double")
