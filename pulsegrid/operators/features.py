@@ -144,6 +144,8 @@ CURATED = (
     {k: [{}] for k in ("abs_energy", "root_mean_square", "mean", "median", "maximum", "minimum", "sum_values", "skewness", "kurtosis", "variance", "standard_deviation", "mean_abs_change", "absolute_sum_of_changes",
                        "variance_larger_than_standard_deviation", "first_location_of_maximum", "last_location_of_maximum", "first_location_of_minimum", "last_location_of_minimum", "longest_strike_above_mean", "longest_strike_below_mean")}
     | {
+        "fft_aggregated": [{"aggtype": a} for a in ("centroid", "variance", "skew", "kurtosis")],
+        "number_cwt_peaks": [{"n": n} for n in (1, 5)],
         "quantile": [{"q": q} for q in (0.1, 0.25, 0.75, 0.9)],
         "fft_coefficient": [{"coeff": k, "attr": a} for k in range(5) for a in ("real", "imag", "abs")],
         "number_peaks": [{"n": n} for n in (1, 3, 5)],
@@ -158,7 +160,13 @@ FURTHER = {
     "mean_change": [{}], "mean_second_derivative_central": [{}], "ratio_beyond_r_sigma": [{"r": 1}], "symmetry_looking": [{"r": 0.1}], "number_crossing_m": [{"m": 50}], "large_standard_deviation": [{"r": 0.2}],
     "value_count": [{"value": 1.0}], "sum_of_reoccurring_values": [{}], "sum_of_reoccurring_data_points": [{}], "ratio_value_number_to_time_series_length": [{}],
 }
-PRESETS = {"minimal": MINIMAL, "curated": CURATED, "efficient": CURATED | FURTHER}
+SPECTRAL = {
+    "partial_autocorrelation": [{"lag": k} for k in range(1, 10)],
+    "agg_autocorrelation": [{"f_agg": f, "maxlag": 40} for f in ("mean", "median", "var")],
+    "spkt_welch_density": [{"coeff": k} for k in (2, 5, 8)],
+    "cwt_coefficients": [{"coeff": k, "w": w} for w in (2, 5, 10, 20) for k in range(15)],
+}
+PRESETS = {"minimal": MINIMAL, "curated": CURATED, "efficient": CURATED | FURTHER | SPECTRAL}
 
 
 def feature_name(calculator: str, params: dict) -> str:
@@ -166,10 +174,34 @@ def feature_name(calculator: str, params: dict) -> str:
 
 
 def extract_features(series: DataFrame, preset: str | dict = "curated") -> DataFrame:
-    """One row per id; columns value__<calculator>__<parameter>_<value>. preset: a name, or {calculator: [parameters]}."""
+    """One row per id; columns value__<calculator>__<parameter>_<value>. preset: a name, or {calculator: [parameters]}.
+
+    Calculators that need a whole series at once (``ARRAY_CALCULATORS``) read it as an array made in the same aggregation, so
+    the preset stays one exchange; they run in Arrow batches. Series are meant to be events or waves: such an array is held whole.
+    """
     chosen = PRESETS[preset] if isinstance(preset, str) else preset
-    columns = [CALCULATORS[c](**p).alias(feature_name(c, p)) for c, many in chosen.items() for p in many]
-    return windowed(series).groupBy("id").agg(*columns)
+    every = [(c, p) for c, many in chosen.items() for p in many]
+    arrays = [(c, p) for c, p in every if c not in CALCULATORS]
+    columns = [CALCULATORS[c](**p).alias(feature_name(c, p)) for c, p in every if c in CALCULATORS]
+    if not arrays:
+        return windowed(series).groupBy("id").agg(*columns)
+    names = [feature_name(c, p) for c, p in arrays]
+
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+    def run(values):
+        import pandas as pd
+
+        rows = []
+        for v in values:
+            x = np.asarray(v, float)
+            rows.append([ARRAY_CALCULATORS[c](x, **p) for c, p in arrays])
+        return pd.DataFrame(rows, columns=names, dtype="float64")
+
+    points = F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("_points")
+    found = windowed(series).groupBy("id").agg(*columns, points).withColumn("_values", F.transform("_points", lambda s: s["_x"].cast("double")))
+    found = found.withColumn("_arrays", run("_values"))
+    nan = lambda n: F.when(~F.isnan(f"_arrays.{n}"), F.col(f"_arrays.{n}")).alias(n)
+    return found.select("id", *[nan(feature_name(c, p)) if c not in CALCULATORS else F.col(feature_name(c, p)) for c, p in every])
 
 
 def fft_aggregated(series: DataFrame) -> DataFrame:
@@ -210,46 +242,80 @@ def cwt_peaks(x: np.ndarray, widest: int) -> int:
     return sum(n >= max(1, int(np.ceil(widest / 4))) for _, n in lines)
 
 
-def number_cwt_peaks(series: DataFrame, widths: tuple[int, ...] = (1, 5)) -> DataFrame:
-    def run(pdf):
-        import pandas as pd
+def spectrum_moment(x: np.ndarray, aggtype: str) -> float | None:
+    """Centroid, variance, skew or kurtosis of |rfft| over its bins; the last two are None where the variance is below 0.5."""
+    a = np.abs(np.fft.rfft(x))
+    total = a.sum()
+    if not total:
+        return None
+    m1, m2, m3, m4 = ((np.arange(len(a)) ** float(p) * a).sum() / total for p in (1, 2, 3, 4))
+    var = m2 - m1**2
+    if aggtype in ("centroid", "variance"):
+        return float(m1 if aggtype == "centroid" else var)
+    if var < 0.5:
+        return None
+    return float((m3 - 3 * m1 * var - m1**3) / var**1.5 if aggtype == "skew" else (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * m1**4) / var**2)
+
+
+def autocorrelations(x: np.ndarray, upto: int) -> np.ndarray:
+    """Lags 0 to ``upto`` over n times the variance; 0 where the series is flat or too short."""
+    n, v, d = len(x), x.var(), x - x.mean()
+    return np.array([1.0] + [(d[: n - k] * d[k:]).sum() / (n * v) if v > 0 and n > k else 0.0 for k in range(1, upto + 1)])
+
+
+def partial_autocorrelation(x: np.ndarray, lag: int) -> float | None:
+    """Durbin-Levinson; None where the series is not longer than twice the lag."""
+    if len(x) <= 2 * lag:
+        return None
+    acf, phi = autocorrelations(x, lag), np.zeros((lag + 1, lag + 1))
+    for k in range(1, lag + 1):
+        num = acf[k] - sum(phi[k - 1, j] * acf[k - j] for j in range(1, k))
+        den = 1 - sum(phi[k - 1, j] * acf[j] for j in range(1, k))
+        phi[k, k] = num / den if den else 0.0
+        for j in range(1, k):
+            phi[k, j] = phi[k - 1, j] - phi[k, k] * phi[k - 1, k - j]
+    return float(phi[lag, lag])
+
+
+def agg_autocorrelation(x: np.ndarray, f_agg: str, maxlag: int) -> float:
+    upto = min(maxlag, len(x) - 1)
+    return float({"mean": np.mean, "median": np.median, "var": np.var}[f_agg](autocorrelations(x, upto)[1:])) if upto > 0 else 0.0
+
+
+def welch_density(x: np.ndarray, coeff: int) -> float | None:
+    """Power density of windows of at most 256 points (Hann, half overlapping, means removed) at one bin."""
+    m = min(256, len(x))
+    if m < 2 or coeff > m // 2:
+        return None
+    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)
+    parts = [x[a : a + m] for a in range(0, max(1, len(x) - m + 1), max(1, m // 2))]
+    density = np.mean([np.abs(np.fft.rfft((p - p.mean()) * win)) ** 2 for p in parts], axis=0) / (win**2).sum()
+    density[1:-1] *= 2
+    return float(density[coeff])
+
+
+def cwt_coefficient(x: np.ndarray, coeff: int, w: int) -> float | None:
+    return float(np.convolve(x, _ricker(min(10 * w, len(x)), w), mode="same")[coeff]) if coeff < len(x) else None
+
+
+#: calculator -> function of the whole series and its parameters
+ARRAY_CALCULATORS: dict[str, Callable[..., float | None]] = {
+    "fft_aggregated": spectrum_moment,
+    "number_cwt_peaks": lambda x, n: float(cwt_peaks(x, n)) if len(x) > 2 else 0.0,
+    "partial_autocorrelation": partial_autocorrelation,
+    "agg_autocorrelation": agg_autocorrelation,
+    "spkt_welch_density": welch_density,
+    "cwt_coefficients": cwt_coefficient,
+}
 
-        x = pdf.sort_values("time")["value"].to_numpy()
-        return pd.DataFrame([[pdf["id"].iloc[0], *[cwt_peaks(x, w) if len(x) > 2 else 0 for w in widths]]])
-
-    return series.groupBy("id").applyInPandas(run, "id string, " + ", ".join(f"value__number_cwt_peaks__n_{w} int" for w in widths))
-
-
-def spectral_features(series: DataFrame) -> DataFrame:
-    """Partial autocorrelation (Durbin-Levinson) at lags 1 to 3, mean autocorrelation of ten lags, Welch density at bins 2 and 5, wavelet coefficient."""
-
-    def one(x: np.ndarray) -> list[float]:
-        n, v = len(x), x.var()
-        acf = np.array([1.0] + [((x[: n - k] - x.mean()) * (x[k:] - x.mean())).sum() / (n * v) if v > 0 and n > k else 0.0 for k in range(1, 11)])
-        phi, pacf = np.zeros((4, 4)), []
-        for k in range(1, 4):
-            num = acf[k] - sum(phi[k - 1, j] * acf[k - j] for j in range(1, k))
-            den = 1 - sum(phi[k - 1, j] * acf[j] for j in range(1, k))
-            phi[k, k] = num / den if den else 0.0
-            for j in range(1, k):
-                phi[k, j] = phi[k - 1, j] - phi[k, k] * phi[k - 1, k - j]
-            pacf.append(phi[k, k])
-        m = min(256, n)
-        win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)
-        parts = [x[a : a + m] for a in range(0, max(1, n - m + 1), max(1, m // 2))]
-        density = np.mean([np.abs(np.fft.rfft((p - p.mean()) * win)) ** 2 for p in parts], axis=0) / (win**2).sum() if m > 1 else np.zeros(1)
-        density[1:-1] *= 2
-        welch = [float(density[k]) if len(density) > k else None for k in (2, 5)]
-        cwt = float(np.convolve(x, _ricker(min(20, n), 2), mode="same")[min(5, n - 1)])
-        return [*map(float, pacf), float(acf[1:].mean()), *welch, cwt]
-
-    def run(pdf):
-        import pandas as pd
 
-        return pd.DataFrame([[pdf["id"].iloc[0], *one(pdf.sort_values("time")["value"].to_numpy())]])
+def number_cwt_peaks(series: DataFrame, widths: tuple[int, ...] = (1, 5)) -> DataFrame:
+    return extract_features(series, {"number_cwt_peaks": [{"n": w} for w in widths]})
+
 
-    names = ["partial_autocorrelation__lag_1", "partial_autocorrelation__lag_2", "partial_autocorrelation__lag_3", "agg_autocorrelation__f_mean", "spkt_welch_density__coeff_2", "spkt_welch_density__coeff_5", "cwt_coefficients__w_2"]
-    return series.groupBy("id").applyInPandas(run, "id string, " + ", ".join(f"value__{n} double" for n in names))
+def spectral_features(series: DataFrame, preset: dict = SPECTRAL) -> DataFrame:
+    """Partial and aggregated autocorrelation, Welch density and wavelet coefficients."""
+    return extract_features(series, preset)
 
 
 def impute(features: DataFrame, by: str, cols: list[str]) -> DataFrame:

@@ -168,26 +168,37 @@ def compare_feature_sets(df: DataFrame, sets: dict[str, list[str]], key: str, la
     return out
 
 
+def _macro_f1(said: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys..., f1): macro F1 over the classes that stand as label or prediction in a group of rows."""
+    cells = said.groupBy(*keys, F.col(label).alias("_truth"), F.col("said").alias("_said")).agg(F.count("*").alias("_c"))
+    hit = F.when(F.col("_truth").eqNullSafe(F.col("_said")), F.col("_c")).otherwise(0)
+    sides = F.explode(F.array(F.struct(F.col("_truth").alias("cls"), F.col("_c").alias("support"), F.lit(0).cast("long").alias("told"), hit.alias("hit")),
+                              F.struct(F.col("_said").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("_c").alias("told"), F.lit(0).cast("long").alias("hit"))))
+    each = cells.select(*keys, sides.alias("_s")).groupBy(*keys, "_s.cls").agg(F.sum("_s.support").alias("s"), F.sum("_s.told").alias("t"), F.sum("_s.hit").alias("h"))
+    return each.groupBy(*keys).agg(F.avg(2 * F.col("h") / (F.col("s") + F.col("t"))).alias("f1"))
+
+
 def permutation_importance(model: Boosted, df: DataFrame, key: str, label: str = "label", repeats: int = 10, n: int | None = 3000, seed: int = 42) -> DataFrame:
     """(feature, importance_mean, importance_std): drop of macro F1 when a feature takes the value of another row.
 
-    The other row is the next one in a fixed random order, shifted by another order in each repeat; one pass per feature
-    and repeat is one union branch of a single job over the sub-sample.
+    The other row is the next one in a fixed random order, another order in each repeat. Every row of the sub-sample is copied
+    for each feature and repeat, all copies are scored at once, and F1 is grouped by feature and repeat: one plan, no loop of jobs.
     """
-    rows = (explain_sample(df, key, n, label, seed) if n else df).persist()
-    base = f1(confusion(model.transform(rows), label, "said"), "macro").first().f1
-    total = rows.count()
-    scores = []
+    rows = (explain_sample(df, key, n, label, seed) if n else df).select(key, label, *model.features)
+    total = rows.agg(F.count("*").alias("_all"))
+    pairs = None
     for r in range(repeats):
-        mine = hash_rank(rows.withColumn("_one", F.lit(1)), key, ["_one"], seed + r, "_i")
-        other = mine.select(((F.col("_i") + 1) % total).alias("_i"), *[F.col(f).alias(f"_o_{f}") for f in model.features])
-        both = mine.join(other, "_i").persist()
-        for f in model.features:
-            moved = both.withColumn(f, F.col(f"_o_{f}"))
-            scores.append((f, r, base - f1(confusion(model.transform(moved), label, "said"), "macro").first().f1))
-        both.unpersist()
-    rows.unpersist()
-    drops = df.sparkSession.createDataFrame(scores, "feature string, repeat int, drop double")
+        mine = hash_rank(rows.withColumn("_one", F.lit(1)), key, ["_one"], seed + r, "_i").crossJoin(F.broadcast(total))
+        other = mine.select(((F.col("_i") + 1) % F.col("_all")).alias("_i"), F.struct(*model.features).alias("_o"))
+        one = mine.join(other, "_i").withColumn("repeat", F.lit(r))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    swapped = lambda f: [F.col(f"_o.{g}" if g == f else g).alias(g) for g in model.features]
+    copies = [F.struct(F.lit(f).alias("feature"), *swapped(f)) for f in model.features]
+    plain = F.struct(F.lit("").alias("feature"), *swapped(None))
+    wide = pairs.select(label, "repeat", F.explode(F.array(plain, *copies)).alias("c")).select(label, "repeat", "c.*")
+    scores = _macro_f1(model.transform(wide), ["feature", "repeat"], label)
+    base = scores.where("feature = ''").agg(F.max("f1").alias("base"))
+    drops = scores.where("feature <> ''").crossJoin(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("f1"))
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")).orderBy(F.desc("importance_mean"))
 
 

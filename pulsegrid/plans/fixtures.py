@@ -50,6 +50,12 @@ SELECT user_id::VARCHAR AS id, (row_number() OVER (PARTITION BY user_id ORDER BY
 """
 
 
+def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series cut into waves of 64 points, as events are: no wave grows with the table."""
+    s = series(spark, sf_dir)
+    return s.select(F.concat_ws(":", "id", F.floor(F.col("time") / 64).cast("string")).alias("id"), (F.col("time") % 64).alias("time"), "value")
+
+
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trace (file, idx, y): a file per event type, numbered without ordering a whole file in one task."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("file"), "ts", "event_id", F.col("value").alias("y"), F.get_json_object("props", "$.k").cast("int").alias("k"))

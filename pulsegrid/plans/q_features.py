@@ -107,12 +107,12 @@ def t9(spark, d):
 
 @query("t11_number_cwt_peaks")
 def t11(spark, d):
-    return O.number_cwt_peaks(X.series(spark, d))
+    return O.number_cwt_peaks(X.waves(spark, d))
 
 
 @query("t23_spectral")
 def t23(spark, d):
-    return O.spectral_features(X.series(spark, d))
+    return O.spectral_features(X.waves(spark, d))
 
 
 @query("t24_extract_features", f"{_W} SELECT id, round(sum(x) + 3.3e-8, 6) AS value__sum_values, round(median(x) + 3.3e-8, 6) AS value__median, round(avg(x) + 3.3e-8, 6) AS value__mean, count(*) AS value__length, round(stddev_pop(x) + 3.3e-8, 6) AS value__standard_deviation, round(var_pop(x) + 3.3e-8, 6) AS value__variance, round(sqrt(avg(x * x)) + 3.3e-8, 6) AS value__root_mean_square, round(max(x) + 3.3e-8, 6) AS value__maximum, round(max(abs(x)) + 3.3e-8, 6) AS value__absolute_maximum, round(min(x) + 3.3e-8, 6) AS value__minimum FROM s GROUP BY id")
@@ -122,7 +122,12 @@ def t24(spark, d):
 
 @query("t24_curated")
 def t24_curated(spark, d):
-    return _run(spark, d, "curated")
+    return O.extract_features(X.waves(spark, d), "curated")
+
+
+@query("t24_efficient")
+def t24_efficient(spark, d):
+    return O.extract_features(X.waves(spark, d), "efficient")
 
 
 _BAD = "SELECT l_returnflag AS sample, l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 7 = 1 THEN 'inf'::DOUBLE WHEN l_partkey % 7 = 2 THEN '-inf'::DOUBLE ELSE l_quantity END AS v, CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_tax END AS w FROM lineitem"

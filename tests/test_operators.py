@@ -256,3 +256,61 @@ def test_model_round_trip_and_importance(spark, trained, tmp_path):
         model.transform(df.drop("x"))
     with pytest.raises(ValueError):
         L.train_boosted(df.where("label = 'a'"), ["x"])
+
+
+CURATED_CATEGORIES = {"current level": 11, "waveform asymmetry": 2, "frequency content": 19, "peak count": 5, "rise / fall": 11, "local variation": 5, "autocorrelation": 10}
+
+
+def test_presets_and_their_categories(spark):
+    rows = [(k, t, float((t * 7 + k * 3) % 11)) for k in range(3) for t in range(30)]
+    series = spark.createDataFrame(rows, "id int, time int, value double")
+    out = T.extract_features(series, "curated")
+    names = out.columns[1:]
+    assert len(names) == 63 and len(T.extract_features(series, "efficient").columns) > 63 + 60
+    cats = spark.createDataFrame([(n,) for n in names], "f string").groupBy(C.feature_category(F.col("f")).alias("c")).count().collect()
+    assert {r.c: r["count"] for r in cats} == CURATED_CATEGORIES
+    got = {r.id: r for r in out.collect()}
+    x = np.array([v for k, t, v in rows if k == 1])
+    a = np.abs(np.fft.rfft(x))
+    assert got[1]["value__fft_aggregated__aggtype_centroid"] == pytest.approx((np.arange(16) * a).sum() / a.sum())
+    assert got[1]["value__number_cwt_peaks__n_1"] == T.cwt_peaks(x, 1)
+    slow = {r.id: r for r in T.fft_aggregated(series).collect()}
+    for k in range(3):
+        for n in ("centroid", "variance", "skew", "kurtosis"):
+            assert got[k][f"value__fft_aggregated__aggtype_{n}"] == pytest.approx(slow[k][n])
+    assert T.extract_features(series.where("time < 2"), "efficient").count() == 3
+
+
+def test_spectral_calculators():
+    rng = np.random.default_rng(5)
+    e = rng.normal(size=4000)
+    x = np.zeros(4000)
+    for t in range(1, 4000):
+        x[t] = 0.7 * x[t - 1] + e[t]
+    assert abs(T.partial_autocorrelation(x, 1) - 0.7) < 0.05 and abs(T.partial_autocorrelation(x, 2)) < 0.05
+    wave = np.sin(2 * np.pi * 5 * np.arange(256) / 256)
+    density = [T.welch_density(wave, k) for k in range(12)]
+    assert int(np.argmax(density)) == 5 and T.welch_density(wave[:4], 5) is None
+    assert T.agg_autocorrelation(np.ones(10), "mean", 40) == 0.0 and T.cwt_coefficient(wave, 300, 2) is None
+
+
+def test_repeated_peaks_keep_their_clips(spark):
+    trace = spark.createDataFrame([("f", i, float(i)) for i in range(40)], "file string, idx long, y double")
+    peaks = spark.createDataFrame([("f", 5, 4, 9, 2, 1.0, 0.0)] * 2 + [("f", 5, 4, 6, 2, 1.0, 0.0)], "file string, peak int, start long, end long, duration int, signal double, baseline double")
+    assert sorted(len(r.clip) for r in E.clip_events(peaks, trace, 8).collect()) == [6, 9, 9]
+
+
+def test_string_classes_pass_through_the_attribution_tables(spark):
+    phi = spark.createDataFrame([(1, "click", "a", 2.0), (1, "view", "a", -2.0), (2, "error", "a", 1.0)], "id int, class string, feature string, phi double")
+    assert tuple(H.dominant_class(phi).first()) == ("click", 2.0)
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, size in (("a", 1), ("b", 2), ("c", 501)) for v in rng.integers(0, 90, size)] + [("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in W.exact_percentiles(df.groupBy("g", "v").count(), "v", "count", ["g"], {"x": 0.25, "y": 0.995}).collect()}
+    for g in "abc":
+        values = [v for k, v in rows if k == g and v is not None]
+        assert got[g].x == pytest.approx(np.percentile(values, 25)) and got[g].y == pytest.approx(np.percentile(values, 99.5))
+    assert "d" not in got
