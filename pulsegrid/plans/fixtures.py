@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.signal import detect_pulses
 from pulsegrid.operators.windows import running_id
 
 
@@ -69,17 +73,34 @@ SELECT event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY t
 """
 
 
-def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peaks on the traces: index range of a tenth of the points."""
-    t = trace(spark, sf_dir)
-    return t.where("idx % 10 = 0").select("file", F.col("idx").alias("peak"), (F.col("idx") - F.col("k") % 7).alias("start"), (F.col("idx") + F.col("k") % 11).alias("end"), (F.col("k") % 13).cast("int").alias("duration"), F.col("y").alias("signal"), (F.col("y") - 50).alias("baseline"))
+#: Points of a chunk in the signal queries; a few hundred chunks at the smallest size.
+SIZE = 500
+
+
+def pulses(spark: SparkSession, sf_dir: str, min_ms: float = 0.2) -> DataFrame:
+    return detect_pulses(trace(spark, sf_dir), k=1.0, min_ms=min_ms, size=SIZE)
 
 
-PEAKS = f"""
-SELECT file, idx AS peak, idx - k % 7 AS start, idx + k % 11 AS "end", k % 13 AS duration, y AS signal, y - 50 AS baseline FROM ({TRACE}) WHERE idx % 10 = 0
+PULSES = f"""
+WITH t AS (SELECT file, idx, y, idx // {SIZE} AS chunk FROM ({TRACE})),
+b AS (SELECT file, chunk, median(y) AS baseline, stddev_pop(y) AS sd FROM t GROUP BY 1, 2),
+r AS (SELECT t.*, baseline, baseline + 1.0::DOUBLE * sd AS threshold, y > baseline + 1.0::DOUBLE * sd AS above FROM t JOIN b USING (file, chunk)),
+n AS (SELECT *, CASE WHEN lag(above) OVER w IS NOT DISTINCT FROM above THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY file, chunk ORDER BY idx)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY file, chunk ORDER BY idx) AS run FROM n),
+p AS (SELECT file, chunk, run, min(idx) AS start, max(idx) AS "end", max(y) AS peak, arg_min(idx, (-y, idx)) AS peak_idx, avg(y) AS mean, sum(y - baseline) * 1e-4 AS area,
+  min(baseline) AS baseline, min(threshold) AS threshold FROM k WHERE above GROUP BY 1, 2, 3)
 """
 
 
+def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks on the traces: every run above one deviation over the median of its chunk, with five tenths of a ms a sample."""
+    p = pulses(spark, sf_dir, 0.1).withColumnRenamed("peak", "height")
+    return p.select("file", F.col("peak_idx").alias("peak"), "start", "end", ((F.col("end") - F.col("start") + 1) * 5).cast("int").alias("duration"), F.col("height").alias("signal"), "baseline")
+
+
+PEAKS = f"""{PULSES} SELECT file, peak_idx AS peak, start, "end", (("end" - start + 1) * 5)::INTEGER AS duration, peak AS signal, baseline FROM p"""
+
+
 def lap(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_returnflag").alias("target"), (F.col("l_extendedprice") / 30000).alias("value"), F.col("l_linenumber").alias("ms_idx"))
@@ -122,18 +143,35 @@ FROM (SELECT *, json_extract(props, '$.k')::INTEGER AS k FROM events)
 PREDICTED = f"SELECT id, file, label, list_position(prob, list_max(prob)) - 1 AS pred, list_max(prob) AS pmax FROM ({PREDICTIONS})"
 
 
+N_CLASSES = 10
+
+
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, class, feature, phi, label, pred): eight dimensions of the vectors, less their mean, for three classes."""
-    v = table(spark, sf_dir, "embeddings").where("label < 3").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("d", "x"))
+    """(id, class, feature, phi, label, pred): all components of all vectors, less their mean, for every class."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
     centred = v.join(F.broadcast(v.groupBy("d").agg(F.avg("x").alias("m"))), "d")
-    rows = centred.select(F.col("vec_id").alias("id"), F.col("label"), (F.col("vec_id") % 3).cast("int").alias("pred"), "d", (F.col("x") - F.col("m")).alias("phi"))
-    classes = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class")
+    pred = ((F.col("label") + (F.col("vec_id") % 3 == 0).cast("int")) % N_CLASSES).cast("int")
+    rows = centred.select(F.col("vec_id").alias("id"), F.col("label"), pred.alias("pred"), "d", (F.col("x") - F.col("m")).alias("phi"))
+    classes = F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))).alias("class")
     return rows.select("id", "label", "pred", "d", "phi", classes).select(
         "id", "class", F.concat(F.lit("f"), F.col("d").cast("string")).alias("feature"), (F.col("phi") * (F.col("class") + 1)).alias("phi"), "label", "pred"
     )
 
 
-ATTRIBUTIONS = """
-SELECT vec_id AS id, c AS class, 'f' || (d - 1) AS feature, (x - avg(x) OVER (PARTITION BY d, c)) * (c + 1) AS phi, label, (vec_id % 3)::INTEGER AS pred
-FROM (SELECT vec_id, label, unnest(range(1, 9)) AS d, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings WHERE label < 3), (VALUES (0), (1), (2)) k(c)
+COMPONENTS = "SELECT vec_id, label, unnest(range(0, len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings"
+ATTRIBUTIONS = f"""
+SELECT vec_id AS id, c AS class, 'f' || e.d AS feature, (x - m) * (c + 1) AS phi, label, ((label + (vec_id % 3 = 0)::INTEGER) % {N_CLASSES})::INTEGER AS pred
+FROM ({COMPONENTS}) e JOIN (SELECT d, avg(x) AS m FROM ({COMPONENTS}) GROUP BY d) k ON e.d = k.d, (SELECT unnest(range({N_CLASSES}))::INTEGER AS c)
 """
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that a query writes: below ``spark.checkpoint.dir``, or in a temporary folder of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()

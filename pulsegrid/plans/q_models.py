@@ -89,23 +89,43 @@ def l12(spark, d):
     return L.predict_mixture(_model(spark, d), e, "file")[0]
 
 
+def _components(spark, d, key):
+    e = X.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias(key), *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(64)]), [f"e{k}" for k in range(64)]
+
+
 @query("l13_pca_2d")
 def l13(spark, d):
-    e = X.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(16)])
-    return L.pca_2d(e, [f"e{k}" for k in range(16)], "vec_id")[0].select("vec_id", "pc1", "pc2")
+    e, names = _components(spark, d, "vec_id")
+    return L.pca_2d(e, names, "vec_id", n=None)[0].select("vec_id", "pc1", "pc2")
 
 
 @query("l14_projection_overlay")
 def l14(spark, d):
     phi = X.attributions(spark, d)
-    e = X.table(spark, d, "embeddings").where("label < 3").select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(k)).cast("double").alias(f"e{k}") for k in range(8)])
-    points = L.pca_2d(e, [f"e{k}" for k in range(8)], "id")[0]
-    return L.projection_overlay(points, phi.select("id", "label", "pred").distinct(), phi, n_top=4)
+    e, names = _components(spark, d, "id")
+    return L.projection_overlay(L.pca_2d(e, names, "id", n=None)[0], phi.select("id", "label", "pred").distinct(), phi)
+
+
+@query("l11_model_round_trip")
+def l11(spark, d):
+    """Saved, loaded by its fingerprint, and used."""
+    path = X.scratch(spark, "model")
+    L.save_model(_model(spark, d), path, "v1", "fp", spark)
+    model, _ = L.load_model(path, spark, "fp")
+    return model.transform(_events(spark, d)).groupBy("label", "said").agg(F.count("*").alias("n"))
+
+
+@query("h1_attribution_tables")
+def h1_tables(spark, d):
+    """Attributions of a model through the tables made from them: mean |phi| by class, with the dominant class beside."""
+    phi, _ = H.tree_attributions(_model(spark, d), L.explain_sample(_events(spark, d), "event_id", 2000), "event_id")
+    return H.mean_abs_by_class(phi).crossJoin(F.broadcast(H.dominant_class(phi).withColumnRenamed("class", "dominant")))
 
 
 @query("h1_tree_attributions")
 def h1(spark, d):
-    phi, _ = H.tree_attributions(_model(spark, d), L.explain_sample(_events(spark, d), "event_id", 2000), "event_id")
+    phi, _ = H.tree_attributions(_model(spark, d), L.explain_sample(_events(spark, d), "event_id", 2000), "event_id")  # the sample is part of the operator (H8)
     return phi
 
 
@@ -119,14 +139,15 @@ def _avg_rank(c: str) -> str:
 
 
 @query("h3_importance_comparison", f"""
-WITH g AS (SELECT 'f' || k AS feature, ((k * 5) % 8)::DOUBLE AS gain, CASE WHEN k < 5 THEN ((k * 3) % 4)::DOUBLE END AS h FROM (SELECT unnest(range(8)) AS k)),
+WITH g AS (SELECT 'f' || d AS feature, max(x) AS gain, CASE WHEN avg(x) > 0 THEN var_pop(x) END AS h FROM ({X.COMPONENTS}) GROUP BY d),
 a AS (SELECT feature, avg(abs(phi)) AS mean_abs FROM ({ATTRIBUTIONS}) GROUP BY 1),
 r AS (SELECT feature, {_avg_rank('gain')} AS rg, {_avg_rank('mean_abs')} AS ra, {_avg_rank('h')} AS rh FROM g LEFT JOIN a USING (feature))
 SELECT feature, rg AS rank_gain, ra AS rank_mean_abs, rh AS rank_h, rg - ra AS gain_vs_attribution, rh - ra AS test_vs_attribution FROM r
 """)
 def h3(spark, d):
-    k = F.col("id")
-    base = spark.range(8).select(F.concat(F.lit("f"), k.cast("string")).alias("feature"), ((k * 5) % 8).cast("double").alias("gain"), F.when(k < 5, ((k * 3) % 4).cast("double")).alias("h"))
+    e = X.table(spark, d, "embeddings").select(F.posexplode("embedding").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
+    base = e.groupBy("d").agg(F.max("x").alias("gain"), F.when(F.avg("x") > 0, F.var_pop("x")).alias("h"))
+    base = base.withColumn("feature", F.concat(F.lit("f"), F.col("d").cast("string")))
     means = X.attributions(spark, d).groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
     out = H.importance_comparison(base.select("feature", "gain"), means, base.where("h is not null").select("feature", "h"))
     return out.select("feature", "rank_gain", "rank_mean_abs", "rank_h", "gain_vs_attribution", "test_vs_attribution")

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import signal as O
 
 from . import fixtures as X
-from .fixtures import PEAKS, TRACE, r6
+from .fixtures import PEAKS, PULSES, SIZE, TRACE, r6
 from .register import query
 
-SIZE = 500
-
 CLIPS = f"""
 SELECT p.file, p.peak, p.signal, p.baseline, p.duration, coalesce(c.y, []::DOUBLE[]) AS clip FROM ({PEAKS}) p LEFT JOIN (
   SELECT p.file, p.peak, list(t.y ORDER BY t.idx) AS y FROM ({PEAKS}) p JOIN ({TRACE}) t ON p.file = t.file
@@ -72,32 +70,17 @@ def e6(spark, d):
     return O.collect_events(X.peaks(spark, d), t, quality).select("file", "peak", "event_id", F.size("wave").alias("n_wave"))
 
 
-_PULSES = f"""
-WITH t AS (SELECT file, idx, y, idx // {SIZE} AS chunk FROM ({TRACE})),
-b AS (SELECT file, chunk, median(y) AS baseline, stddev_pop(y) AS sd FROM t GROUP BY 1, 2),
-r AS (SELECT t.*, baseline, baseline + 1.0::DOUBLE * sd AS threshold, y > baseline + 1.0::DOUBLE * sd AS above FROM t JOIN b USING (file, chunk)),
-n AS (SELECT *, CASE WHEN lag(above) OVER w IS NOT DISTINCT FROM above THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY file, chunk ORDER BY idx)),
-k AS (SELECT *, sum(new) OVER (PARTITION BY file, chunk ORDER BY idx) AS run FROM n),
-p AS (SELECT file, chunk, run, min(idx) AS start, max(idx) AS "end", max(y) AS peak, arg_min(idx, (-y, idx)) AS peak_idx, avg(y) AS mean, sum(y - baseline) * 1e-4 AS area,
-  min(baseline) AS baseline, min(threshold) AS threshold FROM k WHERE above GROUP BY 1, 2, 3)
-"""
-
-
-def _pulses(spark, d):
-    return O.detect_pulses(X.trace(spark, d), k=1.0, min_ms=0.2, size=SIZE)
-
-
-@query("e7_detect_pulses", _PULSES + """
+@query("e7_detect_pulses", PULSES + """
 SELECT file, start, "end", round(peak, 6) AS peak, round(mean, 6) AS mean, round(area, 6) AS area, round(baseline, 6) AS baseline, round(threshold, 6) AS threshold,
   round(("end" - start + 1) * 1e-4, 6) AS width FROM p WHERE ("end" - start + 1) * 1e-4 >= 0.0002
 """)
 def e7(spark, d):
-    return _pulses(spark, d).select("file", "start", "end", *[r6(c).alias(c) for c in ("peak", "mean", "area", "baseline", "threshold", "width")])
+    return X.pulses(spark, d).select("file", "start", "end", *[r6(c).alias(c) for c in ("peak", "mean", "area", "baseline", "threshold", "width")])
 
 
-@query("e12_pulse_peak", _PULSES + """SELECT file, start, peak_idx, round(peak, 6) AS peak FROM p WHERE ("end" - start + 1) * 1e-4 >= 0.0002""")
+@query("e12_pulse_peak", PULSES + """SELECT file, start, peak_idx, round(peak, 6) AS peak FROM p WHERE ("end" - start + 1) * 1e-4 >= 0.0002""")
 def e12(spark, d):
-    return _pulses(spark, d).select("file", "start", "peak_idx", r6("peak").alias("peak"))
+    return X.pulses(spark, d).select("file", "start", "peak_idx", r6("peak").alias("peak"))
 
 
 @query("e8_chunk_trace", f"SELECT file, idx // {SIZE} AS chunk, count(*) AS n, round(sum(y), 4) AS total FROM ({TRACE}) GROUP BY 1, 2")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import columns as C
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import windows as W
+from pulsegrid.operators.features import extract_features
+from pulsegrid.sources import tables as S
 from pulsegrid.streaming import merge as I
 
 from . import fixtures as X
@@ -64,7 +66,7 @@ def j7(spark, d):
     return J.importance_with_stats(t(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.col("p_retailprice").alias("importance")), stats)
 
 
-_COUNTS = "SELECT 'src' || k AS name, (k * 7) % 20 AS position, k * 10 AS count FROM (SELECT unnest(range(1, 20)) AS k)"
+_COUNTS = "SELECT source AS name, min(doc_id) AS position, count(*) AS count FROM documents GROUP BY 1"
 
 
 @query("j8_match_counts", f"""
@@ -72,10 +74,9 @@ SELECT f.stem, coalesce(m.c, 0)::BIGINT AS count FROM (SELECT DISTINCT source ||
   SELECT stem, arg_min(count, position) AS c FROM (SELECT DISTINCT source || '_' || lang AS stem FROM documents), ({_COUNTS}) WHERE contains(stem, name) GROUP BY stem) m ON f.stem = m.stem
 """)
 def j8(spark, d):
-    files = t(spark, d, "documents").select(F.concat_ws("_", "source", "lang").alias("stem")).distinct()
-    k = F.col("id")
-    counts = spark.range(1, 20).select(F.concat(F.lit("src"), k.cast("string")).alias("name"), ((k * 7) % 20).alias("position"), (k * 10).alias("count"))
-    return J.match_counts(files, counts)
+    docs = t(spark, d, "documents")
+    counts = docs.groupBy(F.col("source").alias("name")).agg(F.min("doc_id").alias("position"), F.count("*").alias("count"))
+    return J.match_counts(docs.select(F.concat_ws("_", "source", "lang").alias("stem")).distinct(), counts)
 
 
 _INV = """
@@ -244,3 +245,104 @@ def a26(spark, d):
     from pulsegrid.operators.aggregates import next_id
 
     return next_id(t(spark, d, "events"))
+
+
+_KEYS = "SELECT DISTINCT o_custkey::VARCHAR AS file, (o_orderkey % 50)::INTEGER AS peak_pos FROM orders"
+_STREAM = "event_id long, file string, peak_pos int"
+
+
+def _ingested(spark, d, rounds):
+    """The table after the batches of ``rounds`` have arrived as files, one run of the stream after each."""
+    source, target, checkpoint = (X.scratch(spark, n) for n in ("source", "target", "stream"))
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").cast("string").alias("file"), (F.col("o_orderkey") % 50).cast("int").alias("peak_pos"))
+    for condition in rounds:
+        if condition:
+            S.append_events(o.where(condition), source)
+        I.ingest_stream(spark, source, _STREAM, target, checkpoint).awaitTermination()
+    return spark.read.parquet(target)
+
+
+@query("i2_ingest_stream", _KEYS)
+def i2(spark, d):
+    return _ingested(spark, d, ["event_id % 2 = 0", "event_id % 2 = 1"]).select("file", "peak_pos")
+
+
+@query("i3_stream_deduplication", f"SELECT file, count(*) AS n FROM ({_KEYS}) GROUP BY 1")
+def i3(spark, d):
+    """All rows arrive twice; keys of the first time are dropped by the stream's state."""
+    return _ingested(spark, d, ["true", "true"]).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query("i5_repeated_run", f"SELECT count(*) AS n, count(DISTINCT (file, peak_pos)) AS n_keys FROM ({_KEYS})")
+def i5(spark, d):
+    """A run without new files adds nothing."""
+    return _ingested(spark, d, ["true", None, None]).agg(F.count("*").alias("n"), F.count_distinct("file", "peak_pos").alias("n_keys"))
+
+
+_PRESET = {"sum_values": [{}], "length": [{}]}
+
+
+def _store(spark, d, samples):
+    """A feature store that holds the features of some samples (event types), and what was read of them."""
+    store = I.FeatureStore(spark, X.scratch(spark, "features"))
+    e = t(spark, d, "events").select(F.concat_ws(":", "event_type", "user_id").alias("id"), "event_type", F.col("event_id").alias("time"), "value")
+    read = [store.get(s, "fp", _PRESET, lambda s=s: extract_features(e.where(F.col("event_type") == s), _PRESET)).withColumn("sample", F.lit(s)) for s in samples]
+    return store, read
+
+
+@query("i4_completed_samples", "SELECT DISTINCT event_type AS sample FROM events WHERE event_type NOT IN ('click', 'view')")
+def i4(spark, d):
+    store, _ = _store(spark, d, ["click", "view"])
+    keys = t(spark, d, "events").select(F.col("event_type").alias("sample")).distinct()
+    return store.missing(keys.withColumns({"fingerprint": F.lit("fp"), "preset": F.lit(I.preset_hash(_PRESET))})).select("sample")
+
+
+@query("i6_feature_store", "SELECT event_type AS sample, event_type || ':' || user_id AS id, round(sum(value) + 3.3e-8, 6) AS total, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2")
+def i6(spark, d):
+    _, read = _store(spark, d, ["click", "error", "click"])
+    out = J.union_samples(read[1:])
+    return out.select("sample", "id", F.round(F.col("value__sum_values") + 3.3e-8, 6).alias("total"), F.col("value__length").alias("n"))
+
+
+# ---------------------------------------------------------------- writing
+
+
+@query("s10_append_events", "SELECT o_orderkey, o_custkey FROM orders")
+def s10(spark, d):
+    path, o = X.scratch(spark, "events"), t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    for k in range(2):
+        S.append_events(o.where(f"o_orderkey % 2 = {k}"), path)
+    return spark.read.parquet(path)
+
+
+@query("s11_write_result", "SELECT p_partkey::BIGINT AS p_partkey, p_brand, p_size::INTEGER AS p_size FROM part")
+def s11(spark, d):
+    path, p = X.scratch(spark, "result"), t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_brand", F.col("p_size").cast("int").alias("p_size"))
+    S.write_result(p, path + ".csv", "csv")
+    return S.read_table(spark, path, "p_partkey long, p_brand string, p_size int")
+
+
+@query("s12_write_snapshot", """
+SELECT 'latest' AS part, o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 2
+UNION ALL SELECT 'history', o_orderstatus, count(*) FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 2
+""")
+def s12(spark, d):
+    path, o = X.scratch(spark, "snapshot"), t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    S.write_snapshot(o, path, "t1", "status")
+    S.write_snapshot(o.where("o_orderkey % 3 = 0"), path, "t2", "status")
+    count = lambda name: spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("part"), F.col("status").cast("string").alias("status")).agg(F.count("*").alias("n"))
+    return count("latest").unionByName(count("history"))
+
+
+@query("n5_schema_guard", "SELECT l_returnflag AS sample, count(*) AS n, true AS guarded FROM lineitem GROUP BY 1")
+def n5(spark, d):
+    """Samples of the same feature columns pass together; one with another column is refused."""
+    li = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample"), F.col("l_quantity").alias("value__q"), F.col("l_tax").alias("value__t"))
+    samples = {r.sample: li.where(F.col("sample") == r.sample) for r in li.select("sample").distinct().collect()}
+    J.schema_guard(samples)
+    try:
+        J.schema_guard(samples | {"other": li.drop("value__t")})
+        guarded = False
+    except ValueError:
+        guarded = True
+    return J.union_samples(list(samples.values())).groupBy("sample").agg(F.count("*").alias("n")).withColumn("guarded", F.lit(guarded))
