@@ -1,14 +1,14 @@
 """BPE with word ends through a distinct-word table.
 
-1. Blocks of documents are split into words (normalised as the vocabulary file says); a block keeps its distinct words,
-   dealt into buckets by hash, and every position as a number into them.
-2. The words of one bucket, from all blocks, meet in one task; each distinct word is encoded once.
-3. Ids go back to the blocks by bucket and order, and to the documents by position.
-4. Decoding looks every id up in the table of pieces, whose size is the vocabulary's.
+1. Texts are split into words (normalised as the vocabulary file says) in blocks; each distinct word of a block is a row with
+   its number there.
+2. The rows meet by word, whatever block they come from, and each distinct word of the corpus is encoded once.
+3. Ids go back to the blocks, by the word's number, and to the documents, by position.
+4. Decoding joins ids with the id-to-piece table, which is broadcast: it is as long as the vocabulary, whatever the corpus.
 
 Texts are read and split twice, once for words and once for positions, because a stored copy of the positions would cost
 more disk than the second reading costs time. Blocks are numbered by partition and carry a checksum of their words; the
-two readings are matched by both, and a block without its words is an error.
+two readings are matched by both, and a block whose words are missing or others is an error.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +78,22 @@ class _Slots(dict):
         return n
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary())])
-_CODES = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+#: Place of a block's own row, behind all its words.
+LAST = 2**31 - 1
+
+_WORDS = pa.schema([("word", pa.string()), ("block", pa.int64()), ("mark", pa.int64()), ("place", pa.int32())])
+_CODES = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("place", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
 
 
 def _blocks(batches, split):
-    """(block, documents, word counts, distinct words by number, numbers of all positions) of consecutive rows."""
-    part, number = TaskContext.get().partitionId(), 0
+    """(block, documents, word counts, distinct words by number, numbers of all positions) of consecutive rows.
+
+    Rows bring the number of their partition: a task's own number is another one where the plan is a branch of a union.
+    """
+    part, number = 0, 0
     slots, docs, counts, codes, chars = _Slots(), [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = split(text)
             docs.append(doc)
             counts.append(len(words))
@@ -101,76 +106,52 @@ def _blocks(batches, split):
         yield part << 33 | number, docs, counts, list(slots), codes
 
 
-def _order(words: list[str], n_buckets: int) -> tuple[list[int], list[int], int]:
-    """Bucket of each word, the order by bucket and word, and a checksum of the words in that order."""
-    home = [zlib.crc32(w.encode()) % n_buckets for w in words]
-    order = sorted(range(len(words)), key=lambda k: (home[k], words[k]))
-    return home, order, zlib.crc32("\n".join([words[k] for k in order]).encode())
+def _mark(words: list[str]) -> int:
+    return zlib.crc32("\n".join(words).encode())
 
 
-def _word_batches(tokenizer: str, n_buckets: int):
-    def rows(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for block, _, _, words, _ in _blocks(batches, word_level(tokenizer).split):
-            home, order, mark = _order(words, n_buckets)
-            start = 0
-            for end in range(1, len(order) + 1):
-                if end == len(order) or home[order[end]] != home[order[start]]:
-                    yield block, mark, home[order[start]], press.compress("\n".join([words[k] for k in order[start:end]]).encode())
-                    start = end
-
+def _word_batches(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _WORDS, lambda r: len(r[3]))
+        for block, _, _, words, _ in _blocks(batches, word_level(tokenizer).split):
+            mark = _mark(words)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                n = len(part)
+                columns = [pa.array(part), pa.array(np.full(n, block)), pa.array(np.full(n, mark)), pa.array(np.arange(at, at + n, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=_WORDS)
 
     return run
 
 
-def _code_batches(tokenizer: str, n_buckets: int):
+def _code_batches(tokenizer: str):
     def rows(batches):
         press = zstandard.ZstdCompressor(level=3)
         for block, docs, counts, words, codes in _blocks(batches, word_level(tokenizer).split):
-            _, order, mark = _order(words, n_buckets)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            yield block, mark, docs, counts, pack(place[np.concatenate(codes)], press)
+            yield block, _mark(words), LAST, docs, counts, pack(np.concatenate(codes), press)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _CODES, lambda r: len(r[4]))
+        return in_batches(rows(batches), _CODES, lambda r: len(r[5]))
 
     return run
 
 
-_ENCODED = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("bucket", pa.int64()), ("sizes", pa.binary()), ("ids", pa.binary())])
-
-
 def _encode_batches(tokenizer: str):
-    """Rows sorted by bucket: a word is encoded where it is first met in its bucket."""
-
-    def rows(batches):
-        encode, press, expand = word_level(tokenizer).encode, zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        known: dict[str, np.ndarray] = {}
-        now = None
-        for batch in batches:
-            for bucket, block, mark, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now:
-                    known, now = {}, bucket
-                words = expand.decompress(packed).decode().split("\n")
-                new = [w for w in words if w not in known]
-                for w, ids in zip(new, encode(new), strict=True):
-                    known[w] = np.array(ids, np.uint32)
-                found = [known[w] for w in words]
-                sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                yield block, mark, bucket, pack(sizes, press), pack(np.concatenate(found), press)
+    """Rows sorted by word: a word is encoded where it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _ENCODED, lambda r: len(r[3]) + len(r[4]))
+        encode, last, known = word_level(tokenizer).encode, None, {}
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            known = {last: known[last]} if last in known else {}
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            for w, ids in zip(new, encode(new), strict=True):
+                known[w] = np.array(ids, "<u4").tobytes()
+            last = words[-1] if words else last
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), pa.array([known[w] for w in words], pa.binary())], ["block", "mark", "place", "ids"])
 
     return run
 
 
-_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
-
-
 def pieces_of(tokenizer: str) -> list[str]:
     """Piece by id: the id-to-piece table, as long as the vocabulary."""
     lib = load_tokenizer(tokenizer)
@@ -182,50 +163,80 @@ def pieces_of(tokenizer: str) -> list[str]:
     return out
 
 
-def _join_batches(tokenizer: str):
-    def rows(batches):
-        expand = zstandard.ZstdDecompressor()
-        pieces = np.array(pieces_of(tokenizer), object)
-        for batch in batches:
-            for docs, counts, codes, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if parts is None and sum(counts):
-                    raise RuntimeError("two readings of the input gave different blocks")
-                parts = sorted(parts or [], key=lambda p: p["bucket"])
-                sizes = np.concatenate([unpack(p["sizes"], expand) for p in parts] or [np.zeros(0)]).astype(np.int64)
-                flat = np.concatenate([unpack(p["ids"], expand) for p in parts] or [np.zeros(0)]).astype("<u4")
-                starts = np.cumsum(sizes) - sizes
-                at, here = unpack(codes, expand), 0
-                for doc, n in zip(docs, counts, strict=True):
-                    own = at[here : here + n]
-                    here += n
-                    many = sizes[own]
-                    ends = np.cumsum(many)
-                    ids = flat[np.repeat(starts[own] - (ends - many), many) + np.arange(int(ends[-1]) if n else 0)]
-                    yield doc, ids.tobytes(), " ".join(pieces[ids].tolist())
+_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int32()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _DECODED, lambda r: len(r[1]) + len(r[2]))
 
-    return run
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, mark and place: the ids of a block's words, then the block itself."""
+    expand = zstandard.ZstdDecompressor()
+    held: list[tuple[bytes, np.ndarray]] = []
+    own = None
+    for batch in batches:
+        block, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        ends = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) == LAST)
+        at = 0
+        for end in [*ends.tolist(), batch.num_rows]:
+            if end > at:
+                if held and own != (block[at], mark[at]) or (block[at : end] != block[at]).any() or (mark[at : end] != mark[at]).any():
+                    raise RuntimeError("two readings of the input gave different blocks")
+                own = (block[at], mark[at])
+                ids = batch.column(3).slice(at, end - at).to_pylist()
+                held.append((b"".join(ids), np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+            if end == batch.num_rows:
+                break
+            docs, counts, codes = (batch.column(k)[end].as_py() for k in (4, 5, 6))
+            flat = np.frombuffer(b"".join(h[0] for h in held), "<u4")
+            sizes = np.concatenate([h[1] for h in held] or [np.zeros(0, np.int64)])
+            places = unpack(codes, expand)
+            if held and own != (block[end], mark[end]) or (int(places.max()) + 1 if len(places) else 0) != len(sizes):
+                raise RuntimeError("two readings of the input gave different blocks")
+            yield from _documents(docs, counts, places, sizes, flat)
+            held, at = [], end + 1
+    if held:
+        raise RuntimeError("two readings of the input gave different blocks")
+
+
+def _documents(docs: list, counts: list[int], places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    starts, here, out, size = np.cumsum(sizes) - sizes, 0, [], 0
+
+    def batch():
+        values = np.concatenate([ids for _, ids in out]) if out else np.zeros(0, "<u4")
+        offsets = np.concatenate([[0], np.cumsum([len(ids) for _, ids in out])]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([ids.tobytes() for _, ids in out], pa.binary()), tokens], schema=_IDS)
+
+    for doc, n in zip(docs, counts, strict=True):
+        own = places[here : here + n]
+        here += n
+        many = sizes[own]
+        ends = np.cumsum(many)
+        out.append((doc, flat[np.repeat(starts[own] - (ends - many), many) + np.arange(int(ends[-1]) if n else 0)]))
+        size += len(out[-1][1])
+        if size > 2_000_000:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
 
 
 def word_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE) -> DataFrame:
     """(doc_id, ids, decoded): one row per input row; ids are little-endian uint32 bytes.
 
     Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows and ids stay; a null id
-    stays null; an empty table gives an empty table; other columns are not read. Very common words are one entry per
-    block, so no bucket holds more than its share of the distinct words of each block.
+    stays null; an empty table gives an empty table; other columns are not read. A very common word is one row per block.
+    Partitions grow with those of the input, so no task's share does.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    words = texts.mapInArrow(_word_batches(tokenizer, n_buckets), "block long, mark long, bucket long, words binary")
-    grouped = words.select("bucket", "block", "mark", "words").repartition("bucket").sortWithinPartitions("bucket")
-    encoded = grouped.mapInArrow(_encode_batches(tokenizer), "block long, mark long, bucket long, sizes binary, ids binary")
-    gathered = encoded.groupBy("block", "mark").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
-    blocks = texts.mapInArrow(_code_batches(tokenizer, n_buckets), "block long, mark long, docs array<bigint>, counts array<bigint>, codes binary")
-    joined = blocks.join(gathered, ["block", "mark"], "left").select("docs", "counts", "codes", "parts")
-    return joined.mapInArrow(_join_batches(tokenizer), "doc_id long, ids binary, decoded string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    words = texts.mapInArrow(_word_batches(tokenizer), "word string, block long, mark long, place int")
+    encoded = words.repartition(many, "word").sortWithinPartitions("word").mapInArrow(_encode_batches(tokenizer), "block long, mark long, place int, ids binary")
+    blocks = texts.mapInArrow(_code_batches(tokenizer), "block long, mark long, place int, docs array<bigint>, counts array<bigint>, codes binary")
+    rows = encoded.unionByName(blocks, allowMissingColumns=True).repartition(many, "block").sortWithinPartitions("block", "mark", "place")
+    found = rows.select("block", "mark", "place", "ids", "docs", "counts", "codes").mapInArrow(_assemble, "doc_id long, ids binary, tokens array<int>")
+    pieces = spark.createDataFrame([(pieces_of(tokenizer),)], "pieces array<string>")
+    joined = found.crossJoin(F.broadcast(pieces))  # one row, as long as the vocabulary: ids are its positions
+    return joined.select("doc_id", "ids", F.array_join(F.transform("tokens", lambda i: F.get(F.col("pieces"), i)), " ").alias("decoded"))
 
 
 def op10_query(spark, sf_dir):
