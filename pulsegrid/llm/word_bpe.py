@@ -3,8 +3,9 @@
 1. Texts are split into words (normalised as the vocabulary file says) in blocks; each distinct word of a block is a row with
    its number there.
 2. The rows meet by word, whatever block they come from, and each distinct word of the corpus is encoded once.
-3. Ids go back to the blocks, by the word's number, and to the documents, by position.
-4. Decoding joins ids with the id-to-piece table, which is broadcast: it is as long as the vocabulary, whatever the corpus.
+3. Ids go back to the blocks, by the word's number, packed by task and block, and to the documents, by position.
+4. Decoding joins ids with the id-to-piece table where the ids are put together: the table is as long as the vocabulary,
+   whatever the corpus, and every task holds it. As rows of a shuffled join the ids would be many times the input.
 
 Texts are read and split twice, once for words and once for positions, because a stored copy of the positions would cost
 more disk than the second reading costs time. Blocks are numbered by partition and carry a checksum of their words; the
@@ -14,12 +15,13 @@ two readings are matched by both, and a block whose words are missing or others
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,18 +80,29 @@ class _Slots(dict):
         return n
 
 
-#: Place of a block's own row, behind all its words.
-LAST = 2**31 - 1
-
-_WORDS = pa.schema([("word", pa.string()), ("block", pa.int64()), ("mark", pa.int64()), ("place", pa.int32())])
-_CODES = pa.schema([("block", pa.int64()), ("mark", pa.int64()), ("place", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+_WORDS = pa.schema([("word", pa.string()), ("block", pa.int64()), ("place", pa.int32())])
+_CODES = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_CODES_SQL = "block long, docs array<bigint>, counts array<bigint>, codes binary, places binary, sizes binary, ids binary"
+#: Ids that a task packs at a time.
+PACKED = 2_000_000
 
 
 def _blocks(batches, split):
-    """(block, documents, word counts, distinct words by number, numbers of all positions) of consecutive rows.
+    """(block, documents, word counts, distinct words in order, places of all positions among them) of consecutive rows.
 
+    A block is named by its partition, its number there and its words, so that two readings that differ never meet.
     Rows bring the number of their partition: a task's own number is another one where the plan is a branch of a union.
     """
+
+    def block():
+        words = list(slots)
+        order = sorted(range(len(words)), key=words.__getitem__)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        words = [words[k] for k in order]
+        name = xxhash.xxh64_intdigest(f"{part}:{number}:" + "\n".join(words)) >> 1
+        return name, docs, counts, words, place[np.concatenate(codes)]
+
     part, number = 0, 0
     slots, docs, counts, codes, chars = _Slots(), [], [], [], 0
     for batch in batches:
@@ -100,24 +113,18 @@ def _blocks(batches, split):
             codes.append(np.fromiter(map(slots.__getitem__, words), np.int32, len(words)))
             chars += len(text)
             if chars >= BLOCK_CHARS:
-                yield part << 33 | number, docs, counts, list(slots), codes
+                yield block()
                 slots, docs, counts, codes, chars, number = _Slots(), [], [], [], 0, number + 1
     if docs:
-        yield part << 33 | number, docs, counts, list(slots), codes
-
-
-def _mark(words: list[str]) -> int:
-    return zlib.crc32("\n".join(words).encode())
+        yield block()
 
 
 def _word_batches(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, words, _ in _blocks(batches, word_level(tokenizer).split):
-            mark = _mark(words)
             for at in range(0, len(words), 50_000):
                 part = words[at : at + 50_000]
-                n = len(part)
-                columns = [pa.array(part), pa.array(np.full(n, block)), pa.array(np.full(n, mark)), pa.array(np.arange(at, at + n, dtype=np.int32))]
+                columns = [pa.array(part), pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, schema=_WORDS)
 
     return run
@@ -126,28 +133,55 @@ def _word_batches(tokenizer: str):
 def _code_batches(tokenizer: str):
     def rows(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for block, docs, counts, words, codes in _blocks(batches, word_level(tokenizer).split):
-            yield block, _mark(words), LAST, docs, counts, pack(np.concatenate(codes), press)
+        for block, docs, counts, _, places in _blocks(batches, word_level(tokenizer).split):
+            yield block, docs, counts, pack(places, press), None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_batches(rows(batches), _CODES, lambda r: len(r[5]))
+        return in_batches(rows(batches), _CODES, lambda r: len(r[3]))
 
     return run
 
 
 def _encode_batches(tokenizer: str):
-    """Rows sorted by word: a word is encoded where it is first met."""
+    """Rows sorted by word: a word is encoded where it is first met; its ids go to every block that has it."""
+
+    def rows(batches):
+        encode, press = word_level(tokenizer).encode, zstandard.ZstdCompressor(level=3)
+        last, known = None, {}
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush():
+            block, place, sizes, flat = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((place, block))
+            starts = np.cumsum(sizes) - sizes
+            block, place, sizes, starts = block[order], place[order], sizes[order], starts[order]
+            ends = np.cumsum(sizes)
+            flat = flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(len(flat))]
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                steps = np.diff(place[a:b], prepend=0)
+                yield int(block[a]), None, None, None, pack(steps, press), pack(sizes[a:b], press), pack(flat[ends[a] - sizes[a] : ends[b - 1]], press)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, known = word_level(tokenizer).encode, None, {}
         for batch in batches:
             words = batch.column(0).to_pylist()
             known = {last: known[last]} if last in known else {}
             new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, ids in zip(new, encode(new), strict=True):
-                known[w] = np.array(ids, "<u4").tobytes()
+            known.update(zip(new, encode(new), strict=True))
             last = words[-1] if words else last
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), pa.array([known[w] for w in words], pa.binary())], ["block", "mark", "place", "ids"])
+            found = [known[w] for w in words]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), sizes, flat))
+            size += len(flat)
+            if size > PACKED:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows(batches), _CODES, lambda r: len(r[4]) + len(r[5]) + len(r[6]))
 
     return run
 
@@ -163,60 +197,51 @@ def pieces_of(tokenizer: str) -> list[str]:
     return out
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int32()))])
+_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, mark and place: the ids of a block's words, then the block itself."""
-    expand = zstandard.ZstdDecompressor()
-    held: list[tuple[bytes, np.ndarray]] = []
-    own = None
-    for batch in batches:
-        block, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        ends = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) == LAST)
-        at = 0
-        for end in [*ends.tolist(), batch.num_rows]:
-            if end > at:
-                if held and own != (block[at], mark[at]) or (block[at : end] != block[at]).any() or (mark[at : end] != mark[at]).any():
+def _assemble(tokenizer: str):
+    """Rows sorted by block, the block's own row last: the ids of its words, then their places in its documents."""
+
+    def rows(batches):
+        expand, pieces = zstandard.ZstdDecompressor(), np.array(pieces_of(tokenizer), object)
+        held, own = [], None
+        for batch in batches:
+            for block, docs, counts, codes, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and block != own:
+                    raise RuntimeError("two readings of the input gave different blocks")
+                own = block
+                if docs is None:
+                    held.append([unpack(x, expand) for x in packed])
+                    continue
+                at = np.concatenate([np.cumsum(h[0], dtype=np.int64) for h in held] or [np.zeros(0, np.int64)])
+                sizes = np.concatenate([h[1] for h in held] or [np.zeros(0)]).astype(np.int64)
+                flat = np.concatenate([h[2] for h in held] or [np.zeros(0)]).astype("<u4")
+                places, held = unpack(codes, expand), []
+                n_words = int(places.max()) + 1 if len(places) else 0
+                if len(at) != n_words or (np.bincount(at, minlength=n_words) != 1).any():
                     raise RuntimeError("two readings of the input gave different blocks")
-                own = (block[at], mark[at])
-                ids = batch.column(3).slice(at, end - at).to_pylist()
-                held.append((b"".join(ids), np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
-            if end == batch.num_rows:
-                break
-            docs, counts, codes = (batch.column(k)[end].as_py() for k in (4, 5, 6))
-            flat = np.frombuffer(b"".join(h[0] for h in held), "<u4")
-            sizes = np.concatenate([h[1] for h in held] or [np.zeros(0, np.int64)])
-            places = unpack(codes, expand)
-            if held and own != (block[end], mark[end]) or (int(places.max()) + 1 if len(places) else 0) != len(sizes):
-                raise RuntimeError("two readings of the input gave different blocks")
-            yield from _documents(docs, counts, places, sizes, flat)
-            held, at = [], end + 1
-    if held:
-        raise RuntimeError("two readings of the input gave different blocks")
-
-
-def _documents(docs: list, counts: list[int], places: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    starts, here, out, size = np.cumsum(sizes) - sizes, 0, [], 0
-
-    def batch():
-        values = np.concatenate([ids for _, ids in out]) if out else np.zeros(0, "<u4")
-        offsets = np.concatenate([[0], np.cumsum([len(ids) for _, ids in out])]).astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([ids.tobytes() for _, ids in out], pa.binary()), tokens], schema=_IDS)
+                starts, by_place = np.empty(n_words, np.int64), np.empty(n_words, np.int64)
+                starts[at], by_place[at] = np.cumsum(sizes) - sizes, sizes
+                yield from _documents(docs, counts, places, starts, by_place, flat, pieces)
+        if held:
+            raise RuntimeError("two readings of the input gave different blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_batches(rows(batches), _DECODED, lambda r: len(r[1]) + len(r[2]))
+
+    return run
+
 
+def _documents(docs: list, counts: list[int], places: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, pieces: np.ndarray) -> Iterator[tuple]:
+    here = 0
     for doc, n in zip(docs, counts, strict=True):
         own = places[here : here + n]
         here += n
         many = sizes[own]
         ends = np.cumsum(many)
-        out.append((doc, flat[np.repeat(starts[own] - (ends - many), many) + np.arange(int(ends[-1]) if n else 0)]))
-        size += len(out[-1][1])
-        if size > 2_000_000:
-            yield batch()
-            out, size = [], 0
-    if out:
-        yield batch()
+        ids = flat[np.repeat(starts[own] - (ends - many), many) + np.arange(int(ends[-1]) if n else 0)]
+        yield doc, ids.tobytes(), " ".join(pieces[ids].tolist())
 
 
 def word_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = WORD_BPE) -> DataFrame:
@@ -229,14 +254,11 @@ def word_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.spark_partition_id().alias("part"))
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
-    words = texts.mapInArrow(_word_batches(tokenizer), "word string, block long, mark long, place int")
-    encoded = words.repartition(many, "word").sortWithinPartitions("word").mapInArrow(_encode_batches(tokenizer), "block long, mark long, place int, ids binary")
-    blocks = texts.mapInArrow(_code_batches(tokenizer), "block long, mark long, place int, docs array<bigint>, counts array<bigint>, codes binary")
-    rows = encoded.unionByName(blocks, allowMissingColumns=True).repartition(many, "block").sortWithinPartitions("block", "mark", "place")
-    found = rows.select("block", "mark", "place", "ids", "docs", "counts", "codes").mapInArrow(_assemble, "doc_id long, ids binary, tokens array<int>")
-    pieces = spark.createDataFrame([(pieces_of(tokenizer),)], "pieces array<string>")
-    joined = found.crossJoin(F.broadcast(pieces))  # one row, as long as the vocabulary: ids are its positions
-    return joined.select("doc_id", "ids", F.array_join(F.transform("tokens", lambda i: F.get(F.col("pieces"), i)), " ").alias("decoded"))
+    words = texts.mapInArrow(_word_batches(tokenizer), "word string, block long, place int")
+    encoded = words.repartition(many, "word").sortWithinPartitions("word").mapInArrow(_encode_batches(tokenizer), _CODES_SQL)
+    blocks = texts.mapInArrow(_code_batches(tokenizer), _CODES_SQL)
+    rows = encoded.union(blocks).repartition(many, "block").sortWithinPartitions("block", F.col("docs").isNotNull())
+    return rows.mapInArrow(_assemble(tokenizer), "doc_id long, ids binary, decoded string")
 
 
 def op10_query(spark, sf_dir):
