@@ -96,13 +96,15 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> dict:
-    """Labels without id or mark, ids with both marks, and held-out ids do not count."""
+    """Labels without id or mark, ids with both marks, and held-out ids do not count; of an id's several texts the one of
+    least hash does, so at most ``max_labelled`` texts are read."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id"))
     agreed = usable.agg(F.min("quality").alias("y"), F.max("quality").alias("_most")).where(F.col("y") == F.col("_most"))
     chosen = agreed.select("_id", F.col("y").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("text")).join(
         F.broadcast(chosen), F.col("_doc") == F.col("_id")
     ).select("_id", "y", "text")
+    texts = texts.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
