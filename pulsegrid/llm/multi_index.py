@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import same, stored, table
 from .components import connected_components, forest
@@ -27,7 +28,7 @@ TARGET_RECALL = 0.999
 #: Vectors that the index is fitted on at most; a codebook has a quarter as many words at most.
 MAX_SAMPLE = 20_000
 #: Vectors that a cell holds on average; the codebooks grow with the square root of the table.
-CELL_ROWS = 64
+CELL_ROWS = 128
 BLOCK = 1024
 
 
@@ -108,14 +109,14 @@ def calibrate(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine:
 # ---------------------------------------------------------------- Arrow jobs
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows) -> np.ndarray:
     """Unit vectors; by the largest component first, so that no square vanishes or overflows."""
     x = np.array(rows, np.float64)
     x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _cell_batches(books, cells: int):
+def _cell_batches(books, cells: int, kind: str):
     """Each vector once as a member of its own cell and once as a visitor of each later one of its nearest cells.
 
     Two linked vectors meet in the higher of their two cells, where the vector of the lower one visits.
@@ -126,10 +127,10 @@ def _cell_batches(books, cells: int):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 node, label, copies = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                x = _unit(part.column(3).to_pylist())
-                near = nearest_cells(x, books, cells)
+                vectors = np.array(part.column(3).to_pylist(), kind)
+                near = nearest_cells(_unit(vectors), books, cells)
                 who, rank = np.nonzero(near >= near[:, :1])
-                raw = [r.tobytes() for r in x]
+                raw = [v.tobytes() for v in vectors]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(label[who]), pa.array(near[who, rank]), pa.array((rank > 0).astype(np.int32)), pa.array(node[who]), pa.array(copies[who]), pa.array([raw[w] for w in who], pa.binary())],
                     ["label", "cell", "visitor", "node", "copies", "x"],
@@ -138,11 +139,11 @@ def _cell_batches(books, cells: int):
     return run
 
 
-def _link_batches(cosine: float):
+def _link_batches(cosine: float, kind: str):
     """Per group: weighted links of each vector, and edges to the smallest vector it is joined with."""
 
     def one(side, visitor, copies, raw):
-        x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+        x = _unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not len(right)
         if within:
@@ -198,6 +199,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = keyed.where("ok").groupBy("label", "a", "b").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = stored(good.select(F.monotonically_increasing_id().alias("node"), "*"), "vectors")
 
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
     partial = None
     for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
         own = nodes.where(F.size("v") == r.d)
@@ -206,7 +208,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         half = max(1, r.d // 2)
         books = (k_means(sample[:, :half], k), k_means(sample[:, half:], k) if r.d > 1 else np.zeros((1, 0)))
         cells = calibrate(sample, books, cosine, recall)
-        found = _found(own.select("node", "label", "copies", "v"), books, cells, cosine, block).withColumn("label", F.lit(0))
+        found = _found(own.select("node", "label", "copies", "v"), books, cells, cosine, block, kind).withColumn("label", F.lit(0))
         partial = found if partial is None else partial.union(found)
 
     if partial is None:
@@ -232,16 +234,17 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
 
 
-def _found(nodes: DataFrame, books, cells: int, cosine: float, block: int) -> DataFrame:
-    placed = nodes.mapInArrow(_cell_batches(books, cells), "label long, cell long, visitor int, node long, copies long, x binary")
-    sizes = nodes.mapInArrow(_cell_batches(books, cells), "label long, cell long, visitor int, node long, copies long, x binary")
+def _found(nodes: DataFrame, books, cells: int, cosine: float, block: int, kind: str) -> DataFrame:
+    """Vectors travel as they are given (``kind``: their number type) and are scaled to unit length in doubles where they meet."""
+    placed = nodes.mapInArrow(_cell_batches(books, cells, kind), "label long, cell long, visitor int, node long, copies long, x binary")
+    sizes = nodes.mapInArrow(_cell_batches(books, cells, kind), "label long, cell long, visitor int, node long, copies long, x binary")
     sizes = sizes.groupBy("label", "cell").agg(F.count("*").alias("n"), F.min("visitor").alias("lone")).where("n > 1 and lone = 0")
     cut = placed.join(sizes.withColumn("s", F.ceil(F.col("n") / block).cast("int")), ["label", "cell"])
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     tiles = cut.select("label", "cell", F.explode(block_pairs(F.col("own"), F.col("s"))).alias("t"), "visitor", "node", "copies", "x")
     grouped = tiles.select("label", "cell", "t.x", "t.y", "t.side", "visitor", "node", "copies", F.col("x").alias("v"))
     grouped = grouped.repartition("label", "cell", "x", "y").sortWithinPartitions("label", "cell", "x", "y")
-    return grouped.mapInArrow(_link_batches(cosine), "node long, links long, root long")
+    return grouped.mapInArrow(_link_batches(cosine, kind), "node long, links long, root long")
 
 
 def op2_query(spark, sf_dir):
