@@ -3,7 +3,8 @@
 Candidates come from SimHash (Golay keys, several seeds) and, as three differing bits of 64 find few pairs near 0.8, from
 MinHash bands: 30 keys of five minima each, of which two texts at exactly 0.8 share none with a chance of 7e-6. Every
 candidate is verified on the shingle sets of the two texts. Groups of one key are compared with their first member; what
-is in different components after that is compared in pairs of blocks, so a large group of copies stays linear in rows.
+is in different components after that is compared in pairs of blocks on the same sets; a pair of blocks yields a forest of its
+links, so a large group of copies stays linear in rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_firsts, same, stored
-from .components import connected_components
+from .components import connected_components, forest
 from .golay_simhash import MAX_BITS, _names, _seed_links, fingerprint
 from .groups import block_pairs, sorted_groups
 
@@ -25,9 +26,8 @@ SHINGLE = 5
 #: Links have 5 * common >= 4 * union, which is similarity 0.8 without rounding.
 SHARE = (4, 5)
 BANDS, ROWS = 30, 5
-#: Of the 150 minima, two texts at similarity 0.8 have 120 in common, with a deviation of 4.9.
-LIKELY = 95
-BLOCK = 512
+#: Texts and shingles of a block, about.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Texts that one task compares with the same first text.
 SLOT = 256
 
@@ -69,16 +69,15 @@ def _sketch_batches(seeds: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
-            own, bands, sketches = [], [], []
+            own, bands, sizes = [], [], []
             for t in texts:
                 found = shingles(t)
-                least = minima(found)
                 own.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bands.append(band_keys(least) if len(found) else [])
-                sketches.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
+                bands.append(band_keys(minima(found)) if len(found) else [])
+                sizes.append(len(found))
             fps = [pa.array(np.fromiter((fingerprint(t, seed=s) for t in texts), np.uint64, len(texts)).view(np.int64)) for s in seeds]
-            cols = [batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), *fps]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "own", "bands", "sketch", *_names(len(seeds))])
+            cols = [batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), *fps]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "h", "own", "bands", "size", *_names(len(seeds))])
 
     return run
 
@@ -111,32 +110,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(_verify_batches, "u long, v long")
 
 
+def tile_edges(side: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, first member joined with it) over all pairs of one block or across two that are alike and apart yet.
+
+    Sets hold distinct hashes and are not empty. One member's hashes are marked and counted in all sets at once.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(known), np.int32)
+    place, across = np.arange(len(sets)), bool(side.any())
+    us, vs = [], []
+    for i in np.flatnonzero(side == 0):
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], starts).astype(np.int64)
+        mark[own] = 0
+        near = (SHARE[1] * common >= SHARE[0] * (sizes + sizes[i] - common)) & (root != root[i])
+        near &= side == 1 if across else place > i
+        vs.append(np.flatnonzero(near))
+        us.append(np.full(len(vs[-1]), i))
+    if not us:
+        return place[:0], place[:0]
+    first = forest(len(sets), np.concatenate(us), np.concatenate(vs))
+    moved = np.flatnonzero(first != place)
+    return moved, first[moved]
+
+
 def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, bounds in sorted_groups(batches, 3):
         side, node, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))
-        sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            left, right = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] == 1)
-            us, vs = [], []
-            for k, i in enumerate(left):
-                others = right if len(right) else left[k + 1 :]
-                others = others[root[others] != root[i]]
-                near = others[(sketch[others] == sketch[i]).sum(axis=1) >= LIKELY]
-                us.append(np.full(len(near), node[i]))
-                vs.append(node[near])
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
-
-
-def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """Likely pairs (u, v) of one key that are not connected yet; members(key, node)."""
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("low <> high").select("key", F.ceil(F.col("n") / block).cast("int").alias("s"))
-    rows = placed.join(mixed, "key").join(nodes.select("node", "sketch"), "node")
+            if hi - lo == 1 or (root[lo:hi] == root[lo]).all():
+                continue
+            texts = batch.column(6).slice(lo, hi - lo).cast(pa.large_binary()).to_pylist()
+            u, v = tile_edges(side[lo:hi], root[lo:hi], [shingles(t) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo + u], pa.int64()), pa.array(node[lo + v], pa.int64())], ["u", "v"])
+
+
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Edges (u, v) that join what is alike among the members(key, node) of a key and not connected yet.
+
+    A key is cut into blocks of about ``block`` texts and BLOCK_SHINGLES shingles, each pair of blocks is one group, and a
+    group yields at most one edge a member.
+    """
+    placed = members.join(roots, "node", "left").join(nodes.select("node", "size"), "node")
+    placed = placed.select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("m") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.where("low <> high").select("key", blocks.alias("s"))
     mine = F.pmod(F.xxhash64("node"), F.col("s")).cast("int")
-    spread = rows.withColumn("b", mine).select("key", "node", "root", "sketch", F.explode(block_pairs(F.col("b"), F.col("s"))).alias("t"))
-    grouped = spread.select("key", "t.x", "t.y", "t.side", "node", "root", "sketch").repartition("key", "x", "y")
+    rows = placed.join(mixed, "key").join(texts, "node").withColumn("b", mine)
+    spread = rows.select("key", "node", "root", "text", F.explode(block_pairs(F.col("b"), F.col("s"))).alias("t"))
+    grouped = spread.select("key", "t.x", "t.y", "t.side", "node", "root", "text").repartition("key", "x", "y")
     return grouped.sortWithinPartitions("key", "x", "y").mapInArrow(_tile_batches, "u long, v long")
 
 
@@ -148,9 +174,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = _names(len(seeds))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    schema = ", ".join(["id long, h long, own binary, bands array<long>, sketch binary", *[f"{n} long" for n in fps]])
+    schema = ", ".join(["id long, h long, own binary, bands array<long>, size long", *[f"{n} long" for n in fps]])
     found = stored(source.mapInArrow(_sketch_batches(seeds), schema), "sketches")
-    chosen = F.min_by(F.struct("id", "h", "bands", "sketch", *fps), F.struct("id", "h")).alias("one")
+    chosen = F.min_by(F.struct("id", "h", "bands", "size", *fps), F.struct("id", "h")).alias("one")
     distinct = found.groupBy("own").agg(F.min("id").alias("least"), chosen)
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "own", "least", "one.*"), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
@@ -163,7 +189,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stored(texts, "texts")
     links = stored(verified(pairs, texts), "links")
     roots = connected_components(links)
-    more = stored(verified(_across(members.where("n > 2").select("key", "node"), roots, nodes, block), texts), "links")
+    more = stored(_across(members.where("n > 2").select("key", "node"), roots, nodes, texts, block), "links")
     if not more.isEmpty():
         roots = connected_components(links.union(more))
     rooted = stored(nodes.join(roots, "node", "left").select("own", "least", F.coalesce("root", "node").alias("root")), "rooted")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline as C
+import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import near_copies as N
@@ -66,3 +67,17 @@ def test_defined_cases(spark):
     assert out == [(0, 0), (0, 5), (1, 1), (2, 1), (2, 1), (5, 5), (6, 6)]
     assert sorted((r.doc_id or 0) for r in N.drop_near_copies(docs).collect()) == [0, 0, 1, 5, 6]
     assert N.near_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_a_group_yields_a_forest_of_its_links():
+    rng = np.random.default_rng(3)
+    base = rng.choice(10**6, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(300)[:k]], rng.choice(10**6, 30).astype(np.uint64)])) for k in rng.integers(200, 300, 40)]
+    root = np.arange(40) // 2
+    for side in (np.zeros(40, int), np.arange(40) % 2):
+        u, v = N.tile_edges(side, root, sets)
+        assert len(u) < 40
+        pairs = [(i, j) for i in range(40) for j in range(i) if root[i] != root[j] and N.alike(sets[i], sets[j]) and (side[i] != side[j] or not side.any())]
+        assert pairs
+        a, b = map(np.array, zip(*pairs, strict=True))
+        assert np.array_equal(N.forest(40, u, v), N.forest(40, a, b))
