@@ -146,7 +146,7 @@ class _Lists:
         self.m = weigher.m(long("lengths"))
         self.weights, self.unpacked = weights, {}
         self.bounds = weigher.bound(long("max_tf"), long("min_once"), long("min_more"))
-        ends = [*row["first_block"][1:], len(self.last_doc)]
+        ends = [*row["first_block"], len(self.last_doc)][1:]
         self.blocks = {t: (a, b) for t, a, b in zip(row["terms"], row["first_block"], ends, strict=True)}
         self.df = dict(zip(row["terms"], row["df"], strict=True))
 
