@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .golay_simhash import op5_query
+from .html_template import op11_query
 from .huffman import op9_query
 from .importance import OP13_SQL, op13_query
 from .lexical import OP12_SQL, op12_query
@@ -26,12 +27,14 @@ QUERIES = {
     "op8_exact_top_k": op8_query,
     "op9_huffman_tokens": op9_query,
     "op10_word_bpe": op10_query,
+    "op11_html_template": op11_query,
     "op12_block_max_search": op12_query,
     "op13_importance_resampling": op13_query,
 }
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op8_exact_top_k": OP8_SQL,
+    "op11_html_template": op11_query,
     "op12_block_max_search": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
