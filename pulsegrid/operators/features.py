@@ -15,7 +15,19 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import correlation
 
+from .series_arrays import (  # noqa: F401
+    ARRAY_CALCULATORS,
+    agg_autocorrelation,
+    ar_from_products,
+    cwt_coefficient,
+    cwt_peaks,
+    partial_autocorrelation,
+    welch_density,
+)
+
+MANY = 20  # settings of one calculator from which one pass over the array is cheaper than as many aggregates
 REACH = 6  # furthest neighbour that a calculator uses
+CORRIDOR = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)  # quantiles that bound the corridors of change_quantiles
 
 
 def _c(name: str) -> Column:
@@ -34,6 +46,7 @@ def windowed(series: DataFrame) -> DataFrame:
     s = s.withColumns({"_same": F.count("*").over(same), "_nth": F.row_number().over(same.orderBy("time"))})
     low, high = F.when(~(_c("_x") > _c("_mu")), _c("_t")), F.when(~(_c("_x") < _c("_mu")), _c("_t"))
     s = s.withColumns({"_run_up": _c("_t") - F.coalesce(F.max(low).over(past), F.lit(-1)), "_run_down": _c("_t") - F.coalesce(F.max(high).over(past), F.lit(-1))})
+    s = s.withColumns({"_mass": F.try_divide(F.sum(F.abs("_x")).over(past), F.sum(F.abs("_x")).over(every)), "_edges": F.percentile("_x", F.array(*[F.lit(q) for q in CORRIDOR])).over(every)})
     for size in (5, 10):
         chunk = Window.partitionBy("id", F.floor(_c("_t") / size))
         s = s.withColumn(f"_mean{size}", F.when(_c("_t") % size == 0, F.avg("_x").over(chunk)))
@@ -93,6 +106,42 @@ def _second() -> Column:
     return F.when(n > 2, F.try_divide(end - start, 2 * (n - 2)))
 
 
+def _mass_quantile(q: float) -> Column:
+    """Share of the series after which the absolute values seen reach the share q of their sum; NULL for a series of zeros."""
+    return F.min(F.when(_c("_mass") >= q, (_c("_t") + 1) / _c("_n")))
+
+
+def _energy_ratio(num_segments: int, segment_focus: int) -> Column:
+    """Energy of one of the segments, the first ones a point longer where n is no multiple, over that of the series."""
+    size, longer = F.floor(_c("_n") / num_segments), _c("_n") % num_segments
+    start = segment_focus * size + F.least(F.lit(segment_focus), longer)
+    inside = (_c("_t") >= start) & (_c("_t") < start + size + F.when(longer > segment_focus, 1).otherwise(0))
+    energy = _c("_x") * _c("_x")
+    return F.try_divide(F.sum(F.when(inside, energy).otherwise(0.0)), F.sum(energy))
+
+
+def _change_quantiles(ql: float, qh: float, isabs: bool, f_agg: str) -> Column:
+    """Mean or variance of the (absolute) steps whose two points lie between two quantiles of the series; 0 without such a step."""
+    low, high = (F.get("_edges", F.lit(CORRIDOR.index(q))) for q in (ql, qh))
+    low, high = low - 1e-12 * F.abs(low), high + 1e-12 * F.abs(high)  # an edge that is a value of the series, interpolated
+    step = _c("_x") - _c("_lag1")
+    inside = _c("_x").between(low, high) & _c("_lag1").between(low, high)
+    steps = F.when(inside, F.abs(step) if isabs else step)
+    return F.coalesce(F.avg(steps) if f_agg == "mean" else F.var_pop(steps), F.lit(0.0))
+
+
+def _cid(normalize: bool) -> Column:
+    """Length of the path of steps, of the series divided by its deviation where normalised (0 where it has none)."""
+    length = F.sqrt(F.coalesce(F.sum(F.pow(_c("_x") - _c("_lag1"), F.lit(2))), F.lit(0.0)))
+    return F.coalesce(F.try_divide(length, F.stddev_pop("_x")), F.lit(0.0)) if normalize else length
+
+
+def _trend_error() -> Column:
+    n = F.count("_x")
+    rest = F.regr_syy("_x", "_t") - F.try_divide(F.pow(F.regr_sxy("_x", "_t"), F.lit(2)), F.regr_sxx("_x", "_t"))
+    return F.when(n > 2, F.sqrt(F.try_divide(F.greatest(rest, F.lit(0.0)), (n - 2) * F.regr_sxx("_x", "_t"))))
+
+
 #: calculator -> function of its parameters that gives a Column to aggregate; new ones may be registered
 CALCULATORS: dict[str, Callable[..., Column]] = {
     "abs_energy": lambda: F.sum(_c("_x") * _c("_x")),
@@ -137,6 +186,22 @@ CALCULATORS: dict[str, Callable[..., Column]] = {
     "sum_of_reoccurring_values": lambda: F.coalesce(F.sum(F.when((_c("_same") > 1) & (_c("_nth") == 1), _c("_x"))), F.lit(0.0)),
     "sum_of_reoccurring_data_points": lambda: F.coalesce(F.sum(F.when(_c("_same") > 1, _c("_x"))), F.lit(0.0)),
     "ratio_value_number_to_time_series_length": lambda: F.count_if(_c("_nth") == 1) / F.count("_x"),
+    "index_mass_quantile": _mass_quantile,
+    "energy_ratio_by_chunks": _energy_ratio,
+    "change_quantiles": _change_quantiles,
+    "cid_ce": _cid,
+    "linear_trend_stderr": _trend_error,
+    "count_above_mean": lambda: F.count_if(_c("_x") > _c("_mu")),
+    "count_below_mean": lambda: F.count_if(_c("_x") < _c("_mu")),
+    "count_above": lambda t: F.count_if(_c("_x") >= t) / F.count("_x"),
+    "count_below": lambda t: F.count_if(_c("_x") <= t) / F.count("_x"),
+    "range_count": lambda min, max: F.count_if((_c("_x") >= min) & (_c("_x") < max)),
+    "variation_coefficient": lambda: F.try_divide(F.stddev_pop("_x"), F.avg("_x")),
+    "has_duplicate": lambda: F.max((_c("_same") > 1).cast("int")),
+    "has_duplicate_max": lambda: (F.max_by("_same", "_x") > 1).cast("int"),
+    "has_duplicate_min": lambda: (F.min_by("_same", "_x") > 1).cast("int"),
+    "percentage_of_reoccurring_values_to_all_values": lambda: F.count_if((_c("_same") > 1) & (_c("_nth") == 1)) / F.count_if(_c("_nth") == 1),
+    "percentage_of_reoccurring_datapoints_to_all_datapoints": lambda: F.count_if(_c("_same") > 1) / F.count("_x"),
 }
 
 MINIMAL = {k: [{}] for k in ("sum_values", "median", "mean", "length", "standard_deviation", "variance", "root_mean_square", "maximum", "absolute_maximum", "minimum")}
@@ -166,7 +231,39 @@ SPECTRAL = {
     "spkt_welch_density": [{"coeff": k} for k in (2, 5, 8)],
     "cwt_coefficients": [{"coeff": k, "w": w} for w in (2, 5, 10, 20) for k in range(15)],
 }
-PRESETS = {"minimal": MINIMAL, "curated": CURATED, "efficient": CURATED | FURTHER | SPECTRAL}
+MASS = {
+    "index_mass_quantile": [{"q": k / 10} for k in range(1, 10)],
+    "energy_ratio_by_chunks": [{"num_segments": 10, "segment_focus": k} for k in range(10)],
+    "change_quantiles": [{"ql": lo, "qh": hi, "isabs": a, "f_agg": f} for lo in CORRIDOR for hi in CORRIDOR if lo < hi for a in (False, True) for f in ("mean", "var")],
+    "cid_ce": [{"normalize": n} for n in (True, False)],
+}
+COUNTS = {
+    "linear_trend_stderr": [{}], "count_above_mean": [{}], "count_below_mean": [{}], "count_above": [{"t": 0}], "count_below": [{"t": 0}], "range_count": [{"min": -1, "max": 1}, {"min": 0, "max": 100}],
+    "variation_coefficient": [{}], "has_duplicate": [{}], "has_duplicate_max": [{}], "has_duplicate_min": [{}], "percentage_of_reoccurring_values_to_all_values": [{}],
+    "percentage_of_reoccurring_datapoints_to_all_datapoints": [{}],
+}
+REGRESSIVE = {"ar_coefficient": [{"coeff": c, "k": 10} for c in range(11)], "augmented_dickey_fuller": [{"attr": a} for a in ("teststat", "pvalue", "usedlag")]}
+COMPLEXITY = {
+    "permutation_entropy": [{"tau": 1, "dimension": d} for d in range(3, 8)],
+    "sample_entropy": [{}],
+    "approximate_entropy": [{"m": 2, "r": r} for r in (0.1, 0.3, 0.5, 0.7, 0.9)],
+    "lempel_ziv_complexity": [{"bins": b} for b in (2, 3, 5, 10, 100)],
+    "binned_entropy": [{"max_bins": 10}],
+    "fourier_entropy": [{"bins": b} for b in (2, 3, 5, 10, 100)],
+    "mean_n_absolute_max": [{"number_of_maxima": k} for k in (3, 5, 7)],
+    "benford_correlation": [{}],
+}
+WIDER = {
+    "fft_coefficient": [{"coeff": k, "attr": a} for k in range(33) for a in ("real", "imag", "abs", "angle")],
+    "quantile": [{"q": k / 10} for k in range(1, 10) if k != 5] + [{"q": 0.25}, {"q": 0.75}],
+    "linear_trend": CURATED["linear_trend"],
+    "ratio_beyond_r_sigma": [{"r": r} for r in (0.5, 1, 1.5, 2, 2.5, 3, 5, 6, 7, 10)],
+    "symmetry_looking": [{"r": k / 20} for k in range(20)],
+    "large_standard_deviation": [{"r": k / 20} for k in range(1, 20)],
+    "number_crossing_m": [{"m": m} for m in (-1, 0, 1, 50)],
+    "value_count": [{"value": v} for v in (0, 1, -1)],
+}
+PRESETS = {"minimal": MINIMAL, "curated": CURATED, "efficient": CURATED | FURTHER | SPECTRAL | MASS | COUNTS | REGRESSIVE | COMPLEXITY | WIDER}
 
 
 def feature_name(calculator: str, params: dict) -> str:
@@ -181,27 +278,79 @@ def extract_features(series: DataFrame, preset: str | dict = "curated") -> DataF
     """
     chosen = PRESETS[preset] if isinstance(preset, str) else preset
     every = [(c, p) for c, many in chosen.items() for p in many]
-    arrays = [(c, p) for c, p in every if c not in CALCULATORS]
-    columns = [CALCULATORS[c](**p).alias(feature_name(c, p)) for c, p in every if c in CALCULATORS]
-    if not arrays:
+    whole = {c: many for c, many in chosen.items() if c not in CALCULATORS or c in ARRAY_CALCULATORS and len(many) > MANY}
+    columns = [CALCULATORS[c](**p).alias(feature_name(c, p)) for c, p in every if c not in whole]
+    if not whole:
         return windowed(series).groupBy("id").agg(*columns)
-    names = [feature_name(c, p) for c, p in arrays]
+    names = [feature_name(c, p) for c, many in whole.items() for p in many]
 
     @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
     def run(values):
         import pandas as pd
 
-        rows = []
-        for v in values:
+        rows = np.full((len(values), len(names)), np.nan)
+        for k, v in enumerate(values):
             x = np.asarray(v, float)
-            rows.append([ARRAY_CALCULATORS[c](x, **p) for c, p in arrays])
-        return pd.DataFrame(rows, columns=names, dtype="float64")
+            rows[k] = [np.nan if y is None else y for c, many in whole.items() for y in ARRAY_CALCULATORS[c](x, many)]
+        return pd.DataFrame(rows, columns=names)
 
     points = F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("_points")
     found = windowed(series).groupBy("id").agg(*columns, points).withColumn("_values", F.transform("_points", lambda s: s["_x"].cast("double")))
     found = found.withColumn("_arrays", run("_values"))
     nan = lambda n: F.when(~F.isnan(f"_arrays.{n}"), F.col(f"_arrays.{n}")).alias(n)
-    return found.select("id", *[nan(feature_name(c, p)) if c not in CALCULATORS else F.col(feature_name(c, p)) for c, p in every])
+    return found.select("id", *[nan(feature_name(c, p)) if c in whole else F.col(feature_name(c, p)) for c, p in every])
+
+
+def lag_products(series: DataFrame, upto: int) -> DataFrame:
+    """(id, i, j, n, si, sj, s): over the points that have ``upto`` predecessors their number, and the sums of the values i and j
+    points back (0 <= i <= j <= upto) and of their product. One exchange on id; the sums run over the series' array."""
+    a = series.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("_s")).where(F.size("_s") > upto)
+    a = a.select("id", F.transform("_s", lambda s: s["value"].cast("double")).alias("v"))
+    pairs = [(i, j) for i in range(upto + 1) for j in range(i, upto + 1)]
+    p = a.select("id", "v", (F.size("v") - upto).alias("n"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("p")).select("id", "v", "n", "p.*")
+    back = lambda k: F.slice("v", F.lit(upto + 1) - F.col(k), F.col("n"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    return p.select("id", "i", "j", F.col("n").cast("long").alias("n"), total(back("i")).alias("si"), total(back("j")).alias("sj"), total(F.zip_with(back("i"), back("j"), lambda x, y: x * y)).alias("s"))
+
+
+def ar_model(series: DataFrame, k: int = 10) -> DataFrame:
+    """(id, intercept, phi array of k): autoregressions with intercept from the lag products of each series.
+
+    Series need more than 2 k + 1 points; the normal equations of a series are solved in an Arrow batch.
+    """
+    rows = lag_products(series, k).where(F.col("n") > k + 1).groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "j", "si", "sj", "s"))).alias("m"))
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            found = []
+            for n, m in zip(part["n"], part["m"], strict=True):
+                sums, products = np.zeros(k + 1), np.zeros((k + 1, k + 1))
+                for r in m:
+                    sums[r["i"]], sums[r["j"]] = r["si"], r["sj"]
+                    products[r["i"], r["j"]] = products[r["j"], r["i"]] = r["s"]
+                found.append(ar_from_products(n, sums, products))
+            yield pd.DataFrame({"id": part["id"], "intercept": [float(f[0]) for f in found], "phi": [list(map(float, f[1:])) for f in found]})
+
+    kind = series.schema["id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"id {kind}, intercept double, phi array<double>")
+
+
+def permutation_patterns(series: DataFrame, dimension: int = 3, tau: int = 1) -> DataFrame:
+    """(id, pattern, n): how often each ordinal pattern of ``dimension`` points ``tau`` apart occurs; equal values rank by position."""
+    order = Window.partitionBy("id").orderBy("time")
+    frame = [F.struct((F.col("value") if i == 0 else F.lead("value", i * tau).over(order)).alias("x"), F.lit(i).alias("i")) for i in range(dimension)]
+    frames = series.select("id", F.array(*frame).alias("f")).where(F.col("f")[dimension - 1]["x"].isNotNull())
+    pattern = F.array_join(F.transform(F.array_sort("f"), lambda s: s["i"].cast("string")), "")
+    return frames.groupBy("id", pattern.alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def permutation_entropies(series: DataFrame, dimension: int = 3, tau: int = 1) -> DataFrame:
+    """(id, entropy) in nats of the ordinal patterns."""
+    n = F.col("n")
+    sums = permutation_patterns(series, dimension, tau).groupBy("id").agg(F.sum("n").alias("all"), F.sum(n * F.log(n)).alias("s"))
+    return sums.select("id", (F.log("all") - F.col("s") / F.col("all")).alias("entropy"))
 
 
 def fft_aggregated(series: DataFrame) -> DataFrame:
@@ -220,95 +369,6 @@ def fft_aggregated(series: DataFrame) -> DataFrame:
     return m.select("id", F.col("m1").alias("centroid"), var.alias("variance"), F.when(var >= 0.5, skew).alias("skew"), F.when(var >= 0.5, kurt).alias("kurtosis"))
 
 
-def _ricker(points: int, a: float) -> np.ndarray:
-    x = np.arange(points) - (points - 1) / 2
-    return 2 / (np.sqrt(3 * a) * np.pi**0.25) * (1 - (x / a) ** 2) * np.exp(-((x / a) ** 2) / 2)
-
-
-def cwt_peaks(x: np.ndarray, widest: int) -> int:
-    """Ridge lines of local maxima of a Ricker transform, from the widest wavelet down, that live through a quarter of the widths (one at least)."""
-    rows = [np.convolve(x, _ricker(min(10 * w, len(x)), w), mode="same") for w in range(1, widest + 1)]
-    tops = [np.flatnonzero((r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])) + 1 for r in rows]
-    lines = [[int(p), 1] for p in tops[-1]]
-    for w in range(widest - 2, -1, -1):
-        free = set(tops[w].tolist())
-        for line in lines:
-            near = [p for p in free if abs(p - line[0]) <= max(1, (w + 1) // 4 + 1)]
-            if near:
-                best = min(near, key=lambda p: abs(p - line[0]))
-                line[0], line[1] = best, line[1] + 1
-                free.discard(best)
-        lines += [[int(p), 1] for p in free]
-    return sum(n >= max(1, int(np.ceil(widest / 4))) for _, n in lines)
-
-
-def spectrum_moment(x: np.ndarray, aggtype: str) -> float | None:
-    """Centroid, variance, skew or kurtosis of |rfft| over its bins; the last two are None where the variance is below 0.5."""
-    a = np.abs(np.fft.rfft(x))
-    total = a.sum()
-    if not total:
-        return None
-    m1, m2, m3, m4 = ((np.arange(len(a)) ** float(p) * a).sum() / total for p in (1, 2, 3, 4))
-    var = m2 - m1**2
-    if aggtype in ("centroid", "variance"):
-        return float(m1 if aggtype == "centroid" else var)
-    if var < 0.5:
-        return None
-    return float((m3 - 3 * m1 * var - m1**3) / var**1.5 if aggtype == "skew" else (m4 - 4 * m1 * m3 + 6 * m2 * m1**2 - 3 * m1**4) / var**2)
-
-
-def autocorrelations(x: np.ndarray, upto: int) -> np.ndarray:
-    """Lags 0 to ``upto`` over n times the variance; 0 where the series is flat or too short."""
-    n, v, d = len(x), x.var(), x - x.mean()
-    return np.array([1.0] + [(d[: n - k] * d[k:]).sum() / (n * v) if v > 0 and n > k else 0.0 for k in range(1, upto + 1)])
-
-
-def partial_autocorrelation(x: np.ndarray, lag: int) -> float | None:
-    """Durbin-Levinson; None where the series is not longer than twice the lag."""
-    if len(x) <= 2 * lag:
-        return None
-    acf, phi = autocorrelations(x, lag), np.zeros((lag + 1, lag + 1))
-    for k in range(1, lag + 1):
-        num = acf[k] - sum(phi[k - 1, j] * acf[k - j] for j in range(1, k))
-        den = 1 - sum(phi[k - 1, j] * acf[j] for j in range(1, k))
-        phi[k, k] = num / den if den else 0.0
-        for j in range(1, k):
-            phi[k, j] = phi[k - 1, j] - phi[k, k] * phi[k - 1, k - j]
-    return float(phi[lag, lag])
-
-
-def agg_autocorrelation(x: np.ndarray, f_agg: str, maxlag: int) -> float:
-    upto = min(maxlag, len(x) - 1)
-    return float({"mean": np.mean, "median": np.median, "var": np.var}[f_agg](autocorrelations(x, upto)[1:])) if upto > 0 else 0.0
-
-
-def welch_density(x: np.ndarray, coeff: int) -> float | None:
-    """Power density of windows of at most 256 points (Hann, half overlapping, means removed) at one bin."""
-    m = min(256, len(x))
-    if m < 2 or coeff > m // 2:
-        return None
-    win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)
-    parts = [x[a : a + m] for a in range(0, max(1, len(x) - m + 1), max(1, m // 2))]
-    density = np.mean([np.abs(np.fft.rfft((p - p.mean()) * win)) ** 2 for p in parts], axis=0) / (win**2).sum()
-    density[1:-1] *= 2
-    return float(density[coeff])
-
-
-def cwt_coefficient(x: np.ndarray, coeff: int, w: int) -> float | None:
-    return float(np.convolve(x, _ricker(min(10 * w, len(x)), w), mode="same")[coeff]) if coeff < len(x) else None
-
-
-#: calculator -> function of the whole series and its parameters
-ARRAY_CALCULATORS: dict[str, Callable[..., float | None]] = {
-    "fft_aggregated": spectrum_moment,
-    "number_cwt_peaks": lambda x, n: float(cwt_peaks(x, n)) if len(x) > 2 else 0.0,
-    "partial_autocorrelation": partial_autocorrelation,
-    "agg_autocorrelation": agg_autocorrelation,
-    "spkt_welch_density": welch_density,
-    "cwt_coefficients": cwt_coefficient,
-}
-
-
 def number_cwt_peaks(series: DataFrame, widths: tuple[int, ...] = (1, 5)) -> DataFrame:
     return extract_features(series, {"number_cwt_peaks": [{"n": w} for w in widths]})
 

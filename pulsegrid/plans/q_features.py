@@ -35,7 +35,7 @@ def _run(spark, d, preset):
 def features_query(name: str, preset: dict, exprs: list[str], source: str = "s"):
     """exprs: SQL for each column of the preset in its order; ones that start with # are integers."""
     names = [O.feature_name(c, p) for c, many in preset.items() for p in many]
-    shown = ", ".join(f"({e[1:]})::BIGINT AS {n}" if e[0] == "#" else f"round({e} + {NUDGE}, 6) AS {n}" for e, n in zip(exprs, names, strict=True))
+    shown = ", ".join(f"({e[1:]})::BIGINT AS \"{n}\"" if e[0] == "#" else f"round({e} + {NUDGE}, 6) AS \"{n}\"" for e, n in zip(exprs, names, strict=True))
     query(name, f"{_W} SELECT id, {shown} FROM {source} GROUP BY id")(lambda spark, d: _run(spark, d, preset))
 
 
@@ -120,6 +120,83 @@ def t24(spark, d):
     return _run(spark, d, "minimal")
 
 
+_EDGES = "e AS (SELECT id AS eid, " + ", ".join(f"quantile_cont(x, {q}) AS e{round(q * 5)}" for q in O.CORRIDOR) + " FROM s GROUP BY id)"
+_mass = lambda q: f"min((t + 1) / n) FILTER (mass >= {q})"
+_segment = lambda k: f"sum(CASE WHEN t >= {k} * (n // 10) + least({k}, n % 10) AND t < {k + 1} * (n // 10) + least({k + 1}, n % 10) THEN x * x ELSE 0 END) / nullif(sum(x * x), 0)"
+
+
+def _steps(ql, qh, isabs, f_agg):
+    low, high = (f"(e{round(q * 5)} {sign} 1e-12 * abs(e{round(q * 5)}))" for q, sign in ((ql, "-"), (qh, "+")))
+    step = "abs(x - g1)" if isabs else "x - g1"
+    return f"coalesce({'avg' if f_agg == 'mean' else 'var_pop'}({step}) FILTER (x BETWEEN {low} AND {high} AND g1 BETWEEN {low} AND {high}), 0.0)"
+
+
+_MASS_EXPRS = (
+    [_mass(k / 10) for k in range(1, 10)] + [_segment(k) for k in range(10)] + [_steps(**p) for p in O.MASS["change_quantiles"]]
+    + ["coalesce(sqrt(sum((x - g1) ** 2)) / nullif(any_value(sd), 0), 0.0)", "sqrt(coalesce(sum((x - g1) ** 2), 0.0))"]
+)
+_MASS_NAMES = [O.feature_name(c, p) for c, many in O.MASS.items() for p in many]
+
+
+@query("t31_mass_and_corridors", f"""
+{_W}, {_EDGES}, m AS (SELECT *, sum(abs(x)) OVER (PARTITION BY id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(sum(abs(x)) OVER (PARTITION BY id), 0) AS mass FROM s JOIN e ON id = eid)
+SELECT id, {", ".join(f'round({x} + 3.3e-8, 6) AS "{n}"' for x, n in zip(_MASS_EXPRS, _MASS_NAMES, strict=True))} FROM m GROUP BY id
+""")
+def t31(spark, d):
+    return _run(spark, d, O.MASS)
+
+
+features_query(
+    "t32_counts", O.COUNTS,
+    ["sqrt((regr_syy(x, t) - regr_sxy(x, t) ** 2 / nullif(regr_sxx(x, t), 0)) / nullif((count(*) - 2) * regr_sxx(x, t), 0))",
+     "#count(*) FILTER (x > mu)", "#count(*) FILTER (x < mu)", "count(*) FILTER (x >= 0) / count(*)", "count(*) FILTER (x <= 0) / count(*)", "#count(*) FILTER (x >= -1 AND x < 1)", "#count(*) FILTER (x >= 0 AND x < 100)",
+     "stddev_pop(x) / nullif(avg(x), 0)", "#max((same > 1)::INT)", "#arg_max(same, x) > 1", "#arg_min(same, x) > 1", "count(*) FILTER (same > 1 AND nth = 1) / count(*) FILTER (nth = 1)", "count(*) FILTER (same > 1) / count(*)"],
+)
+
+
+@query("t33_lag_products", f"""
+WITH s0 AS ({SERIES}), w AS (SELECT id || ':' || (time // 64)::VARCHAR AS id, time % 64 AS time, value FROM s0),
+p AS (SELECT i, j FROM range(0, 4) a(i), range(0, 4) b(j) WHERE i <= j), n AS (SELECT id, max(time) + 1 AS n FROM w GROUP BY id HAVING count(*) > 3)
+SELECT w.id, i::INTEGER AS i, j::INTEGER AS j, count(*) AS n, round(sum(w.value) + 3.3e-8, 4) AS si, round(sum(v.value) + 3.3e-8, 4) AS sj, round(sum(w.value * v.value) + 3.3e-8, 4) AS s
+FROM p, n JOIN w ON w.id = n.id JOIN w v ON v.id = n.id WHERE w.time BETWEEN 3 - i AND n.n - 1 - i AND v.time = w.time + i - j GROUP BY ALL
+""")
+def t33(spark, d):
+    out = O.lag_products(X.waves(spark, d), 3)
+    return out.select("id", "i", "j", "n", *[F.round(F.col(c) + NUDGE, 4).alias(c) for c in ("si", "sj", "s")])
+
+
+_PATTERNS = """
+WITH s0 AS ({series}), f AS (SELECT id, value AS a, lead(value, 1) OVER o AS b, lead(value, 2) OVER o AS c FROM s0 WINDOW o AS (PARTITION BY id ORDER BY time)),
+p AS (SELECT id, CASE WHEN a <= b AND b <= c THEN '012' WHEN a <= c AND c < b THEN '021' WHEN b < a AND a <= c THEN '102' WHEN b <= c AND c < a THEN '120' WHEN c < a AND a <= b THEN '201' ELSE '210' END AS pattern FROM f WHERE c IS NOT NULL),
+n AS (SELECT id, pattern, count(*) AS n FROM p GROUP BY ALL)
+"""
+
+
+@query("t34_permutation_patterns", _PATTERNS.format(series=SERIES) + "SELECT * FROM n")
+def t34(spark, d):
+    return O.permutation_patterns(X.series(spark, d))
+
+
+@query("t34_permutation_entropy", _PATTERNS.format(series=SERIES) + "SELECT id, round(ln(sum(n)) - sum(n * ln(n)) / sum(n) + 3.3e-8, 6) AS entropy FROM n GROUP BY id")
+def t34_entropy(spark, d):
+    return O.permutation_entropies(X.series(spark, d)).select("id", r6("entropy").alias("entropy"))
+
+
+@query("t35_ar_model")
+def t35(spark, d):
+    return O.ar_model(X.waves(spark, d), 10)
+
+
+@query("t36_complexity")
+def t36(spark, d):
+    return O.extract_features(X.waves(spark, d), O.COMPLEXITY)
+
+
+@query("t37_unit_root")
+def t37(spark, d):
+    return O.extract_features(X.waves(spark, d), O.REGRESSIVE)
+
+
 @query("t24_curated")
 def t24_curated(spark, d):
     return O.extract_features(X.waves(spark, d), "curated")
