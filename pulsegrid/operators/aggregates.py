@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import argmax_prob, correlation, feature_category, sample_name, status_of
+from pulsegrid.sources.shared import stored
 
-from .windows import exact_percentiles, kept
+from .order import cumulated, percentiles_of
 
 
 def count_summary(files: DataFrame) -> DataFrame:
@@ -49,29 +50,35 @@ def long_features(df: DataFrame, features: list[str], label: str = "label") -> D
 
 def value_counts(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """(feature, label, value, c): how often each value of a feature stands in a class; one scan of ``df``."""
-    return kept(long_features(df, features, label).groupBy("feature", label, "value").agg(F.count("*").alias("c")))
+    return long_features(df, features, label).groupBy("feature", label, "value").agg(F.count("*").alias("c"))
 
 
 def summary_stats(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    cells, group = value_counts(df, features, label), ["feature", label]
+    group = ["feature", label]
+    cells = cumulated(value_counts(df, features, label), group, "value", "c")
     v, c = F.col("value"), F.col("c")
-    means = cells.groupBy(*group).agg(F.sum("c").alias("n"), (F.sum(v * c) / F.sum("c")).alias("mean"))
-    spread = cells.join(F.broadcast(means), group).groupBy(*group).agg(F.sqrt(F.sum(c * F.pow(v - F.col("mean"), F.lit(2))) / F.sum("c")).alias("sd"))
-    quartiles = exact_percentiles(cells, "value", "c", group, {"median": 0.5, "q1": 0.25, "q3": 0.75})
-    return means.join(spread, group).join(quartiles, group).select(*group, "n", "mean", "median", "sd", "q1", "q3")
+    first = percentiles_of(cells, "value", group, {"median": 0.5, "q1": 0.25, "q3": 0.75}, None, None, F.sum("c").alias("n"), (F.sum(v * c) / F.sum("c")).alias("mean"))
+    # one row a feature and class: features are columns of the table, classes its labels
+    spread = cells.join(first.select(*group, "mean"), group).groupBy(*group).agg(F.sqrt(F.sum(c * F.pow(v - F.col("mean"), F.lit(2))) / F.sum("c")).alias("sd"))
+    return first.join(spread, group).select(*group, "n", "mean", "median", "sd", "q1", "q3")
 
 
-def value_ranges(cells: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Per feature of cells(feature, value, c): display range, log flag, counts inside and outside, bin count (see histogram_stats)."""
-    ends = exact_percentiles(cells, "value", "c", ["feature"], {"lo": low, "hi": high})
+def ranged_values(cells: DataFrame, low: float = 0.005, high: float = 0.995) -> tuple[DataFrame, DataFrame]:
+    """(cells with their cumulated counts, ranges): both of ``histogram_stats``, which reads the counts a second time."""
+    rows = cumulated(cells, ["feature"], "value", "c")
+    ends = percentiles_of(rows, "value", ["feature"], {"lo": low, "hi": high})
     flat = F.col("hi") <= F.col("lo")
     ends = ends.select("feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
-    inside = F.col("value").between(F.col("lo"), F.col("hi"))
-    placed = kept(cells.join(F.broadcast(ends), "feature").withColumn("inside", inside))
+    # per feature, of which there are as many as columns: what lies below the range and in it, then quartiles by place
+    placed = rows.join(F.broadcast(ends), "feature").withColumn("inside", F.col("value").between(F.col("lo"), F.col("hi")))
     v, count = F.when(F.col("inside"), F.col("value")), lambda test: F.sum(F.when(test, F.col("c")).otherwise(0))
-    stats = placed.groupBy("feature").agg(
+    sizes = placed.groupBy("feature").agg(
         F.first("lo").alias("lo"), F.first("hi").alias("hi"), count(F.col("inside")).alias("n"), count(~F.col("inside")).alias("clipped"), F.min(v).alias("least"), F.max(v).alias("most"),
-    ).join(exact_percentiles(placed.where("inside"), "value", "c", ["feature"], {"q1": 0.25, "q3": 0.75}), "feature", "left")
+        count(F.col("value") < F.col("lo")).alias("below"),
+    )
+    inner = rows.join(F.broadcast(sizes.select("feature", "below", F.col("n").alias("n_in"))), "feature")
+    quartiles = percentiles_of(inner, "value", ["feature"], {"q1": 0.25, "q3": 0.75}, F.col("below"), F.col("n_in"))
+    stats = sizes.join(quartiles, "feature", "left")
     log = (F.col("least") > 0) & (F.col("most") / F.when(F.col("least") > 0, F.col("least")) > 50)
     span, n = F.col("most") - F.col("least"), F.col("n")
     width_fd = 2 * (F.col("q3") - F.col("q1")) / F.cbrt(n)
@@ -79,7 +86,12 @@ def value_ranges(cells: DataFrame, low: float = 0.005, high: float = 0.995) -> D
     width = F.when(width_fd > 0, F.least(width_fd, width_st)).otherwise(width_st)
     auto = F.when(span > 0, F.ceil(span / width)).otherwise(1)
     bins = F.when(log, F.least(F.greatest(F.floor(F.sqrt(n)), F.lit(20)), F.lit(60))).otherwise(F.least(F.greatest(auto, F.lit(15)), F.lit(80)))
-    return kept(stats.select("feature", "lo", "hi", "n", "clipped", F.coalesce(log, F.lit(False)).alias("log"), bins.cast("int").alias("bins")))
+    return rows, stats.select("feature", "lo", "hi", "n", "clipped", F.coalesce(log, F.lit(False)).alias("log"), bins.cast("int").alias("bins"))
+
+
+def value_ranges(cells: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Per feature of cells(feature, value, c): display range, log flag, counts inside and outside, bin count (see histogram_stats)."""
+    return ranged_values(cells, low, high)[1]
 
 
 def clipped_counts(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -88,8 +100,8 @@ def clipped_counts(df: DataFrame, features: list[str], label: str = "label") ->
 
 def histogram_stats(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Long histogram: feature, class, bin, edges, count, pdf, pdf over its largest. Empty bins are kept; the last bin holds its right end."""
-    cells = value_counts(df, features, label)
-    ranges = value_ranges(cells)
+    cells, ranges = ranged_values(value_counts(df, features, label))
+    ranges = stored(ranges, "ranges")
     scale = lambda x: F.when(F.col("log"), F.log(F.when(x > 0, x))).otherwise(x)
     lo, hi = scale(F.col("lo")), scale(F.col("hi"))
     step = (hi - lo) / F.col("bins")
@@ -129,8 +141,8 @@ def heatmap_matrix(hist: DataFrame, by: str, names: list, width: float = 0.025)
 
 def box_stats(df: DataFrame, value: str, by: str) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, number of values beyond them."""
-    cells = kept(df.groupBy(by, value).agg(F.count("*").alias("c")))
-    q = exact_percentiles(cells, value, "c", [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    cells = cumulated(df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c")), [by], value, "c")
+    q = percentiles_of(cells, value, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return cells.join(q, by).groupBy(by).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import derive_keys
 
-from .windows import exact_percentiles, kept
+from .order import exact_percentiles
 
 DERIVED = ("file_number", "machine_no", "measured_at")
 
@@ -76,7 +76,7 @@ def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def outlier_bounds(df: DataFrame, col: str, by: list[str], k: float = 4.0, absolute: float = 10.0) -> DataFrame:
     """Tukey fences per group; where the interquartile range is below 1e-6 the fences are at plus and minus ``absolute``."""
-    cells = kept(df.groupBy(*by, col).agg(F.count("*").alias("_c")))
+    cells = df.groupBy(*by, col).agg(F.count("*").alias("_c"))
     quartiles = exact_percentiles(cells, col, "_c", by, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return quartiles.select(

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.shared import stored
+
 from .aggregates import long_features, value_counts
-from .windows import avg_rank, kept, upto_counts
+from .order import tie_ranks
 
 
 def anova(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
@@ -22,13 +24,20 @@ def anova(df: DataFrame, features: list[str], label: str = "label") -> DataFrame
     return total.select("feature", "k", "n", f.alias("f"), F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta_sq"))
 
 
+def ranked_groups(cells: DataFrame, label: str = "label") -> tuple[DataFrame, DataFrame]:
+    """((feature, label, r, n), (feature, value, t, rank)): rank sums and sizes of the groups of value counts, and the ties.
+
+    Ranks meet the counts, never the rows: a value that many rows share is one row on either side.
+    """
+    values = cells.groupBy("feature", "value").agg(F.sum("c").alias("t"))
+    ranks = tie_ranks(values, ["feature"], "value", "t").withColumnRenamed("_rank", "rank")
+    met = cells.join(ranks, ["feature", "value"])
+    return met.groupBy("feature", label).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("n")), ranks
+
+
 def kruskal(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Per feature: H with tie correction and epsilon squared. Ranks come from counts of distinct values."""
-    cells = value_counts(df, features, label)
-    values = cells.groupBy("feature", "value").agg(F.sum("c").alias("t"))
-    upto = kept(upto_counts(kept(values), "value", "t", ["feature"], False, "upto").select("feature", "value", "t", (F.col("upto") - (F.col("t") - 1) / 2).alias("rank")))
-    ranked = cells.join(upto, ["feature", "value"])
-    groups = ranked.groupBy("feature", label).agg(F.sum(F.col("c") * F.col("rank")).alias("r"), F.sum("c").alias("n"))
+    groups, upto = ranked_groups(stored(value_counts(df, features, label), "value-counts"), label)
     cube = F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")
     ties = upto.groupBy("feature").agg(F.sum(cube).alias("ties"))
     s = groups.groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q")).join(ties, "feature").where("k >= 2")
@@ -128,26 +137,114 @@ def p_values(stats: DataFrame, kind: str, statistic: str, *df: str, out: str = "
     return stats.withColumn(out, run(F.col(statistic), *[F.col(c) for c in df]))
 
 
+def _log_choose(n: float, k: float) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def _side(start: int, end: int, step: int, row: int, column: int, n: int, top: float) -> float:
+    """Sum of the probabilities from ``start`` on, over exp(top), while they count; each term is the one before times a ratio."""
+    if (end - start) * step < 0:
+        return 0.0
+    term = total = math.exp(_log_choose(row, start) + _log_choose(n - row, column - start) - _log_choose(n, column) - top)
+    for x in range(start, end, step):
+        if step > 0:
+            term *= (row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1))
+        else:
+            term *= x * (n - row - column + x) / ((row - x + 1) * (column - x + 1))
+        total += term
+        if term < total * 1e-17:
+            break
+    return total
+
+
+def fisher_p(a: int, b: int, c: int, d: int) -> float:
+    """Two-sided exact test of the table (a b / c d): all tables of the same margins that are no likelier than it, in log space.
+
+    Probabilities fall off on both sides of the mode, so the far end of the other tail is found by halving, and each tail is
+    added up from its likeliest table outwards: large counts cost no more than their tails' width.
+    """
+    row, column, n = a + b, a + c, a + b + c + d
+    low, high = max(0, row + column - n), min(row, column)
+    if low == high:
+        return 1.0
+    log = lambda x: _log_choose(row, x) + _log_choose(n - row, column - x) - _log_choose(n, column)
+    own = log(a)
+    limit = own + 1e-7  # tables as likely as this one belong to it
+    mode = min(max((row + 1) * (column + 1) // (n + 2), low), high)
+    if log(mode) <= limit:
+        return 1.0
+    if a < mode:
+        left, inner, outer = a, mode, high + 1  # the first table right of the mode that is no likelier
+        while outer - inner > 1:
+            middle = (inner + outer) // 2
+            inner, outer = (middle, outer) if log(middle) > limit else (inner, middle)
+        right = outer
+    else:
+        right, inner, outer = a, mode, low - 1
+        while inner - outer > 1:
+            middle = (inner + outer) // 2
+            inner, outer = (middle, outer) if log(middle) > limit else (inner, middle)
+        left = outer
+    both = _side(left, low, -1, row, column, n, own) * (left >= low) + _side(right, high, 1, row, column, n, own) * (right <= high)
+    return min(1.0, math.exp(own) * both)
+
+
 def mann_whitney(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """Each class against the rest, per feature: z of the rank sum with tie correction."""
-    rows = long_features(df, features, label)
-    ranked = avg_rank(rows, "value", ["feature"], desc=False)
-    groups = ranked.groupBy("feature", label).agg(F.sum("rank").alias("r"), F.count("*").alias("n1"))
+    """Each class against the rest, per feature: z of the rank sum with tie correction, from counts of distinct values."""
+    return _mann_whitney(stored(value_counts(df, features, label), "value-counts"), label)
+
+
+def _mann_whitney(cells: DataFrame, label: str) -> DataFrame:
+    groups, ranks = ranked_groups(cells, label)
     cube = F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")
-    ties = rows.groupBy("feature", "value").agg(F.count("*").alias("t")).groupBy("feature").agg(F.sum(cube).alias("ties"), F.sum("t").alias("n"))
-    n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
+    ties = ranks.groupBy("feature").agg(F.sum(cube).alias("ties"), F.sum("t").alias("all"))
+    n, n1 = F.col("all").cast("double"), F.col("n").cast("double")
     n2 = n - n1
     spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(F.col("r") - n1 * (n + 1) / 2, F.nullif(spread, F.lit(0.0)))
     return groups.join(ties, "feature").select("feature", label, z.alias("z"))
 
 
+def binary_tables(cells: DataFrame, label: str = "label") -> DataFrame:
+    """(feature, label, a, b, c, d) of features with exactly two values: rows of the class with the larger (a) and the smaller (b)
+    value, and of the rest (c, d)."""
+    ends = cells.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    sides = cells.join(ends, "feature")
+    high, low, c = F.col("value") == F.col("hi"), F.col("value") == F.col("lo"), F.col("c")
+    of = lambda test: F.sum(F.when(test, c).otherwise(0))
+    whole = sides.where("lo < hi").groupBy("feature").agg(of(high).alias("_hi"), of(low).alias("_lo"), of(~(high | low)).alias("_between"))
+    own = sides.groupBy("feature", label).agg(of(high).alias("a"), of(low).alias("b"))
+    met = own.join(whole.where("_between = 0"), "feature")
+    return met.select("feature", label, "a", "b", (F.col("_hi") - F.col("a")).alias("c"), (F.col("_lo") - F.col("b")).alias("d"))
+
+
+def fisher_exact(tables: DataFrame, out: str = "p") -> DataFrame:
+    """Adds the two-sided p-value of each 2 x 2 table; meant for one row per feature and class."""
+
+    @F.pandas_udf("double")
+    def run(a, b, c, d):
+        import pandas as pd
+
+        return pd.Series([fisher_p(*map(int, row)) for row in zip(a, b, c, d, strict=True)], dtype="float64")
+
+    return tables.withColumn(out, run("a", "b", "c", "d"))
+
+
+def relevance(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """(feature, label, test, p): each class against the rest, by Fisher's exact test for features of two values, else by
+    Mann-Whitney; a feature of one value has p 1. One scan of ``df``: both tests read its value counts."""
+    cells = stored(value_counts(df, features, label), "value-counts")
+    exact = fisher_exact(binary_tables(cells, label)).select("feature", label, F.lit("fisher").alias("test"), "p")
+    real = p_values(_mann_whitney(cells, label), "normal", "z").select("feature", label, F.lit("mann_whitney").alias("test"), F.coalesce("p", F.lit(1.0)).alias("p"))
+    return exact.union(real.join(exact.select("feature").distinct(), "feature", "left_anti").select("feature", label, "test", "p"))
+
+
 def select_features(df: DataFrame, features: list[str], label: str = "label", fdr: float = 0.05) -> DataFrame:
-    """Features that some class keeps: Mann-Whitney against the rest, Benjamini-Yekutieli over the features of a class."""
-    tests = p_values(mann_whitney(df, features, label), "normal", "z").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    """(feature, n_classes, test, p): features that some class keeps, by ``relevance`` and Benjamini-Yekutieli over the features of a class."""
+    tests = relevance(df, features, label)
     m = len(features)
     harmonic = sum(1 / k for k in range(1, m + 1))
     place = F.row_number().over(Window.partitionBy(label).orderBy("p", "feature"))
     passed = tests.withColumn("k", place).withColumn("ok", F.col("p") <= F.col("k") * fdr / (m * harmonic))
     last = F.max(F.when(F.col("ok"), F.col("k"))).over(Window.partitionBy(label))
-    return passed.withColumn("last", last).where("k <= last").groupBy("feature").agg(F.count("*").alias("n_classes"), F.min("p").alias("p"))
+    return passed.withColumn("last", last).where("k <= last").groupBy("feature").agg(F.count("*").alias("n_classes"), F.first("test").alias("test"), F.min("p").alias("p"))

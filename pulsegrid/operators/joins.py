@@ -36,22 +36,34 @@ def importance_with_stats(importance: DataFrame, stats: DataFrame, key: str = "f
     return importance.join(stats, key, "left")
 
 
+#: Length of the grams that names and stems meet by; shorter names are their own gram.
+GRAM = 3
+
+
+def _grams(text: str, size: int):
+    """Distinct substrings of ``size`` characters; none for shorter texts."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(size)))))
+
+
 def match_counts(files: DataFrame, counts: DataFrame) -> DataFrame:
     """files(stem) with counts(name, position, count): the first name, by position, that the stem contains; none gives 0.
 
-    A substring is no equality: the candidates are cut to their distinct stems, and each name meets them through the
-    stems' own substrings of the names' lengths, so the join has an equal key and no pair of all rows is formed.
+    A gram index: stems are cut into grams of one to three characters, whatever the lengths of the names; a name is looked
+    up by the one of its grams that the fewest stems hold, and what meets there is verified. A name with a gram that no stem
+    holds is in none. The empty name is in every stem; null stems and names match nothing.
     """
-    lengths = [r.n for r in counts.select(F.length("name").alias("n")).distinct().collect()]
-    stems = files.select("stem").distinct()
-    at = F.flatten(F.array(*[_substrings(n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    parts = stems.select("stem", F.explode(F.array_distinct(at)).alias("name"))
-    first = parts.join(counts, "name").groupBy("stem").agg(F.min_by("count", "position").alias("count"))
-    return files.join(first, "stem", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-
-
-def _substrings(n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem") - n + 1, F.lit(1))), lambda i: F.substring(F.col("stem"), i, F.lit(n)))
+    stems = files.select("stem").where(F.col("stem").isNotNull()).distinct()
+    sizes = [_grams("stem", k) for k in range(1, GRAM + 1)]
+    index = stems.select("stem", F.explode(F.concat(F.array(F.lit("")), *[F.coalesce(g, F.array().cast("array<string>")) for g in sizes])).alias("gram"))
+    names = counts.where(F.col("name").isNotNull()).groupBy("name").agg(F.min(F.struct("position", "count")).alias("_at"))
+    own = F.when(F.length("name") < GRAM, F.array("name")).otherwise(_grams("name", GRAM))
+    parts = names.select("name", F.size(own).alias("n"), F.explode(own).alias("gram"))
+    held = index.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("stems"))
+    rarest = parts.join(held, "gram").groupBy("name").agg(F.min(F.struct("stems", "gram"))["gram"].alias("gram"), F.count("*").alias("known"), F.first("n").alias("n"))
+    sought = names.join(rarest.where("known = n").select("name", "gram"), "name")
+    found = index.join(sought, "gram").where(F.contains("stem", "name")).groupBy("stem").agg(F.min("_at")["count"].alias("count"))
+    return files.join(found, "stem", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
 def inventory_join(t: DataFrame, anal: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

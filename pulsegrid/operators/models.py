@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,14 +19,23 @@ from .aggregates import confusion, f1, mixture_ratio, zscore
 from .windows import running_id
 
 
+#: Rows of a class that are ordered together.
+BUCKET_ROWS = 200_000
+
+
 def _hash(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
 
 
 def hash_rank(df: DataFrame, key: str, part: list[str], seed: int, out: str = "_rank") -> DataFrame:
-    """Rank from 0 in a fixed random order within ``part``; hash prefixes are the buckets, so no class is ordered in one task."""
+    """Rank from 0 in a fixed random order within ``part``; hash prefixes are the buckets, so no class is ordered in one task.
+
+    The prefix grows with the largest class: about ``BUCKET_ROWS`` rows of it share one.
+    """
     tagged = df.withColumn("_hash", _hash(seed, key))
-    return running_id(tagged, part, ["_hash", key], F.conv(F.left("_hash", F.lit(2)), 16, 10).cast("int"), out).drop("_hash")
+    largest = df.groupBy(*part).count().agg(F.max("count")).first()[0] or 0
+    digits = max(2, math.ceil(math.log(max(1, largest / BUCKET_ROWS), 16)))
+    return running_id(tagged, part, ["_hash", key], F.left("_hash", F.lit(digits)), out).drop("_hash")
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", test: float = 0.2, val: float = 0.15, seed: int = 42) -> DataFrame:
@@ -81,9 +92,51 @@ class Boosted:
         return out.withColumn("pred", pred).withColumn("said", F.get(F.array(*[F.lit(c) for c in self.classes]), F.col("pred")))
 
 
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(round of least loss, whether boosting stops there): the loss has not fallen for ``patience`` rounds after it."""
+    best = 0
+    for k, v in enumerate(losses):
+        if v < losses[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The same model with its first ``n`` trees."""
+    java, jvm = model._java_obj, SparkSession.active()._jvm
+    gateway = SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for k, (tree, weight) in enumerate(zip(java.trees()[:n], model.treeWeights[:n], strict=True)):
+        trees[k], weights[k] = tree, float(weight)
+    cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, model.numFeatures, model.numClasses))
+    return cut.copy({p: v for p, v in model.extractParamMap().items() if cut.hasParam(p.name)})
+
+
+def _fit_patiently(gbt: GBTClassifier, train: DataFrame, held: DataFrame, rounds: int, patience: int) -> GBTClassificationModel:
+    """Boosts until the loss on ``held`` has not fallen for ``patience`` rounds, and keeps the trees up to its best round.
+
+    Trees of a longer run begin with those of a shorter one, so runs are doubled until one stops: at most twice the rounds
+    that are looked at are trained, however many are allowed.
+    """
+    tried = min(rounds, 2 * patience)
+    while True:
+        model = gbt.copy({gbt.maxIter: tried}).fit(train)
+        best, stops = best_round(model.evaluateEachIteration(held), patience)
+        if stops or tried >= rounds:
+            return first_trees(model, best)
+        tried = min(rounds, 2 * tried)
+
+
 def train_boosted(df: DataFrame, features: list[str], label: str = "label", rounds: int = 500, depth: int = 6, eta: float = 0.1, subsample: float = 1.0, colsample: float = 1.0,
-                  validation: str | None = None, patience_tol: float = 0.01, seed: int = 42) -> Boosted:
-    """Gradient-boosted trees, one against the rest. validation: boolean column of rows that stop the boosting early."""
+                  validation: str | None = None, patience: int = 20, seed: int = 42) -> Boosted:
+    """Gradient-boosted trees, one against the rest.
+
+    validation: boolean column of the rows that stop the boosting of each class: it ends when their loss has not fallen for
+    ``patience`` rounds, and the model keeps the trees up to the best round. Without it all rounds are kept.
+    """
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     if len(classes) < 2:
         raise ValueError("training needs two classes at least")
@@ -92,16 +145,20 @@ def train_boosted(df: DataFrame, features: list[str], label: str = "label", roun
     strategy = "all" if colsample >= 1 else str(colsample)
     models = []
     for c in classes:
-        gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=eta, subsamplingRate=subsample, featureSubsetStrategy=strategy, seed=seed, validationTol=patience_tol)
+        gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=eta, subsamplingRate=subsample, featureSubsetStrategy=strategy, seed=seed)
+        rows = x.withColumn("_y", (F.col(label) == c).cast("double"))
         if validation:
-            gbt = gbt.setValidationIndicatorCol(validation)
-        models.append(gbt.fit(x.withColumn("_y", (F.col(label) == c).cast("double"))))
+            held = F.coalesce(F.col(validation), F.lit(False))
+            models.append(_fit_patiently(gbt, rows.where(~held), rows.where(held), rounds, patience))
+        else:
+            models.append(gbt.fit(rows))
     x.unpersist()
     return Boosted(models, classes, features)
 
 
 def train_leafwise(df: DataFrame, features: list[str], label: str = "label", rounds: int = 500, **options) -> Boosted:
     """The other trainer's settings: small steps, sub-sampled rows and columns; depth 6 stands for 63 leaves."""
+    options = {"patience": 30} | options
     return train_boosted(df, features, label, rounds=rounds, depth=6, eta=0.05, subsample=0.8, colsample=0.8, **options)
 
 
@@ -122,15 +179,18 @@ def grid_search(df: DataFrame, features: list[str], target: str, grid: dict = GR
     return df.sparkSession.createDataFrame(rows, "setting map<string,double>, accuracy double").orderBy(F.desc("accuracy"))
 
 
-def learning_curve(model: Boosted, df: DataFrame, label: str = "label") -> DataFrame:
-    """(class, round, loss) of every round on the rows given."""
+def learning_curve(model: Boosted, df: DataFrame, label: str = "label", validation: str | None = None) -> DataFrame:
+    """(rows, class, round, loss) of every round; rows is 'train' or, where the boolean column ``validation`` holds, 'validation'."""
     x = VectorAssembler(inputCols=model.features, outputCol="_x", handleInvalid="keep").transform(df)
+    held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    parts = {"train": x.where(~held)} | ({"validation": x.where(held)} if validation else {})
     rows = []
     for c, m in zip(model.classes, model.models, strict=True):
         m = m.copy({m.featuresCol: "_x", m.labelCol: "_y"})
-        losses = m.evaluateEachIteration(x.withColumn("_y", (F.col(label) == c).cast("double")))
-        rows += [(str(c), k + 1, float(v)) for k, v in enumerate(losses)]
-    return df.sparkSession.createDataFrame(rows, "class string, round int, loss double")
+        for name, part in parts.items():
+            losses = m.evaluateEachIteration(part.withColumn("_y", (F.col(label) == c).cast("double")))
+            rows += [(name, str(c), k + 1, float(v)) for k, v in enumerate(losses)]
+    return df.sparkSession.createDataFrame(rows, "rows string, class string, round int, loss double")
 
 
 def _nodes(node, visit) -> None:
@@ -225,11 +285,23 @@ def load_model(path: str, spark: SparkSession, fingerprint: str | None = None) -
     return Boosted(models, list(last.classes), list(last.features)), last.version
 
 
-def predict_mixture(model: Boosted, df: DataFrame, by: str, train: DataFrame | None = None, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Ratios per file over all rows and over confident ones; features are scaled as on ``train``."""
+def load_or_train(path: str, version: str, fingerprint: str, train: Callable[[], Boosted], spark: SparkSession, force: bool = False) -> tuple[Boosted, str, bool]:
+    """(model, its version, whether it was reused): the latest stored model where its fingerprint is the data's and training is
+    not forced; else ``train()`` gives a new one, which is stored as ``version``."""
+    found = None if force else load_model(path, spark, fingerprint)
+    if found:
+        return *found, True
+    model = train()
+    save_model(model, path, version, fingerprint, spark)
+    return model, version, False
+
+
+def predict_mixture(model: Boosted, df: DataFrame, by: str, train: DataFrame | None = None, threshold: float = 0.8, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ratios per file over all rows and over confident ones; features are scaled as on ``train``. version: recorded beside the ratios."""
     scored = model.transform(scale(df, model.features, train) if train is not None else df).select(by, "prob")
     names = tuple(str(c) for c in model.classes)
-    return mixture_ratio(scored, by, names, threshold), mixture_ratio(scored, by, names, threshold, True)
+    mark = lambda r: r.withColumn("model_version", F.lit(version)) if version else r
+    return mark(mixture_ratio(scored, by, names, threshold)), mark(mixture_ratio(scored, by, names, threshold, True))
 
 
 def pca_2d(df: DataFrame, features: list[str], key: str, n: int | None = 20_000, seed: int = 42) -> tuple[DataFrame, list[float]]:

@@ -106,25 +106,24 @@ def savgol_coefficients(width: int = 51, degree: int = 3) -> np.ndarray:
 def savgol(trace: DataFrame, width: int = 51, degree: int = 3, size: int = CHUNK) -> DataFrame:
     """Adds smooth, per chunk: the fitted value at the centre; the first and last half windows use the polynomial of the edge window.
 
-    Chunks shorter than the window keep their samples.
+    A chunk is one array, which the coefficients are moved along: one exchange, no join. Chunks shorter than the window keep
+    their samples; further columns of the trace stay.
     """
     if width % 2 == 0:
         raise ValueError("the window must be odd")
-    h = savgol_coefficients(width, degree)
     half = width // 2
+    rows = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in savgol_coefficients(width, degree)])
     chunked = chunk_trace(trace, size)
-    rows = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in h])
-    w = Window.partitionBy("file", "chunk").orderBy("idx")
-    every = Window.partitionBy("file", "chunk")
-    at = chunked.withColumns({"i": F.row_number().over(w) - 1, "n": F.count("*").over(every)})
-    middle = F.least(F.greatest(F.col("i"), F.lit(half)), F.col("n") - 1 - half)
-    frames = at.withColumns({"_f": F.collect_list("y").over(w.rowsBetween(-half, half)), "_m": middle})
-    centre = frames.withColumn("_row", F.col("i") - F.col("_m") + half)
-    # an edge row takes the frame of the nearest inner row
-    inner = frames.where("_m = i").select("file", "chunk", F.col("i").alias("_m"), F.col("_f").alias("_frame"))
-    joined = centre.join(inner, ["file", "chunk", "_m"], "left")
-    fit = F.aggregate(F.zip_with(F.get(rows, F.col("_row").cast("int")), "_frame", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return joined.withColumn("smooth", F.when(F.col("n") >= width, fit).otherwise(F.col("y"))).drop("i", "n", "_f", "_m", "_row", "_frame")
+    points = chunked.groupBy("file", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", F.struct(*trace.columns).alias("row")))).alias("_p"))
+    points = points.withColumns({"_y": F.transform("_p", lambda p: p["row"]["y"].cast("double")), "_n": F.size("_p")})
+
+    def fitted(i):
+        start = F.least(F.greatest(i - half, F.lit(0)), F.col("_n") - width)  # of the frame: edge samples take the nearest whole one
+        return F.aggregate(F.zip_with(F.get(rows, i - start), F.slice("_y", start + 1, F.lit(width)), lambda c, y: c * y), F.lit(0.0), lambda s, v: s + v)
+
+    smooth = F.when(F.col("_n") >= width, F.transform(F.sequence(F.lit(0), F.col("_n") - 1), fitted)).otherwise(F.col("_y"))
+    out = points.select("chunk", F.explode(F.arrays_zip(F.col("_p").alias("p"), smooth.alias("smooth"))).alias("_z"))
+    return out.select("_z.p.row.*", "chunk", "_z.smooth")
 
 
 def moving_baseline(trace: DataFrame, width: int = 501, size: int = CHUNK) -> DataFrame:

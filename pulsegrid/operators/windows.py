@@ -2,62 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def upto_counts(counts: DataFrame, col: str, n: str, part: list[str], desc: bool, out: str) -> DataFrame:
-    """Adds the sum of ``n`` over rows up to and with each one in the order of a numeric ``col`` (NULL last).
-
-    Values fall into buckets at approximate quantiles of their part; sums run within buckets and are shifted by the
-    buckets before, so no part is ordered in one task.
-    """
-    steps = F.array(*[F.lit(k / 64) for k in range(1, 64)])
-    bounds = counts.groupBy(*part).agg(F.percentile_approx(F.col(col).cast("double"), steps, 1000).alias("_bounds"))
-    tagged = counts.join(F.broadcast(bounds), part) if part else counts.crossJoin(F.broadcast(bounds))
-    low = F.size(F.filter("_bounds", lambda b: b < F.col(col).cast("double")))
-    tagged = tagged.withColumn("_bucket", F.when(F.col(col).isNull(), 1000).otherwise(-low if desc else low)).drop("_bounds")
-    sums = tagged.groupBy(*part, "_bucket").agg(F.sum(n).alias("_sum"))
-    ahead = sums.select(*part, "_bucket", (F.sum("_sum").over(Window.partitionBy(*part).orderBy("_bucket")) - F.col("_sum")).alias("_ahead"))
-    order = F.col(col).desc_nulls_last() if desc else F.col(col).asc_nulls_last()
-    local = F.sum(n).over(Window.partitionBy(*part, "_bucket").orderBy(order))
-    return tagged.withColumn("_local", local).join(F.broadcast(ahead), [*part, "_bucket"]).withColumn(out, F.col("_ahead") + F.col("_local")).drop("_bucket", "_local", "_ahead")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Marks a pre-aggregated table that several branches of one plan read, so that its source is scanned once.
-
-    It spills to local disk and is made again from its source where an executor is lost.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def exact_percentiles(counts: DataFrame, col: str, n: str, part: list[str], shares: dict[str, float]) -> DataFrame:
-    """Per ``part`` the percentiles {name: share} of numeric values with multiplicities, linear between neighbours.
-
-    They come from cumulated counts of distinct values, so no part is gathered or ordered in one task.
-    """
-    known = counts.where(F.col(col).isNotNull())
-    ranked = upto_counts(known, col, n, part, False, "_upto")
-    totals = known.groupBy(*part).agg(F.sum(n).alias("_total"))
-    joined = ranked.join(F.broadcast(totals), part) if part else ranked.crossJoin(F.broadcast(totals))
-    picks, out = [], []
-    for name, share in shares.items():
-        at = (F.col("_total") - 1) * F.lit(share)
-        low, high = F.floor(at), F.ceil(at)
-        picks += [F.min(F.when(F.col("_upto") > low, F.col(col))).alias(f"_lo_{name}"), F.min(F.when(F.col("_upto") > high, F.col(col))).alias(f"_hi_{name}"), F.first(at - low).alias(f"_w_{name}")]
-        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_w_{name}")).alias(name))
-    return joined.groupBy(*part).agg(*picks).select(*part, *out)
+from .order import exact_percentiles, tie_ranks  # noqa: F401
 
 
 def avg_rank(df: DataFrame, col: str, part: list[str] | None = None, desc: bool = True, out: str = "rank") -> DataFrame:
     """Average rank of ties of a numeric column. Ranks come from counts of distinct values, so a common value is one row."""
     part = part or []
     counts = df.groupBy(*part, col).agg(F.count("*").alias("_n"))
-    ranks = upto_counts(counts, col, "_n", part, desc, "_upto").select(
-        *[F.col(k).alias(f"_k_{k}") for k in (*part, col)], (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)
-    )
+    ranks = tie_ranks(counts, part, col, "_n", desc).select(*[F.col(k).alias(f"_k_{k}") for k in (*part, col)], F.col("_rank").alias(out))
     condition = None
     for k in (*part, col):
         one = F.col(k).eqNullSafe(F.col(f"_k_{k}"))

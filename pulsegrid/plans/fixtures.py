@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.signal import detect_pulses
 from pulsegrid.operators.windows import running_id
+from pulsegrid.sources.shared import scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,15 +162,3 @@ ATTRIBUTIONS = f"""
 SELECT vec_id AS id, c AS class, 'f' || e.d AS feature, (x - m) * (c + 1) AS phi, label, ((label + (vec_id % 3 = 0)::INTEGER) % {N_CLASSES})::INTEGER AS pred
 FROM ({COMPONENTS}) e JOIN (SELECT d, avg(x) AS m FROM ({COMPONENTS}) GROUP BY d) k ON e.d = k.d, (SELECT unnest(range({N_CLASSES}))::INTEGER AS c)
 """
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table that a query writes: below ``spark.checkpoint.dir``, or in a temporary folder of a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()

@@ -63,9 +63,22 @@ def l6(spark, d):
     return L.grid_search(e, ["value", "mixed"], "y", {"maxDepth": [2, 3], "maxIter": [1]}, folds=2)
 
 
+def _split_events(spark, d):
+    """Training and validation rows of the stratified split, with a column that tells them apart."""
+    return L.stratified_split(_events(spark, d), "event_id").where("split <> 'test'").withColumn("held", F.col("split") == "val")
+
+
+@query("l4_patience")
+def l4_patience(spark, d):
+    """Early stopping on the validation rows of the split: trees that each class keeps of the rounds allowed."""
+    m = L.train_boosted(_split_events(spark, d), ["value", "k", "mixed"], rounds=8, depth=3, eta=1.0, validation="held", patience=2)
+    return spark.createDataFrame([(c, len(x.trees)) for c, x in zip(m.classes, m.models, strict=True)], "class string, trees int")
+
+
 @query("l7_learning_curve")
 def l7(spark, d):
-    return L.learning_curve(_model(spark, d), _events(spark, d))
+    e = _split_events(spark, d)
+    return L.learning_curve(L.train_boosted(e.where("not held"), ["value", "k", "mixed"], rounds=2, depth=3, eta=0.3), e, validation="held")
 
 
 @query("l8_gain_importance")
@@ -111,8 +124,8 @@ def l14(spark, d):
 def l11(spark, d):
     """Saved, loaded by its fingerprint, and used."""
     path = X.scratch(spark, "model")
-    L.save_model(_model(spark, d), path, "v1", "fp", spark)
-    model, _ = L.load_model(path, spark, "fp")
+    L.load_or_train(path, "v1", "fp", lambda: _model(spark, d), spark)
+    model, _, _ = L.load_or_train(path, "v2", "fp", lambda: _model(spark, d), spark)
     return model.transform(_events(spark, d)).groupBy("label", "said").agg(F.count("*").alias("n"))
 
 

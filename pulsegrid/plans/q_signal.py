@@ -88,7 +88,16 @@ def e8(spark, d):
     return O.chunk_trace(X.trace(spark, d), SIZE).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("total"))
 
 
-@query("e9_savgol")
+@query("e9_savgol", f"""
+WITH t AS (SELECT file, idx, y, idx // {SIZE} AS chunk FROM ({TRACE})),
+w AS (SELECT *, row_number() OVER (PARTITION BY file, chunk ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY file, chunk) AS n FROM t),
+x AS (SELECT (x - 25)::DOUBLE AS x FROM range(51) r(x)), m AS (SELECT sum(x ** 2) AS s2, sum(x ** 4) AS s4 FROM x),
+p AS (SELECT x, x ** 2 - s2 / 51 AS q, x ** 3 - s4 / s2 * x AS c FROM x, m), k AS (SELECT sum(x * x) AS nx, sum(q * q) AS nq, sum(c * c) AS nc FROM p),
+h AS (SELECT a.x AS at, b.x AS x, 1.0 / 51 + a.x * b.x / nx + a.q * b.q / nq + a.c * b.c / nc AS h FROM p a, p b, k),
+f AS (SELECT *, greatest(least(i, n - 26), 25) AS mid FROM w WHERE n >= 51),
+s AS (SELECT f.file, f.idx, sum(h * v.y) AS smooth FROM f JOIN w v ON v.file = f.file AND v.chunk = f.chunk AND v.i BETWEEN mid - 25 AND mid + 25 JOIN h ON h.at = f.i - mid AND h.x = v.i - mid GROUP BY 1, 2)
+SELECT w.file, w.idx, round(coalesce(smooth, y), 6) AS smooth FROM w LEFT JOIN s ON s.file = w.file AND s.idx = w.idx
+""")
 def e9(spark, d):
     return O.savgol(X.trace(spark, d), 51, 3, SIZE).select("file", "idx", r6("smooth").alias("smooth"))
 

@@ -300,13 +300,51 @@ def n2(spark, d):
     return H.kruskal(X.features(spark, d), list(FEATURES)).select("feature", "k", "n", F.round("h", 3).alias("h"), r6("epsilon_sq").alias("epsilon_sq"))
 
 
-@query("n3_p_values")
+_GROUPS = f"""
+WITH v AS ({FEATURE_ROWS}), r AS (SELECT feature, label, value, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rank FROM v),
+g AS (SELECT feature, label, sum(rank) AS r, count(*)::DOUBLE AS n, avg(value) AS m, var_pop(value) AS v FROM r GROUP BY 1, 2),
+ti AS (SELECT feature, sum(c::DOUBLE ** 3 - c) AS ties FROM (SELECT feature, value, count(*) AS c FROM v GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT feature, count(*) AS k, sum(n) AS n, sum(r * r / n) AS q, sum(n * v) AS ssw, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb FROM g GROUP BY 1)
+"""
+
+
+# the tails of three classes (two degrees of freedom) have closed forms
+@query("n3_p_values", _GROUPS + """
+SELECT feature, 'anova' AS test, round((1 + ssb / ssw) ** (-(n - 3) / 2), 6) AS p FROM s WHERE k = 3
+UNION ALL SELECT feature, 'kruskal', round(exp(-(12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) / 2), 6) FROM s JOIN ti USING (feature) WHERE k = 3
+""")
 def n3(spark, d):
     a = H.anova(X.features(spark, d), list(FEATURES)).withColumns({"d1": F.col("k") - 1, "d2": F.col("n") - F.col("k")})
     h = H.kruskal(X.features(spark, d), list(FEATURES)).withColumn("d1", F.col("k") - 1)
-    return H.p_values(a, "f", "f", "d1", "d2").select("feature", F.lit("anova").alias("test"), "p").union(H.p_values(h, "chi2", "h", "d1").select("feature", F.lit("kruskal"), "p"))
+    both = H.p_values(a, "f", "f", "d1", "d2").select("feature", F.lit("anova").alias("test"), "p").union(H.p_values(h, "chi2", "h", "d1").select("feature", F.lit("kruskal"), "p"))
+    return both.withColumn("p", F.round("p", 6))
 
 
 @query("n4_select_features")
 def n4(spark, d):
     return H.select_features(X.features(spark, d), list(FEATURES))
+
+
+@query("n4_mann_whitney", _GROUPS + """
+SELECT g.feature, label, round((g.r - g.n * (s.n + 1) / 2) / sqrt(g.n * (s.n - g.n) / 12 * (s.n + 1 - ties / (s.n * (s.n - 1)))), 5) AS z FROM g JOIN s USING (feature) JOIN ti USING (feature)
+""")
+def n4_ranks(spark, d):
+    return H.mann_whitney(X.features(spark, d), list(FEATURES)).withColumn("z", F.round("z", 5))
+
+
+FLAGS = {"odd_line": "l_linenumber % 2", "taxed": "CAST(l_tax > 0.04 AS INT)", "many": "CAST(l_quantity >= 48 AS INT)", "early": "CAST(l_orderkey % 3 = 0 AS INT)"}
+
+
+@query("n4_fisher", f"""
+WITH v AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, l_returnflag AS label, {e} AS value FROM lineitem" for n, e in FLAGS.items())}),
+o AS (SELECT feature, label, count(*) FILTER (value = 1) AS a, count(*) FILTER (value = 0) AS b FROM v GROUP BY 1, 2),
+f AS (SELECT *, (sum(a) OVER w)::BIGINT - a AS c, (sum(b) OVER w)::BIGINT - b AS d FROM o WINDOW w AS (PARTITION BY feature)),
+x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM f),
+l AS (SELECT *, lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(c + d + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)
+  - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) AS lp FROM x),
+t AS (SELECT *, max(lp) FILTER (x = a) OVER (PARTITION BY feature, label) AS own FROM l)
+SELECT feature, label, a, b, c, d, round(least(1.0, sum(exp(lp)) FILTER (lp <= own + 1e-7)), 6) AS p FROM t GROUP BY ALL
+""")
+def n4_fisher(spark, d):
+    flags = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), *[F.expr(e).alias(n) for n, e in FLAGS.items()])
+    return H.fisher_exact(H.binary_tables(A.value_counts(flags, list(FLAGS)))).withColumn("p", F.round("p", 6))
