@@ -1,16 +1,21 @@
 """Personal data: patterns, then information-theoretic sanitisation of what gives the same entities away.
 
 Only DataFrame functions are used. Emails, addresses, card and phone numbers are found by pattern; each valid match is a
-mention of a protected entity. Other terms of the corpus may reveal an entity as well as its number does. Documents are
-the events: an entity c that stands in n_c of n documents has log2(n / n_c) bits of information, and a term t reveals
+mention of a protected entity. Other terms of the corpus may reveal an entity as well as its number does. Distinct texts
+are the events: an entity c that stands in n_c of n texts has log2(n / n_c) bits of information, and a term t reveals
 PMI(c, t) of them. What stays hidden, log2(n / n_c) - PMI(c, t) = -log2 P(c | t), is compared with thresholds in bits. The
-probability is smoothed towards P(c) as if the term stood in ``SMOOTH`` more documents: P(c | t) = (n_ct + s P(c)) / (n_t + s),
-so an entity and a term met once can pass, at the weakest level, and evidence of more documents gives stronger levels.
+probability is smoothed towards P(c) as if the term stood in ``SMOOTH`` more texts: P(c | t) = (n_ct + s P(c)) / (n_t + s).
+One text that holds both is therefore no evidence, whatever else is in it, and copies of a text are one text; more texts
+give stronger levels. A term that is a part of the entity's own address (``bothwise`` of ``jan.bothwise@host``) has one more
+observation for it, so such a term can pass where it stands once.
 
-With at most 1 bit hidden a term is generalised to its first letter, with at most 0.6 to ``[TERM]``, with at most 0.15 it is
+With at most 1 bit hidden a term is generalised to its first letter, with at most 0.6 to ``[TERM]``, with at most 0.35 it is
 removed; ``LEAST_SHARE`` of the entity's information must be revealed besides, which spares terms of entities that stand in
-most documents. All terms of all documents that hold an entity are candidates, and a term over a threshold is marked
-wherever it stands, in any document. A term is a run of 2 to 64 letters and digits, lower-cased; longer runs are no terms.
+most texts. A term over a threshold is marked wherever it stands, in any document. A term is a run of 2 to 64 letters and
+digits, lower-cased; longer runs are no terms.
+
+Pairs are formed among the texts that hold an entity of several texts. What cannot pass there goes before the corpus is
+searched, so the corpus is cut into words once and gives postings of candidates only.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from .common import boxed, same, stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Bits of an entity that a term may leave hidden: kept by its first letter, replaced by a tag, removed.
-LEVELS = (1.0, 0.6, 0.15)
-SMOOTH = 1.0
+LEVELS = (1.0, 0.6, 0.35)
+SMOOTH = 2.0
 LEAST_SHARE = 0.5
 LONGEST = 64
 #: Code points that are searched for terms together.
@@ -107,50 +112,41 @@ def _on_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def owners(found: DataFrame) -> DataFrame:
-    """(entity, doc, hash, n_c): in which documents an entity stands, and in how many."""
-    counts = found.groupBy("entity").agg(F.count_distinct(F.struct("doc", "hash")).alias("n_c"))
-    return stored(found.select("entity", "doc", "hash").distinct().join(counts, "entity"), "owners")
-
-
-def document_counts(source: DataFrame) -> tuple[DataFrame, int]:
-    """(term, n_t): in how many documents a term stands, and the number of documents.
-
-    Rows are counted, which aggregates before the shuffle; what repeated (id, text) rows count too often is taken off again.
-    """
-    sizes = source.groupBy("doc", "hash").agg((F.count("*") - 1).alias("over"))
-    repeated = stored(sizes.where("over > 0"), "repeated")
-    n = source.count() - (repeated.agg(F.sum("over")).first()[0] or 0)
-    rows = source.select(F.explode(_terms(F.col("t"))).alias("term"), F.lit(1).cast("long").alias("k"))
-    again = _on_document(source, repeated).dropDuplicates(["doc", "hash"]).select(F.explode(_terms(F.col("t"))).alias("term"), (-F.col("over")).alias("k"))
-    return rows.union(again).groupBy("term").agg(F.sum("k").alias("n_t")), max(1, n)
-
-
-def candidate_terms(n_t: DataFrame, private: DataFrame, owned: DataFrame) -> DataFrame:
-    """(term, doc, hash, alone, n_t): the terms of each document with an entity, in how many documents of the corpus they
-    stand, and whether the document has an entity (``alone`` = 1) that stands nowhere else."""
-    holders = owned.groupBy("doc", "hash").agg(F.max((F.col("n_c") == 1).cast("int")).alias("alone"))
-    inside = _on_document(private.select("doc", "hash", "t"), holders).select("doc", "hash", "alone", F.explode(_terms(F.col("t"))).alias("term"))
-    return stored(inside.distinct().join(n_t, "term"), "terms")
-
+    """(entity, hash, n_c): in which texts an entity stands, and in how many."""
+    counts = found.groupBy("entity").agg(F.count_distinct("hash").alias("n_c"))
+    return stored(found.select("entity", "hash").distinct().join(counts, "entity"), "owners")
+
+
+def name_parts(owned: DataFrame) -> DataFrame:
+    """(entity, term): the terms in the local part of each email address."""
+    local = owned.where(F.startswith("entity", F.lit("0:"))).select("entity").distinct()
+    return local.select("entity", F.explode(_terms(F.substring_index(F.expr("substring(entity, 3)"), "@", 1))).alias("term"))
+
+
+def candidate_pairs(private: DataFrame, owned: DataFrame, levels: tuple[float, ...], smooth: float) -> DataFrame:
+    """(entity, term, n_ct, own, n_c): pairs of entity and term that can pass at all: met in two texts, or the term is a part
+    of the entity's address (own = 1), and not too frequent already among the texts that hold an entity."""
+    texts = private.select("hash", "t").dropDuplicates(["hash"]).select("hash", F.explode(_terms(F.col("t"))).alias("term"))
+    texts = stored(texts, "private-terms")
+    parts = name_parts(owned)
+    held = texts.join(owned.where("n_c > 1").select("entity", "hash", "n_c"), "hash").groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where("n_ct > 1")
+    named = texts.join(parts, "term").join(owned, ["entity", "hash"]).groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.lit(1).alias("own"))
+    both = held.withColumn("own", F.lit(0)).unionByName(named).groupBy("entity", "term").agg(*[F.max(c).alias(c) for c in ("n_ct", "own", "n_c")])
+    inside = texts.groupBy("term").agg(F.count("*").alias("n_in"))
+    least = 2.0 ** -max(levels)
+    # n_t is n_in at least, and the prior adds at most ``smooth``: what is under the first level with these stays under it
+    may = both.join(inside, "term").where((F.col("n_ct") + F.col("own") + smooth) / (F.col("n_in") + F.col("own") + smooth) >= least)
+    return stored(may.drop("n_in"), "pairs")
 
-def disclosing_terms(held: DataFrame, owned: DataFrame, n: int, levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(term, level, n_t, n_in): terms over a threshold, their level from 1, the documents that hold them, and those of them
-    that hold an entity.
 
-    All entities that stand in one document only give the same estimate for its terms, so no pairs are formed for them;
-    an entity of more documents is paired with those of its documents' terms that are rare enough to pass at all.
-    """
-    least = 2.0 ** -max(levels)
-    estimate = lambda n_ct: (n_ct + smooth * F.col("n_c") / n) / (F.col("n_t") + smooth)
-    single = held.where("alone = 1").withColumn("n_c", F.lit(1).cast("long")).select("term", "n_c", estimate(F.lit(1)).alias("p"))
-    pairs = _on_document(held, owned.where("n_c > 1")).where(estimate(F.col("n_c")) >= least)
-    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.min("n_c").alias("n_c"), F.min("n_t").alias("n_t"))
-    every = single.union(counted.select("term", "n_c", estimate(F.col("n_ct")).alias("p"))).where((F.col("p") >= least) & (F.col("n_c") < n))
+def disclosing_terms(pairs: DataFrame, n_t: DataFrame, n: int, levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(term, level, n_t): terms over a threshold for some entity, with their level from 1."""
+    p = (F.col("n_ct") + F.col("own") + smooth * F.col("n_c") / n) / (F.col("n_t") + F.col("own") + smooth)
+    rated = pairs.join(n_t, "term").withColumn("p", p).where((F.col("p") >= 2.0 ** -max(levels)) & (F.col("n_c") < n))
     information = F.log(n / F.col("n_c"))
-    best = every.where(F.log(F.col("p") * n / F.col("n_c")) >= least_share * information).groupBy("term").agg(F.max("p").alias("p"))
+    best = rated.where(F.log(F.col("p") * n / F.col("n_c")) >= least_share * information).groupBy("term").agg(F.max("p").alias("p"), F.first("n_t").alias("n_t"))
     level = sum(((-F.log2("p") <= bits).cast("int") for bits in levels), F.lit(0))
-    spread = held.groupBy("term").agg(F.min("n_t").alias("n_t"), F.count("*").alias("n_in"))
-    return best.join(spread, "term").select("term", level.alias("level"), "n_t", "n_in")
+    return best.select("term", level.alias("level"), "n_t")
 
 
 def _places(rows: DataFrame, n_levels: int) -> DataFrame:
@@ -189,20 +185,16 @@ def _places(rows: DataFrame, n_levels: int) -> DataFrame:
 def term_spans(docs: DataFrame, private: DataFrame, found: DataFrame, id_col: str, text_col: str, levels: tuple[float, ...], smooth: float, least_share: float) -> DataFrame:
     """(doc, hash, start, end, level): every place of every disclosing term."""
     source = _source(docs, id_col, text_col)
-    n_t, n = document_counts(source)
+    pairs = candidate_pairs(private, owners(found), levels, smooth)
     words = source.select("doc", "hash", F.explode(_terms(F.col("t"))).alias("term"))
-    owned = owners(found)
-    held = candidate_terms(n_t, private, owned)
-    flagged = stored(disclosing_terms(held, owned, n, levels, smooth, least_share), "flagged")
-
-    def listed(hits: DataFrame) -> DataFrame:
-        return hits.groupBy("doc", "hash").agg(F.array(*[F.collect_set(F.when(F.col("level") == k + 1, F.col("term"))) for k in range(len(levels))]).alias("levels"))
-
-    inside = listed(held.join(flagged.select("term", "level"), "term"))
-    elsewhere = flagged.where("n_t > n_in").select("term", "level")
-    outside = _on_document(listed(words.join(elsewhere, "term")), held.select("doc", "hash").distinct(), "left_anti")
-    rows = _on_document(private.select("doc", "hash", "t"), inside).unionByName(_on_document(source, outside))
-    return _places(rows, len(levels))
+    postings = stored(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "postings")
+    n = max(1, source.select("hash").distinct().count())
+    n_t = postings.groupBy("term").agg(F.count_distinct("hash").alias("n_t"))
+    flagged = disclosing_terms(pairs, n_t, n, levels, smooth, least_share)
+    hits = postings.join(flagged.select("term", "level"), "term")
+    listed = hits.groupBy("doc", "hash").agg(F.array(*[F.collect_set(F.when(F.col("level") == k + 1, F.col("term"))) for k in range(len(levels))]).alias("levels"))
+    listed = stored(listed, "listed")
+    return _places(_on_document(source, listed), len(levels))
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -46,21 +46,23 @@ def words(text):
     return [(w, a, b) for w, a, b in found if b - a <= 64]
 
 
-def slow_terms(rows, levels=P.LEVELS, smooth=1.0, least_share=0.5):
-    """-> {(id, text): {(start, end): level}} of all terms that no base span holds; equal rows are one document."""
+def slow_terms(rows, levels=P.LEVELS, smooth=P.SMOOTH, least_share=0.5):
+    """-> {(id, text): {(start, end): level}} of all terms that no base span holds; texts are the events, copies are one."""
     docs = sorted(set(rows), key=str)
-    n, n_t, n_c, best = len(docs), defaultdict(set), defaultdict(set), {}
-    for d in docs:
-        t = d[1] or ""
+    texts = {d[1] or "" for d in docs}
+    n, n_t, n_c, best = len({d[1] for d in docs}), defaultdict(set), defaultdict(set), {}
+    for t in texts:
         for w, _, _ in words(t):
-            n_t[w].add(d)
+            n_t[w].add(t)
         for kind, a, b in base_spans(t):
-            n_c[kind, t[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", t[a:b])].add(d)
-    for owners in n_c.values():
+            n_c[kind, t[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", t[a:b])].add(t)
+    for (kind, name), owners in n_c.items():
         c = len(owners)
-        for w in {w for d in owners for w, _, _ in words(d[1])}:
-            p = (len(n_t[w] & owners) + smooth * c / n) / (len(n_t[w]) + smooth)
-            if c < n and p >= 2 ** -max(levels) and math.log(p * n / c) >= least_share * math.log(n / c):
+        parts = {w for w, _, _ in words(name.split("@")[0])} if kind == 0 else set()
+        for w in {w for t in owners for w, _, _ in words(t)}:
+            n_ct, own = len(n_t[w] & owners), int(w in parts)
+            p = (n_ct + own + smooth * c / n) / (len(n_t[w]) + own + smooth)
+            if n_ct + own > 1 and c < n and p >= 2 ** -max(levels) and math.log(p * n / c) >= least_share * math.log(n / c):
                 best[w] = max(best.get(w, 0), p)
     level = {w: sum(-math.log2(p) <= bits for bits in levels) for w, p in best.items()}
     out = defaultdict(dict)
@@ -106,7 +108,7 @@ def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = sorted(expected(rows))
     assert sorted(map(tuple, P.op4_query(spark, sf).collect())) == want
-    assert sum(r[-1] for r in want) > 100
+    assert sum(r[-1] for r in want) > 0  # entities of this corpus stand in one text each, nearly all
 
 
 def noise(rng):
@@ -157,17 +159,41 @@ def test_empty_and_null_id(spark):
 
 
 def test_levels_follow_the_evidence(spark):
-    """A name met once keeps its first letter, one of two documents becomes a tag, one of eight goes; wherever they stand."""
+    """A name met once stays, unless it is in the address itself; one of two texts keeps its first letter, one of four becomes
+    a tag, one of sixteen goes; wherever they stand. Copies of a text are one text."""
     rows = [(k, f"Filler words number {k} stand in this document without any person") for k in range(400)]
     far = "filler words " * 200
-    rows += [(1000, f"Alone wrote kim@other.example {far} alone")]
-    rows += [(1001 + k, f"Number {k} Bothwise at jan@host.example {far} BOTHWISE, \U0001f600 Bothwises") for k in range(2)]
-    rows += [(1010 + k, f"Number {k} Eightfold and +1 555 010 9999 {far} Eightfold") for k in range(8)]
-    rows += [(2000, "Eightfold")]
+    rows += [(1000, f"Alone wrote kim@other.example {far} alone"), (1001, f"Rosalind wrote ann.rosalind@else.example {far}")]
+    rows += [(1002 + k, f"Copied wrote bo@copied.example {far} copied") for k in range(3)]
+    rows += [(1010 + k, f"Number {k} Bothwise at jan@host.example {far} BOTHWISE, \U0001f600 Bothwises{k}") for k in range(2)]
+    rows += [(1020 + k, f"Number {k} Fourfold and +44 20 7946 0958 {far} fourfold") for k in range(4)]
+    rows += [(1040 + k, f"Number {k} Manyfold and +1 555 010 9999 {far} Manyfold") for k in range(16)]
+    rows += [(2000, "Manyfold")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r.doc_id: r.text for r in P.sanitise(docs).collect()}
     assert clean == dict(slow_sanitised(rows))
-    assert clean[1000].startswith("A*** ") and clean[1000].endswith("a***")
-    assert clean[1001].startswith("Number 0 [TERM] ") and clean[1001].endswith("[TERM], \U0001f600 [TERM]")
-    assert "ightfold" not in clean[1010] and "ightfold" not in clean[2000]
+    assert clean[1000].startswith("Alone wrote [EMAIL]") and clean[1001].startswith("R*** wrote [EMAIL]") and clean[1003].startswith("Copied wrote [EMAIL]")
+    assert clean[1010].startswith("Number 0 B*** ") and clean[1010].endswith("B***, \U0001f600 Bothwises0")
+    assert clean[1020].startswith("Number 0 [TERM] ") and clean[1020].endswith("[TERM]")
+    assert "anyfold" not in clean[1040] and clean[2000] == ""
     assert clean[0] == rows[0][1]
+
+
+def test_rare_words_are_no_evidence(spark):
+    """Of words that stand in one text only none is flagged but parts of addresses; names that go with an entity are found."""
+    rng = random.Random(1)
+    common = [f"word{k}" for k in range(200)]
+    rows, planted = [], set()
+    for k in range(600):
+        text = [*rng.choices(common, k=30), f"rare{k}x"]
+        if k % 3 == 0:
+            text.append(f"user{k}@mail.example")
+        if k % 60 < 3:
+            planted.add(f"person{k // 60}")
+            text += [f"person{k // 60}", f"id{k // 60}@club.example"]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = P.pii_spans(docs).where("kind = 4").join(docs, F.col("doc") == F.col("doc_id")).collect()
+    marked = {r.text[r.start : r.end] for r in spans}
+    assert marked == planted
