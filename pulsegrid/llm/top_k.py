@@ -1,14 +1,16 @@
 """Exact top-k search by inner product: tiles of queries against shards of candidates.
 
-Queries and candidates become blocks, each one row with its ids and its matrix. Every block of queries meets every block of
-candidates through an equi-join on (query block, shard); a task multiplies the two matrices, selects the best of the tile
-and merges them into the list it keeps per query block. Lists of different tasks merge in two more levels by ranking
+Queries and candidates become blocks, each one row with its ids and its matrix. A shard is a bounded number of candidate
+blocks; it is sent once, and every block of queries once to each shard, where an equi-join lets all of them meet. A task
+multiplies two matrices, selects the best of the tile and merges them into the list it keeps per query block. Lists of different tasks merge in two more levels by ranking
 windows, whose group limit works before each shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from .common import stored, table
 QUERY_BLOCK = 4096
 SHARD_ROWS = 8192
 TILE_ROWS = 256
+#: Candidate blocks of a shard at most: what a task holds while the query blocks pass.
+SHARD_BLOCKS = 64
 
 
 def _narrow(x: np.ndarray) -> tuple[str, bytes]:
@@ -28,6 +32,18 @@ def _narrow(x: np.ndarray) -> tuple[str, bytes]:
     return kind, x.astype(kind).tobytes()
 
 
+#: Kind of a block with components that overflow when scaled: they are kept as they are and scaled as whole numbers.
+RAW = "raw"
+
+
+def _matrix(data: bytes, kind: str, rows: int, dim: int, factor: float) -> np.ndarray:
+    """Doubles of whole numbers, or Python's integers for a raw block."""
+    if kind != RAW:
+        return np.frombuffer(data, kind).astype(np.float64).reshape(rows, dim)
+    whole = [math.floor(Fraction(factor) * Fraction(v)) for v in np.frombuffer(data, "<f8").tolist()]
+    return np.array(whole, object).reshape(rows, dim)
+
+
 _BLOCK_SQL = "dim long, ids binary, kind string, x binary"
 
 
@@ -35,7 +51,10 @@ def _block_batches(factor: float, rows: int):
     """Vectors with finite components as blocks of floor(factor * component), one dimension to a block."""
 
     def pack(dim: int, ids: list, vectors: list):
-        kind, data = _narrow(np.floor(factor * np.array(vectors, np.float64).reshape(len(ids), dim)))
+        x = np.array(vectors, np.float64).reshape(len(ids), dim)
+        with np.errstate(over="ignore"):
+            scaled = np.floor(factor * x)
+        kind, data = _narrow(scaled) if np.isfinite(scaled).all() else (RAW, x.astype("<f8").tobytes())
         return [[dim], [np.array(ids, "<i8").tobytes()], [kind], [data]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +113,7 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     What lies beyond int64 becomes the nearest int64.
     """
     high = lambda v: float(np.abs(v).max(initial=0))
-    bound = high(q) * high(x) * q.shape[1]
+    bound = math.inf if object in (q.dtype, x.dtype) else high(q) * high(x) * q.shape[1]
     if bound < 2.0**53:
         return (q @ x.T).astype(np.int64)
     if bound < 2.0**62:
@@ -104,7 +123,7 @@ def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(exact(q) @ exact(x).T, least, most).astype(np.int64)
 
 
-def _tile_batches(k: int):
+def _tile_batches(k: int, factor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -121,8 +140,7 @@ def _tile_batches(k: int):
         for batch in batches:
             for number, dim, qids, qkind, qx, cids, ckind, cx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 q_ids, c_ids = np.frombuffer(qids, "<i8"), np.frombuffer(cids, "<i8")
-                q = np.frombuffer(qx, qkind).astype(np.float64).reshape(len(q_ids), dim)
-                x = np.frombuffer(cx, ckind).astype(np.float64).reshape(len(c_ids), dim)
+                q, x = _matrix(qx, qkind, len(q_ids), dim, factor), _matrix(cx, ckind, len(c_ids), dim, factor)
                 found = []
                 for at in range(0, len(q_ids), TILE_ROWS):
                     own = q_ids[at : at + TILE_ROWS]
@@ -148,9 +166,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, factor:
     repeated candidate rows count each; fewer than k candidates give shorter lists; empty tables give an empty table; a score
     beyond long's range counts as the nearest long.
 
-    What is shuffled: each block of queries once per shard and each block of candidates once per query block. The work is the
-    product of both tables by definition; every byte sent serves thousands of multiplications, and no more than a block of
-    either side is held at a time.
+    What is shuffled: the candidates once, and the queries once per shard. The work is the product of both tables by
+    definition; a task holds the blocks of one shard and one block of queries at a time.
     """
 
     def usable(df):
@@ -164,15 +181,14 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, factor:
     c_blocks = stored(usable(candidates).mapInArrow(_block_batches(factor, shard_rows), _BLOCK_SQL), "shards")
     q_rows = q_blocks.select(F.monotonically_increasing_id().alias("number"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("x").alias("q_x"))
     q_rows = stored(q_rows, "queries")
-    numbers = [(r.number, r.dim) for r in q_rows.select("number", "dim").collect()]
-    shards = min(max(1, c_blocks.count()), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(1, c_blocks.count())
+    shards = max(-(-blocks // SHARD_BLOCKS), min(blocks, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     spread = q_rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = queries.sparkSession.createDataFrame(numbers, "number long, dim long")
     dealt = c_blocks.withColumn("shard", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(shards)).cast("int"))
-    dealt = dealt.join(F.broadcast(pairs), "dim").select("number", "shard", F.col("ids").alias("c_ids"), F.col("kind").alias("c_kind"), F.col("x").alias("c_x"))
-    met = spread.hint("shuffle_merge").join(dealt, ["number", "shard"])
+    dealt = dealt.select("shard", "dim", F.col("ids").alias("c_ids"), F.col("kind").alias("c_kind"), F.col("x").alias("c_x"))
+    met = spread.hint("shuffle_merge").join(dealt, ["shard", "dim"])
     met = met.select("number", "dim", "q_ids", "q_kind", "q_x", "c_ids", "c_kind", "c_x")
-    lists = met.mapInArrow(_tile_batches(k), "query_id long, vec_id long, score long")
+    lists = met.mapInArrow(_tile_batches(k, factor), "query_id long, vec_id long, score long")
 
     def merged(df, *keys):
         place = F.row_number().over(Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "vec_id"))

@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,12 +9,12 @@ from pulsegrid.llm import top_k as K
 from .test_packing import SF
 
 
-def brute(rows, ask, k, factor=64.0):
-    ok = [(i, [math.floor(factor * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+def brute(rows, ask, k, factor=64, most=lambda s: s):
+    ok = [(i, [math.floor(factor * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in ok if ask(i)}):
         own = min(v for i, v in ok if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in ok if i != q and len(v) == len(own))
+        scored = sorted((-most(sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in ok if i != q and len(v) == len(own))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return out
 
@@ -35,9 +36,11 @@ def test_ties_small_blocks_and_hot_vector(spark):
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [2.0, 2.0]), (1, [2.0, 2.0]), (2, None), (20, [nan, 1.0]), (21, [inf, 1.0]), (22, [None, 1.0]), (None, [1.0, 1.0]), (40, [1.0]), (60, []), (80, [1e12, -1e12])]
+    rows += [(100, [1e308, 0.0]), (101, [-1.7e308, 3.0]), (120, [0.5, 1e308])]  # 64 times these is beyond doubles
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "rank": F.lit("x"), "number": F.lit(None)})
     got = K.exact_top_k(df.where("vec_id % 20 = 0"), df)
-    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 20)
+    most = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 20, most=most)
     none = df.where(F.lit(False))
     assert K.exact_top_k(none, df).count() == 0 and K.exact_top_k(df.where("vec_id % 20 = 0"), none).count() == 0
 
