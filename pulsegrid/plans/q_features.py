@@ -115,6 +115,62 @@ def t23(spark, d):
     return O.spectral_features(X.waves(spark, d))
 
 
+_WAVES = f"WITH s0 AS ({SERIES}), w AS (SELECT id || ':' || (time // 64)::VARCHAR AS id, (time % 64)::BIGINT AS t, value AS x FROM s0), m AS (SELECT id, count(*) AS n, avg(x) AS mu, var_pop(x) AS v FROM w GROUP BY id)"
+_AUTO = {"partial_autocorrelation": [{"lag": 1}, {"lag": 2}], "agg_autocorrelation": O.SPECTRAL["agg_autocorrelation"]}
+_AUTO_EXPRS = [
+    "CASE WHEN any_value(n) // 2 > 1 THEN max(r) FILTER (k = 1) END",
+    "CASE WHEN any_value(n) // 2 > 2 THEN (max(r) FILTER (k = 2) - (max(r) FILTER (k = 1)) ** 2) / (1 - (max(r) FILTER (k = 1)) ** 2) END",
+    *[f"coalesce({f}(r), 0.0)" for f in ("avg", "median", "var_pop")],
+]
+
+
+def _shown(preset: dict, exprs: list[str], digits: int) -> str:
+    return ", ".join(f'round({e}, {digits}) AS "{O.feature_name(c, p)}"' for e, (c, p) in zip(exprs, [(c, p) for c, many in preset.items() for p in many], strict=True))
+
+
+def _waves_run(spark, d, preset: dict, digits: int):
+    out = O.extract_features(X.waves(spark, d), preset)
+    return out.select("id", *[F.round(c, digits).alias(c) for c in out.columns[1:]])
+
+
+@query("t23_autocorrelations", f"""
+{_WAVES}, r AS (SELECT m.id, b.t - a.t AS k, CASE WHEN any_value(v) < 1e-10 THEN 0 ELSE sum((a.x - mu) * (b.x - mu)) / (any_value(n) - (b.t - a.t)) / any_value(v) END AS r, any_value(n) AS n
+  FROM m LEFT JOIN w a ON a.id = m.id LEFT JOIN w b ON a.id = b.id AND b.t > a.t AND b.t - a.t <= 40 WHERE b.t IS NOT NULL OR m.n = 1 GROUP BY m.id, b.t - a.t)
+SELECT id, {_shown(_AUTO, _AUTO_EXPRS, 5)} FROM r GROUP BY id
+""")
+def t23_autocorrelations(spark, d):
+    return _waves_run(spark, d, _AUTO, 5)
+
+
+_WELCH = {"spkt_welch_density": O.SPECTRAL["spkt_welch_density"]}
+
+
+def _density(k: int) -> str:
+    part = lambda f: f"sum((x - mu) * (0.5 - 0.5 * cos(2 * pi() * t / n)) * {f}(2 * pi() * {k} * t / n)) ** 2"
+    twice = f"CASE WHEN any_value(n) % 2 = 0 AND {k} * 2 = any_value(n) THEN 1 ELSE 2 END"
+    return f"CASE WHEN any_value(n) // 2 >= {k} THEN {twice} * ({part('cos')} + {part('sin')}) / sum((0.5 - 0.5 * cos(2 * pi() * t / n)) ** 2) END"
+
+
+@query("t23_welch_density", f"{_WAVES} SELECT w.id, {_shown(_WELCH, [_density(k) for k in (2, 5, 8)], 3)} FROM w JOIN m ON w.id = m.id GROUP BY w.id")
+def t23_welch(spark, d):
+    return _waves_run(spark, d, _WELCH, 3)
+
+
+_WAVELETS = {"cwt_coefficients": O.SPECTRAL["cwt_coefficients"]}
+
+
+def _wavelet(coeff: int, w: int) -> str:
+    m = f"least({10 * w}, n)"
+    p = f"({coeff} + ({m} - 1) // 2 - t)"
+    u = f"(({p} - ({m} - 1) / 2) / {w})"
+    return f"CASE WHEN any_value(n) > {coeff} THEN coalesce(sum(x * 2 / (sqrt(3.0::DOUBLE * {w}) * pi() ** 0.25::DOUBLE) * (1 - {u} ** 2) * exp(-({u} ** 2) / 2)) FILTER ({p} BETWEEN 0 AND {m} - 1), 0) END"
+
+
+@query("t23_wavelets", f"{_WAVES} SELECT w.id, {_shown(_WAVELETS, [_wavelet(**p) for p in _WAVELETS['cwt_coefficients']], 4)} FROM w JOIN m ON w.id = m.id GROUP BY w.id")
+def t23_wavelets(spark, d):
+    return _waves_run(spark, d, _WAVELETS, 4)
+
+
 @query("t24_extract_features", f"{_W} SELECT id, round(sum(x) + 3.3e-8, 6) AS value__sum_values, round(median(x) + 3.3e-8, 6) AS value__median, round(avg(x) + 3.3e-8, 6) AS value__mean, count(*) AS value__length, round(stddev_pop(x) + 3.3e-8, 6) AS value__standard_deviation, round(var_pop(x) + 3.3e-8, 6) AS value__variance, round(sqrt(avg(x * x)) + 3.3e-8, 6) AS value__root_mean_square, round(max(x) + 3.3e-8, 6) AS value__maximum, round(max(abs(x)) + 3.3e-8, 6) AS value__absolute_maximum, round(min(x) + 3.3e-8, 6) AS value__minimum FROM s GROUP BY id")
 def t24(spark, d):
     return _run(spark, d, "minimal")

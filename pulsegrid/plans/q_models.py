@@ -60,7 +60,7 @@ def l5(spark, d):
 @query("l6_grid_search")
 def l6(spark, d):
     e = _events(spark, d).withColumn("y", (F.col("label") == "click").cast("int"))
-    return L.grid_search(e, ["value", "mixed"], "y", {"maxDepth": [2, 3], "maxIter": [1]}, folds=2)
+    return L.grid_search(e, ["value", "mixed"], "y", {"maxDepth": [2, 3], "stepSize": [0.1, 0.5], "maxIter": [2]}, folds=3)
 
 
 def _split_events(spark, d):
@@ -88,12 +88,12 @@ def l8(spark, d):
 
 @query("l9_compare_feature_sets")
 def l9(spark, d):
-    return L.compare_feature_sets(_events(spark, d), {"meta": ["value", "k"], "both": ["value", "k", "mixed"]}, "event_id", rounds=1, depth=3)
+    return L.compare_feature_sets(_events(spark, d), {"meta": ["value", "k"], "both": ["value", "k", "mixed"]}, "event_id", rounds=3, depth=3)
 
 
 @query("l10_permutation_importance")
 def l10(spark, d):
-    return L.permutation_importance(_model(spark, d), _events(spark, d), "event_id", repeats=1, n=1000)
+    return L.permutation_importance(_model(spark, d), _events(spark, d), "event_id", repeats=3)
 
 
 @query("l12_predict_mixture")
