@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Elements of a path; deeper ones count as part of the last.
 DEPTH = 48
@@ -415,7 +415,7 @@ def deduce_templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     tokens = pages.select(id_col, url_col, html_col).mapInArrow(_role_batches, _ROLE_SQL)
     whole = tokens.groupBy("host", "role", "is_text").agg(F.min("path").alias("path"), *[F.sum(c).alias(c) for c in ("pages", "n")], F.bit_xor("mark").alias("mark"), F.sum("mass").alias("mass"))
     # the empty path is on every page, so the largest count of a host is that of its pages; texts of one page are none of the template's
-    whole = whole.where("not is_text or pages > 1")
+    whole = stored(whole.where("not is_text or pages > 1"), "page-tokens")
     listed = F.collect_list(F.struct("role", "path", "is_text", "pages", "n", "mark", "mass"))
     sizes = whole.where("path = '' and not is_text").select("host", F.col("pages").alias("n_pages"))
     frequent = whole.join(sizes, "host").where("2 * pages >= n_pages and (not is_text or pages = n_pages)")
