@@ -298,13 +298,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     picked, x = view(np.ones(len(rows), bool))
     models, seen = fit_chain([view(own_fold != f)[1] for f in range(folds)], x, labelled, own_fold)
-    return {"chain": names, "terms": [candidates[c] for c in picked], "models": models, "threshold": best_threshold(seen[:, -1], toxic.astype(float))}
+    bare = float(run_chain(np.zeros((1, x.shape[1])), models)[0, -1])
+    # a text in which no term was found is not rejected, however common toxic texts are among the labelled ones
+    threshold = max(best_threshold(seen[:, -1], toxic.astype(float)), float(np.nextafter(bare, 2.0)))
+    return {"chain": names, "terms": [candidates[c] for c in picked], "models": models, "threshold": threshold}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_<category> of the chain, rejected): one row per input row.
 
-    Defined cases: null and empty texts have no features and get the chain's base probability; repeated rows and ids are
+    Defined cases: null and empty texts have no features, get the chain's base probability and are not rejected; repeated rows and ids are
     scored each; a null id stays null; an empty table gives an empty table; without usable labels nothing is rejected;
     other columns are not read.
     """

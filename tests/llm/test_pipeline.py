@@ -49,3 +49,31 @@ def test_stages_against_brute_force(spark):
     final = C.run(spark, SF)
     assert final.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert sum(r.length for r in final.collect()) == used
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null, empty, very long and repeated texts, null ids, clashing columns; then empty tables."""
+    whole = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", "n_chars")
+    long = "A line of its own, number one\n" + "word " * 60_000
+    odd = [(9001, None, "en", "s", None), (9002, "", None, None, 0), (9003, long, "en", "s", len(long)), (9003, long, "en", "s", len(long)), (9004, "mail me at jo@odd.example", "en", "s", 24), (None, "no id but a text", "en", "s", 16)]
+    rows = spark.createDataFrame(odd, whole.schema)
+    docs = whole.union(rows).selectExpr("*", "1 AS hash", "'x' AS t", "doc_id AS node", "'y' AS `a.b`")
+    sf = str(tmp_path / "sf")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    now = spark.read.parquet(f"{sf}/documents.parquet").select(*C.COLUMNS)
+    for name, stage in C.STAGES[:-1]:
+        now = C.stored(stage(spark, now, sf), f"odd-{name}")
+        assert now.columns == list(C.COLUMNS)
+    text = {r.doc_id: r.text for r in now.collect()}
+    kept = [r.doc_id for r in now.collect()]
+    assert text[9004] == "mail me at [EMAIL]" and kept.count(9003) == 1 and text[None] == "no id but a text"
+    assert sum(i in (9001, 9002) for i in kept) == 1  # null and empty are alike
+    pieces = C.packing_stage(spark, now, sf).collect()
+    assert sum(r.length for r in pieces) == sum(map(len, ids_of([r.text for r in now.collect()], 1)))
+    final = C.run(spark, sf)
+    assert sum(r.length for r in final.collect()) == sum(r.length for r in pieces)
+    none = str(tmp_path / "none")
+    docs.where("false").write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(f"{none}/labels.parquet")
+    assert C.run(spark, none).count() == 0

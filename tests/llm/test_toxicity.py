@@ -143,3 +143,11 @@ def test_defined_cases(spark):
     assert kept.columns == docs.columns and kept.count() == 23
     assert X.drop_toxic(docs, labels.where(F.lit(False))).count() == docs.count()
     assert X.drop_toxic(docs.where(F.lit(False)), labels).count() == 0
+
+
+def test_texts_without_a_term_are_not_rejected(spark):
+    """Few labelled texts without a telling term: rejecting all of them would be the cut of largest F1."""
+    docs = spark.createDataFrame([(i, f"plain words number {i}", "en") for i in range(12)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(12)], "doc_id long, toxic int")
+    assert X.drop_toxic(docs, labels).count() == 12
+    assert X.score_toxicity(docs, X.fit_toxicity(docs, labels)).where("rejected").count() == 0
