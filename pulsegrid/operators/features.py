@@ -294,8 +294,10 @@ def extract_features(series: DataFrame, preset: str | dict = "curated") -> DataF
             rows[k] = [np.nan if y is None else y for c, many in whole.items() for y in ARRAY_CALCULATORS[c](x, many)]
         return pd.DataFrame(rows, columns=names)
 
+    # series take time, not bytes: as many tasks as the session's exchanges have, where adaptive execution would merge them
+    dealt = series.repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     points = F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("_points")
-    found = windowed(series).groupBy("id").agg(*columns, points).withColumn("_values", F.transform("_points", lambda s: s["_x"].cast("double")))
+    found = windowed(dealt).groupBy("id").agg(*columns, points).withColumn("_values", F.transform("_points", lambda s: s["_x"].cast("double")))
     found = found.withColumn("_arrays", run("_values"))
     nan = lambda n: F.when(~F.isnan(f"_arrays.{n}"), F.col(f"_arrays.{n}")).alias(n)
     return found.select("id", *[nan(feature_name(c, p)) if c in whole else F.col(feature_name(c, p)) for c, p in every])

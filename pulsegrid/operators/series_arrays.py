@@ -90,15 +90,16 @@ def ridge_lines(rows: list[np.ndarray], gap: int = 1) -> list[list[tuple[int, in
     idle, done = [0] * len(live), []
     for w in range(start - 1, -1, -1):
         idle = [g + 1 for g in idle]
+        found = tops[w]
         ends = np.array([line[-1][1] for line in live])
-        for p in tops[w]:
-            away = np.abs(ends - p)
-            near = int(away.argmin()) if len(ends) else -1
-            if near >= 0 and away[near] <= (w + 1) / 4:
-                live[near].append((w, int(p)))
-                idle[near] = 0
+        away = np.abs(found[:, None] - ends[None, :])
+        near = away.argmin(axis=1) if len(ends) and len(found) else np.zeros(len(found), int)
+        for k, p in enumerate(found.tolist()):
+            if len(ends) and away[k, near[k]] <= (w + 1) / 4:
+                live[near[k]].append((w, p))
+                idle[near[k]] = 0
             else:
-                live.append([(w, int(p))])
+                live.append([(w, p)])
                 idle.append(0)
         done += [line for line, g in zip(live, idle, strict=True) if g > gap]
         live, idle = [line for line, g in zip(live, idle, strict=True) if g <= gap], [g for g in idle if g <= gap]
@@ -115,9 +116,11 @@ def _peaks_of_rows(rows: list[np.ndarray], noise_share: float = 10, least_snr: f
         if len(line) < math.ceil(len(rows) / 4):
             continue
         w, p = min(line, key=lambda point: point[0])
-        noise = np.percentile(narrow[max(p - half, 0) : min(p + half + odd, n)], noise_share)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            count += not abs(rows[w][p] / noise) < least_snr
+        around = sorted(narrow[max(p - half, 0) : min(p + half + odd, n)].tolist())
+        at = (len(around) - 1) * noise_share / 100
+        low = int(at)
+        noise = around[low] + (at - low) * (around[min(low + 1, len(around) - 1)] - around[low])
+        count += abs(rows[w][p]) >= least_snr * abs(noise)
     return count
 
 
@@ -300,9 +303,15 @@ def permutation_entropy(x: np.ndarray, tau: int, dimension: int) -> float | None
 def _template_matches(x: np.ndarray, m: int, reach: float) -> np.ndarray:
     """For each template of ``m`` points how many templates (itself included) differ by at most ``reach`` at every point.
 
-    One pass per shift, so memory is linear in the series.
+    Short series are compared as a whole matrix; longer ones by one pass per shift, so memory is linear in the series.
     """
     n = len(x) - m + 1
+    if len(x) <= 512:
+        near = np.abs(x[:, None] - x[None, :]) <= reach
+        whole = near[:n, :n].copy()
+        for i in range(1, m):
+            whole &= near[i : i + n, i : i + n]
+        return whole.sum(axis=1)
     counts = np.ones(n, np.int64)
     for d in range(1, n):
         near = np.abs(x[d:] - x[:-d]) <= reach

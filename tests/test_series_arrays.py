@@ -54,6 +54,8 @@ def test_sample_and_approximate_entropy():
         assert got is None if want is None else got == pytest.approx(want)
         phi = [np.mean([math.log(c / (n - m + 1)) for c in plain_matches(x, m, 0.3 * x.std())]) for m in (2, 3)] if n > 3 else [0, 0]
         assert S.approximate_entropy(x, 2, 0.3) == pytest.approx(abs(phi[0] - phi[1]))
+    x = RNG.integers(0, 5, 700).astype(float)
+    assert S._template_matches(x, 3, 1.0).tolist() == plain_matches(x, 3, 1.0)  # by shifts
     heart = np.array([85, 80, 89] * 17, float)  # the published example of approximate entropy: about 1.1e-5
     assert S.approximate_entropy(heart, 2, 3 / heart.std()) == pytest.approx(1.0996541105257052e-05, rel=1e-6)
 
