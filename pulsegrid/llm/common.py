@@ -38,13 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and returns a scan of it: lineage ends there, rows and ids are fixed.
 
-    The files go when the application ends.
+    The files go when the application ends, or by ``forget``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     passing(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing reads any more: what was made from it is stored itself."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def passing(spark: SparkSession, path: str) -> None:
@@ -79,3 +89,14 @@ def same(left, right):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bytes of a stored table that is broadcast.
+SMALL = 32 << 20
+
+
+def small_side(df: DataFrame, size) -> DataFrame:
+    """A stored table, marked for broadcast where its rows are measured to be ``SMALL`` bytes together at most; ``size`` is a
+    row's. A larger one is left to the planner, which shuffles both sides."""
+    total = df.agg(F.coalesce(F.sum(size + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= SMALL else df

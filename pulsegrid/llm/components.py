@@ -1,8 +1,8 @@
 """Connected components over an edge table, as alternating star contractions in Spark.
 
 Each round replaces every neighbour of a node by the smallest node it knows (first for larger, then for smaller
-neighbours). Rounds are written to the shared folder, so a lost executor costs one round at most and nothing of the
-graph passes the driver but two counters a round.
+neighbours). Rounds are written to the shared folder, so a lost executor costs one round at most, and the round before goes;
+nothing of the graph passes the driver but two counters a round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if n == 0 or (n, mark) == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = (n, mark)
-        now = stored(_stars(now), "stars")
+        last, now = now, stored(_stars(now), "stars")
+        forget(last)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -10,12 +10,11 @@ give stronger levels. A term that is a part of the entity's own address (``bothw
 observation for it, so such a term can pass where it stands once.
 
 With at most 1 bit hidden a term is generalised to its first letter, with at most 0.6 to ``[TERM]``, with at most 0.35 it is
-removed; ``LEAST_SHARE`` of the entity's information must be revealed besides, which spares terms of entities that stand in
-most texts. A term over a threshold is marked wherever it stands, in any document. A term is a run of 2 to 64 letters and
+removed. An entity in more than a share of ``COMMON`` of the texts tells nobody apart and is left out. A term over a threshold is marked wherever it stands, in any document. A term is a run of 2 to 64 letters and
 digits, lower-cased; longer runs are no terms.
 
-Pairs are formed among the texts that hold an entity of several texts. What cannot pass there goes before the corpus is
-searched, so the corpus is cut into words once and gives postings of candidates only.
+Pairs are formed among the texts that hold an entity of several texts, and a term keeps its best entity only. What cannot
+pass there goes before the corpus is searched, so the corpus is cut into words once and gives postings of candidates only.
 """
 
 from __future__ import annotations
@@ -23,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import boxed, same, stored, table, text_or_empty
+from .common import boxed, same, small_side, stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Bits of an entity that a term may leave hidden: kept by its first letter, replaced by a tag, removed.
 LEVELS = (1.0, 0.6, 0.35)
 SMOOTH = 2.0
-LEAST_SHARE = 0.5
+COMMON = 0.25
 LONGEST = 64
 #: Code points that are searched for terms together.
 PIECE = 1024
@@ -118,35 +117,37 @@ def owners(found: DataFrame) -> DataFrame:
 
 
 def name_parts(owned: DataFrame) -> DataFrame:
-    """(entity, term): the terms in the local part of each email address."""
-    local = owned.where(F.startswith("entity", F.lit("0:"))).select("entity").distinct()
-    return local.select("entity", F.explode(_terms(F.substring_index(F.expr("substring(entity, 3)"), "@", 1))).alias("term"))
-
-
-def candidate_pairs(private: DataFrame, owned: DataFrame, levels: tuple[float, ...], smooth: float) -> DataFrame:
-    """(entity, term, n_ct, own, n_c): pairs of entity and term that can pass at all: met in two texts, or the term is a part
-    of the entity's address (own = 1), and not too frequent already among the texts that hold an entity."""
-    texts = private.select("hash", "t").dropDuplicates(["hash"]).select("hash", F.explode(_terms(F.col("t"))).alias("term"))
-    texts = stored(texts, "private-terms")
-    parts = name_parts(owned)
-    held = texts.join(owned.where("n_c > 1").select("entity", "hash", "n_c"), "hash").groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where("n_ct > 1")
-    named = texts.join(parts, "term").join(owned, ["entity", "hash"]).groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c"), F.lit(1).alias("own"))
-    both = held.withColumn("own", F.lit(0)).unionByName(named).groupBy("entity", "term").agg(*[F.max(c).alias(c) for c in ("n_ct", "own", "n_c")])
-    inside = texts.groupBy("term").agg(F.count("*").alias("n_in"))
-    least = 2.0 ** -max(levels)
-    # n_t is n_in at least, and the prior adds at most ``smooth``: what is under the first level with these stays under it
-    may = both.join(inside, "term").where((F.col("n_ct") + F.col("own") + smooth) / (F.col("n_in") + F.col("own") + smooth) >= least)
-    return stored(may.drop("n_in"), "pairs")
-
-
-def disclosing_terms(pairs: DataFrame, n_t: DataFrame, n: int, levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(term, level, n_t): terms over a threshold for some entity, with their level from 1."""
-    p = (F.col("n_ct") + F.col("own") + smooth * F.col("n_c") / n) / (F.col("n_t") + F.col("own") + smooth)
-    rated = pairs.join(n_t, "term").withColumn("p", p).where((F.col("p") >= 2.0 ** -max(levels)) & (F.col("n_c") < n))
-    information = F.log(n / F.col("n_c"))
-    best = rated.where(F.log(F.col("p") * n / F.col("n_c")) >= least_share * information).groupBy("term").agg(F.max("p").alias("p"), F.first("n_t").alias("n_t"))
-    level = sum(((-F.log2("p") <= bits).cast("int") for bits in levels), F.lit(0))
-    return best.select("term", level.alias("level"), "n_t")
+    """(term, n_c): the terms in the local part of each email address, which all texts of the address hold."""
+    local = owned.where(F.startswith("entity", F.lit("0:"))).select("entity", "n_c").distinct()
+    return local.select(F.explode(_terms(F.substring_index(F.expr("substring(entity, 3)"), "@", 1))).alias("term"), "n_c")
+
+
+def candidate_terms(private: DataFrame, owned: DataFrame, n: int, levels: tuple[float, ...], smooth: float) -> DataFrame:
+    """(term, met, named): terms that can pass at all, with the largest numerator of P(entity, given the term) over the
+    entities that the term meets in two texts at least (met), and over those whose address it is a part of (named).
+
+    The denominator is the same for all entities of a term, so its best one decides.
+    """
+    texts = stored(private.select("hash", "t").dropDuplicates(["hash"]).select("hash", F.explode(_terms(F.col("t"))).alias("term")), "private-terms")
+    prior = smooth * F.col("n_c") / n
+    met = texts.join(owned.where("n_c > 1").select("entity", "hash", "n_c"), "hash").groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.first("n_c").alias("n_c")).where("n_ct > 1")
+    no = F.lit(None).cast("double")
+    rows = texts.select("term", F.lit(1).alias("k"), no.alias("met"), no.alias("named"))
+    rows = rows.unionByName(met.select("term", F.lit(0).alias("k"), (F.col("n_ct") + prior).alias("met"), no.alias("named")))
+    rows = rows.unionByName(name_parts(owned).select("term", F.lit(0).alias("k"), no.alias("met"), (F.col("n_c") + 1 + prior).alias("named")))
+    best = rows.groupBy("term").agg(F.sum("k").alias("n_t"), F.max("met").alias("met"), F.max("named").alias("named"))
+    return stored(best.where(_share(smooth) >= 2.0 ** -max(levels)).select("term", "met", "named"), "candidates")
+
+
+def _share(smooth: float) -> Column:
+    """P(entity, given the term) of the best entity, from n_t; it falls as n_t grows."""
+    return F.greatest(F.col("met") / (F.col("n_t") + smooth), F.col("named") / (F.col("n_t") + 1 + smooth))
+
+
+def disclosing_terms(candidates: DataFrame, n_t: DataFrame, levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH) -> DataFrame:
+    """(term, level): terms over a threshold, with their level from 1."""
+    rated = candidates.join(n_t, "term").withColumn("p", _share(smooth)).where(F.col("p") >= 2.0 ** -max(levels))
+    return rated.select("term", sum(((-F.log2("p") <= bits).cast("int") for bits in levels), F.lit(0)).alias("level"))
 
 
 def _places(rows: DataFrame, n_levels: int) -> DataFrame:
@@ -182,22 +183,24 @@ def _places(rows: DataFrame, n_levels: int) -> DataFrame:
     return spots.where(mine).select("doc", "hash", at.alias("start"), (at + F.col("y.n")).alias("end"), F.col("y.level").alias("level"))
 
 
-def term_spans(docs: DataFrame, private: DataFrame, found: DataFrame, id_col: str, text_col: str, levels: tuple[float, ...], smooth: float, least_share: float) -> DataFrame:
+def term_spans(docs: DataFrame, private: DataFrame, found: DataFrame, id_col: str, text_col: str, levels: tuple[float, ...], smooth: float, common: float) -> DataFrame:
     """(doc, hash, start, end, level): every place of every disclosing term."""
     source = _source(docs, id_col, text_col)
-    pairs = candidate_pairs(private, owners(found), levels, smooth)
-    words = source.select("doc", "hash", F.explode(_terms(F.col("t"))).alias("term"))
-    postings = stored(words.join(pairs.select("term").distinct(), "term", "left_semi").distinct(), "postings")
     n = max(1, source.select("hash").distinct().count())
+    owned = owners(found).where(F.col("n_c") <= common * n)
+    candidates = candidate_terms(private, owned, n, levels, smooth)
+    sought = small_side(candidates.select("term"), F.octet_length("term"))
+    words = source.select("doc", "hash", F.explode(_terms(F.col("t"))).alias("term"))
+    postings = stored(words.join(sought, "term", "left_semi").distinct(), "postings")
     n_t = postings.groupBy("term").agg(F.count_distinct("hash").alias("n_t"))
-    flagged = disclosing_terms(pairs, n_t, n, levels, smooth, least_share)
-    hits = postings.join(flagged.select("term", "level"), "term")
+    hits = postings.join(disclosing_terms(candidates, n_t, levels, smooth), "term")
     listed = hits.groupBy("doc", "hash").agg(F.array(*[F.collect_set(F.when(F.col("level") == k + 1, F.col("term"))) for k in range(len(levels))]).alias("levels"))
     listed = stored(listed, "listed")
-    return _places(_on_document(source, listed), len(levels))
+    size = F.aggregate(F.flatten("levels"), F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x) + 16)
+    return _places(_on_document(source, small_side(listed, size)), len(levels))
 
 
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, least_share: float = LEAST_SHARE) -> DataFrame:
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: tuple[float, ...] = LEVELS, smooth: float = SMOOTH, common: float = COMMON) -> DataFrame:
     """(doc, hash, kind, start, end, level): base spans (level 0) and those of disclosing terms that no base span holds.
 
     Equal (id, text) rows count as one document and share their spans. ``hash`` is the text's. Joins are on term, entity
@@ -205,7 +208,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     private = private_documents(docs, id_col, text_col)
     found = stored(mentions(private), "mentions")
-    terms = term_spans(docs, private, found, id_col, text_col, levels, smooth, least_share).distinct()
+    terms = term_spans(docs, private, found, id_col, text_col, levels, smooth, common).distinct()
     base = found.select("doc", "hash", "kind", "start", "end", F.lit(0).alias("level"))
     spans = base.unionByName(terms.withColumn("kind", F.lit(4)))
     order = Window.partitionBy("doc", "hash").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)

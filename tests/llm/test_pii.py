@@ -46,7 +46,7 @@ def words(text):
     return [(w, a, b) for w, a, b in found if b - a <= 64]
 
 
-def slow_terms(rows, levels=P.LEVELS, smooth=P.SMOOTH, least_share=0.5):
+def slow_terms(rows, levels=P.LEVELS, smooth=P.SMOOTH, common=P.COMMON):
     """-> {(id, text): {(start, end): level}} of all terms that no base span holds; texts are the events, copies are one."""
     docs = sorted(set(rows), key=str)
     texts = {d[1] or "" for d in docs}
@@ -62,7 +62,7 @@ def slow_terms(rows, levels=P.LEVELS, smooth=P.SMOOTH, least_share=0.5):
         for w in {w for t in owners for w, _, _ in words(t)}:
             n_ct, own = len(n_t[w] & owners), int(w in parts)
             p = (n_ct + own + smooth * c / n) / (len(n_t[w]) + own + smooth)
-            if n_ct + own > 1 and c < n and p >= 2 ** -max(levels) and math.log(p * n / c) >= least_share * math.log(n / c):
+            if n_ct + own > 1 and c <= common * n and p >= 2 ** -max(levels):
                 best[w] = max(best.get(w, 0), p)
     level = {w: sum(-math.log2(p) <= bits for bits in levels) for w, p in best.items()}
     out = defaultdict(dict)
