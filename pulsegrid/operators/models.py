@@ -15,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.shared import stored
+
 from .aggregates import confusion, f1, mixture_ratio, zscore
 from .windows import running_id
 
@@ -217,7 +219,7 @@ def gain_importance(model: Boosted, spark: SparkSession) -> DataFrame:
 
 def compare_feature_sets(df: DataFrame, sets: dict[str, list[str]], key: str, label: str = "label", seed: int = 42, trainer=train_boosted, **options) -> DataFrame:
     """Trains on each set of features (balanced rows, scaled on train) and reports F1 of the held-out rows: macro and per class."""
-    split = stratified_split(df, key, label, seed=seed).persist()
+    split = stored(stratified_split(df, key, label, seed=seed), "split")
     out = None
     for name, features in sets.items():
         train = split.where("split = 'train'")
