@@ -34,7 +34,6 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op8_exact_top_k": OP8_SQL,
-    "op11_html_template": op11_query,
     "op12_block_max_search": OP12_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
