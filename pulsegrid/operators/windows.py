@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.sources.shared import stored
+
 from .order import exact_percentiles, tie_ranks  # noqa: F401
 
 
 def avg_rank(df: DataFrame, col: str, part: list[str] | None = None, desc: bool = True, out: str = "rank") -> DataFrame:
-    """Average rank of ties of a numeric column. Ranks come from counts of distinct values, so a common value is one row."""
-    part = part or []
+    """Average rank of ties of a numeric column. Ranks come from counts of distinct values, so a common value is one row.
+
+    The rows are written once: counts and rows meet by value, and a value that is computed twice (a mean, summed in another
+    order) would not meet itself.
+    """
+    part, df = part or [], stored(df, "ranked")
     counts = df.groupBy(*part, col).agg(F.count("*").alias("_n"))
     ranks = tie_ranks(counts, part, col, "_n", desc).select(*[F.col(k).alias(f"_k_{k}") for k in (*part, col)], F.col("_rank").alias(out))
     condition = None

@@ -97,3 +97,13 @@ def test_selection_uses_both_tests(spark):
         assert p["flat", str(k)] == ("mann_whitney", 1.0)
     got = {r.feature: r for r in N.select_features(df, names).collect()}
     assert set(got) == {"flag", "level"} and got["flag"].test == "fisher" and got["level"].n_classes >= 2
+
+
+def test_ranks_of_a_value_that_is_computed_anew_each_time(spark):
+    import random
+
+    from pulsegrid.operators import windows as W
+
+    anew = F.udf(lambda k: k + random.random() / 2, "double").asNondeterministic()
+    got = W.avg_rank(spark.range(20).withColumn("v", anew("id")), "v", desc=False).collect()
+    assert sorted((r.id, r.rank) for r in got) == [(k, k + 1.0) for k in range(20)]
