@@ -108,7 +108,7 @@ def _second() -> Column:
 
 def _mass_quantile(q: float) -> Column:
     """Share of the series after which the absolute values seen reach the share q of their sum; NULL for a series of zeros."""
-    return F.min(F.when(_c("_mass") >= q, (_c("_t") + 1) / _c("_n")))
+    return F.min(F.when(_c("_mass") >= q - 1e-12, (_c("_t") + 1) / _c("_n")))  # a share that is q, summed in any order
 
 
 def _energy_ratio(num_segments: int, segment_focus: int) -> Column:

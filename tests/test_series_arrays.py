@@ -219,3 +219,9 @@ def test_efficient_covers_the_calculators(spark):
     assert first["value__fft_coefficient__coeff_20__attr_abs"] is None
     few = T.extract_features(spark.createDataFrame(rows, "id int, time int, value double"), {"fft_coefficient": [{"coeff": 1, "attr": a} for a in ("real", "imag", "abs")]}).where(F.col("id") == 1).first()
     assert list(few)[1:] == pytest.approx([f[1].real, f[1].imag, abs(f[1])])
+
+
+def test_mass_that_is_a_share_exactly_counts_as_reached(spark):
+    # 0.36 + 0.16 + 0.56 is 0.9 of 1.20, but 0.8999999999999999 in doubles
+    df = spark.createDataFrame([("a", t, v) for t, v in enumerate((0.36, 0.16, 0.56, 0.12))], "id string, time int, value double")
+    assert T.extract_features(df, {"index_mass_quantile": [{"q": 0.9}, {"q": 0.95}]}).first()[1:] == (0.75, 1.0)
