@@ -303,37 +303,49 @@ def extract_features(series: DataFrame, preset: str | dict = "curated") -> DataF
     return found.select("id", *[nan(feature_name(c, p)) if c in whole else F.col(feature_name(c, p)) for c, p in every])
 
 
+def _lag_pairs(upto: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(upto + 1) for j in range(i, upto + 1)]
+
+
+def _lag_sums(series: DataFrame, upto: int) -> DataFrame:
+    """(id, n, p: array of (i, j, si, sj, s) in the order of ``_lag_pairs``), one row a series: the sums of ``lag_products``."""
+    a = series.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("_s")).where(F.size("_s") > upto)
+    a = a.select("id", F.transform("_s", lambda s: s["value"].cast("double")).alias("v")).withColumn("n", F.size("v") - upto)
+    back = lambda k: F.slice("v", F.lit(upto + 1) - k, F.col("n"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    product = lambda p: total(F.zip_with(back(p["i"]), back(p["j"]), lambda x, y: x * y))
+    lags = F.transform(F.sequence(F.lit(0), F.lit(upto)), lambda k: total(back(k)))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _lag_pairs(upto)])
+    sums = F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), F.get("l", p["i"]).alias("si"), F.get("l", p["j"]).alias("sj"), product(p).alias("s")))
+    return a.withColumn("l", lags).select("id", F.col("n").cast("long").alias("n"), sums.alias("p"))
+
+
 def lag_products(series: DataFrame, upto: int) -> DataFrame:
     """(id, i, j, n, si, sj, s): over the points that have ``upto`` predecessors their number, and the sums of the values i and j
     points back (0 <= i <= j <= upto) and of their product. One exchange on id; the sums run over the series' array."""
-    a = series.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time", "value"))).alias("_s")).where(F.size("_s") > upto)
-    a = a.select("id", F.transform("_s", lambda s: s["value"].cast("double")).alias("v"))
-    pairs = [(i, j) for i in range(upto + 1) for j in range(i, upto + 1)]
-    p = a.select("id", "v", (F.size("v") - upto).alias("n"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])).alias("p")).select("id", "v", "n", "p.*")
-    back = lambda k: F.slice("v", F.lit(upto + 1) - F.col(k), F.col("n"))
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    return p.select("id", "i", "j", F.col("n").cast("long").alias("n"), total(back("i")).alias("si"), total(back("j")).alias("sj"), total(F.zip_with(back("i"), back("j"), lambda x, y: x * y)).alias("s"))
+    return _lag_sums(series, upto).select("id", "n", F.inline("p")).select("id", "i", "j", "n", "si", "sj", "s")
 
 
 def ar_model(series: DataFrame, k: int = 10) -> DataFrame:
     """(id, intercept, phi array of k): autoregressions with intercept from the lag products of each series.
 
-    Series need more than 2 k + 1 points; the normal equations of a series are solved in an Arrow batch.
+    Series need more than 2 k + 1 points; the normal equations of a series are solved in an Arrow batch, which holds plain
+    arrays of numbers.
     """
-    rows = lag_products(series, k).where(F.col("n") > k + 1).groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "j", "si", "sj", "s"))).alias("m"))
+    rows = _lag_sums(series, k).where(F.col("n") > k + 1)
+    rows = rows.select("id", "n", F.transform(F.slice("p", 1, k + 1), lambda r: r["sj"]).alias("sums"), F.transform("p", lambda r: r["s"]).alias("products"))
+    at = np.array(_lag_pairs(k)).T
 
     def run(parts):
         import pandas as pd
 
         for part in parts:
-            found = []
-            for n, m in zip(part["n"], part["m"], strict=True):
-                sums, products = np.zeros(k + 1), np.zeros((k + 1, k + 1))
-                for r in m:
-                    sums[r["i"]], sums[r["j"]] = r["si"], r["sj"]
-                    products[r["i"], r["j"]] = products[r["j"], r["i"]] = r["s"]
-                found.append(ar_from_products(n, sums, products))
-            yield pd.DataFrame({"id": part["id"], "intercept": [float(f[0]) for f in found], "phi": [list(map(float, f[1:])) for f in found]})
+            found = np.zeros((len(part), k + 1))
+            for row, (n, sums, products) in enumerate(zip(part["n"], part["sums"], part["products"], strict=True)):
+                square = np.zeros((k + 1, k + 1))
+                square[at[0], at[1]] = square[at[1], at[0]] = products
+                found[row] = ar_from_products(n, sums, square)
+            yield pd.DataFrame({"id": part["id"], "intercept": found[:, 0], "phi": list(found[:, 1:])})
 
     kind = series.schema["id"].dataType.simpleString()
     return rows.mapInPandas(run, f"id {kind}, intercept double, phi array<double>")

@@ -225,3 +225,13 @@ def test_mass_that_is_a_share_exactly_counts_as_reached(spark):
     # 0.36 + 0.16 + 0.56 is 0.9 of 1.20, but 0.8999999999999999 in doubles
     df = spark.createDataFrame([("a", t, v) for t, v in enumerate((0.36, 0.16, 0.56, 0.12))], "id string, time int, value double")
     assert T.extract_features(df, {"index_mass_quantile": [{"q": 0.9}, {"q": 0.95}]}).first()[1:] == (0.75, 1.0)
+
+
+def test_autoregression_hands_arrays_of_numbers_to_python(spark):
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(walk(40, 0.5))], "id string, time int, value double")
+    plan = T.ar_model(df, 3)._jdf.queryExecution().optimizedPlan()
+    sent = plan.children().head().schema().catalogString()
+    assert "array<struct" not in sent  # a struct a pair is a dict a pair in Python
+    assert plan.toString().count("Aggregate") == 1  # sums are not spread over rows and gathered again
+    phi = T.ar_model(df, 3).first()
+    assert [phi.intercept, *phi.phi] == pytest.approx(S.ar_coefficients(walk(40, 0.5), [{"coeff": c, "k": 3} for c in range(4)]))
