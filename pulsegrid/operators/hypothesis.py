@@ -202,19 +202,19 @@ def _mann_whitney(cells: DataFrame, label: str) -> DataFrame:
     n2 = n - n1
     spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.try_divide(F.col("r") - n1 * (n + 1) / 2, F.nullif(spread, F.lit(0.0)))
-    return groups.join(ties, "feature").select("feature", label, z.alias("z"))
+    return groups.join(F.broadcast(ties), "feature").select("feature", label, z.alias("z"))
 
 
 def binary_tables(cells: DataFrame, label: str = "label") -> DataFrame:
     """(feature, label, a, b, c, d) of features with exactly two values: rows of the class with the larger (a) and the smaller (b)
     value, and of the rest (c, d)."""
     ends = cells.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    sides = cells.join(ends, "feature")
+    sides = cells.join(F.broadcast(ends), "feature")  # one row a feature; dealt out by feature its values would meet in one task
     high, low, c = F.col("value") == F.col("hi"), F.col("value") == F.col("lo"), F.col("c")
     of = lambda test: F.sum(F.when(test, c).otherwise(0))
     whole = sides.where("lo < hi").groupBy("feature").agg(of(high).alias("_hi"), of(low).alias("_lo"), of(~(high | low)).alias("_between"))
     own = sides.groupBy("feature", label).agg(of(high).alias("a"), of(low).alias("b"))
-    met = own.join(whole.where("_between = 0"), "feature")
+    met = own.join(F.broadcast(whole.where("_between = 0")), "feature")
     return met.select("feature", label, "a", "b", (F.col("_hi") - F.col("a")).alias("c"), (F.col("_lo") - F.col("b")).alias("d"))
 
 
@@ -236,7 +236,7 @@ def relevance(df: DataFrame, features: list[str], label: str = "label") -> DataF
     cells = stored(value_counts(df, features, label), "value-counts")
     exact = fisher_exact(binary_tables(cells, label)).select("feature", label, F.lit("fisher").alias("test"), "p")
     real = p_values(_mann_whitney(cells, label), "normal", "z").select("feature", label, F.lit("mann_whitney").alias("test"), F.coalesce("p", F.lit(1.0)).alias("p"))
-    return exact.union(real.join(exact.select("feature").distinct(), "feature", "left_anti").select("feature", label, "test", "p"))
+    return exact.union(real.join(F.broadcast(exact.select("feature").distinct()), "feature", "left_anti").select("feature", label, "test", "p"))
 
 
 def select_features(df: DataFrame, features: list[str], label: str = "label", fdr: float = 0.05) -> DataFrame:

@@ -107,3 +107,16 @@ def test_ranks_of_a_value_that_is_computed_anew_each_time(spark):
     anew = F.udf(lambda k: k + random.random() / 2, "double").asNondeterministic()
     got = W.avg_rank(spark.range(20).withColumn("v", anew("id")), "v", desc=False).collect()
     assert sorted((r.id, r.rank) for r in got) == [(k, k + 1.0) for k in range(20)]
+
+
+def test_value_counts_are_not_dealt_out_by_feature(spark):
+    # without size estimates the planner would join by feature alone, so all values of one feature would meet in one task
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(f, "ab"[v % 2], float(v), 1) for f, n in (("two", 2), ("many", 50)) for v in range(n)]
+        tables = N.binary_tables(spark.createDataFrame(rows, "feature string, label string, value double, c long"))
+        assert "SortMergeJoin" not in tables._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in tables.collect()) == [("two", "a", 0, 1, 1, 0), ("two", "b", 1, 0, 0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
