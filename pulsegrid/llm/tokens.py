@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +42,21 @@ def load_tokenizer(tokenizer: str):
     return lib
 
 
-# fixed value: the split pattern of byte-level vocabularies, with its classes written out for Latin-1
-_LATIN = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d"
-    r"| ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+"
-    r"| ?[0-9\xb2\xb3\xb9\xbc-\xbe]+"
-    r"| ?[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
-    r"|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])"
-    r"|[\t-\r \x85\xa0]+"
-)
-#: Distinct pieces, and characters of them, that a worker process keeps encoded; beyond that it starts anew.
+#: A space before anything but white space (as wide as Python takes it): a word begins here under the byte-level split pattern.
+_CUT, _ODD, _SPACE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)"), re.compile(r"\s")
+#: Distinct words, and characters of them, that a worker process keeps encoded; beyond that it starts anew.
 KNOWN_PIECES, KNOWN_CHARS = 400_000, 20_000_000
+#: New words that are encoded as one text, a line each.
+LINES = 500
 
 
 class ByteLevelIds:
     """Ids as the tokenizers library gives them with ``add_special_tokens=False``; the library makes all of them.
 
-    A byte-level vocabulary encodes each pre-token on its own. Latin-1 texts without added tokens are therefore cut into
-    pre-tokens here and the library encodes each distinct one once; every other text it encodes as a whole. Tests hold
-    both against the library on whole texts.
+    The split pattern of byte-level vocabularies always cuts before a space that something other than white space follows,
+    and a vocabulary encodes what lies between cuts on its own. So texts without added tokens are cut there, and the library
+    encodes each distinct word, with its space, once. A word that holds no white space ends at a line break, which is an id of
+    its own: new ones are encoded as lines of one text. Tests hold the ids against the library on whole texts.
     """
 
     def __init__(self, tokenizer: str):
@@ -68,58 +65,58 @@ class ByteLevelIds:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.line = self._encode(["\n"])[0]
+        self.by_piece = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer") and len(self.line) == 1
         self._restart()
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _restart(self) -> None:
-        self.place, self.chars = _Places(), 0
-        self.sizes, self.starts, self.flat = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or any(a in text for a in self.added):
-            return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return None
-        return _LATIN.findall(text)
-
-    def _learn(self) -> None:
-        new = list(itertools.islice(self.place, len(self.sizes), None))
-        self.chars += sum(map(len, new))
-        found = [e.ids for e in self.lib.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))
+        self.place, self.chars = {}, 0
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, new: list[str]) -> None:
+        lines, others = [w for w in new if not _SPACE.search(w)], [w for w in new if _SPACE.search(w)]
+        found = self._encode([f" {'\n '.join(lines[at : at + LINES])}\n" for at in range(0, len(lines), LINES)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *found])
+        breaks = ids == self.line[0]
+        single = self._encode([f" {w}" for w in others])
+        sizes = np.concatenate([np.diff(np.flatnonzero(breaks), prepend=-1) - 1, np.fromiter(map(len, single), np.int64, len(single))])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids[~breaks], *single])
+        self.place.update(zip(lines + others, itertools.count(len(self.place))))
+        self.chars += sum(map(len, new))
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        kind = pa.list_(pa.large_string())
+        odd = [bool(_ODD.search(t)) for t in texts]
+        parts = [pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.large_string()), " ").cast(kind)]
+        parts.append(pa.array([_CUT.split(t) for t, o in zip(texts, odd, strict=True) if o], kind))
+        words = pa.concat_arrays(parts)
+        ends = words.offsets.to_numpy().astype(np.int64)
+        heads = self._encode(words.values.take(pa.array(ends[:-1])).to_pylist())  # what precedes the first cut has no space before it
+        rest = np.ones(len(words.values), bool)
+        rest[ends[:-1]] = False
+        coded = words.values.filter(pa.array(rest)).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn([w for w in distinct if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        sizes = self.sizes[at]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], sizes) + np.arange(upto[-1])]
+        cuts = upto[ends - np.arange(len(ends))]
+        found = [np.concatenate([head, ids[a:b]]) for head, a, b in zip(heads, cuts, cuts[1:], strict=False)]
+        plain, strange = iter(found[: len(parts[0])]), iter(found[len(parts[0]) :])
+        return [next(strange if o else plain) for o in odd]
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > KNOWN_PIECES or self.chars > KNOWN_CHARS:
             self._restart()
-        places: list[np.ndarray | None] = []
-        for text in texts:
-            pieces = self._pieces(text)
-            places.append(None if pieces is None else np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces)))
-        self._learn()
-        whole = iter(self.lib.encode_batch_fast([t for t, p in zip(texts, places, strict=True) if p is None], add_special_tokens=False))
-        out = []
-        for own in places:
-            if own is None:
-                out.append(np.array(next(whole).ids, np.uint32))
-                continue
-            sizes = self.sizes[own]
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(own) else 0)
-            out.append(self.flat[at].astype(np.uint32))
-        return out
-
-
-class _Places(dict):
-    """Numbers keys in the order of their first use."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+        whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
+        entire = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
+        cut = iter(self._by_words([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [next(entire if w else cut) for w in whole]
 
 
 @functools.lru_cache(maxsize=2)

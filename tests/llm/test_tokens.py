@@ -40,3 +40,21 @@ def test_ids_of_all_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
     texts = [r.text or "" for r in rows]
     assert [ids.tolist() for ids in encoder.many(texts)] == [e.ids for e in encoder.lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_the_library_reads_each_word_once_in_few_texts():
+    """Of any script: repeats and pieces one by one cost more than the ids themselves."""
+    encoder, read = T.ByteLevelIds(T.BYTE_BPE), []
+    lib = encoder.lib
+
+    class Recorded:
+        def encode_batch_fast(self, texts, **how):
+            read.extend(texts)
+            return lib.encode_batch_fast(texts, **how)
+
+    encoder.lib = Recorded()
+    words = [f"λόγος{n}," for n in range(1000)]
+    texts = ["word " + " ".join(words[k:] + words[:k]) for k in range(10)] + ["two  spaces \n and　more 　 λόγος0, "]
+    got = [ids.tolist() for ids in encoder.many(texts)]
+    assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert len(read) < 40 and sum(map(len, read)) < 3 * sum(map(len, words))
