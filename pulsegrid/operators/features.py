@@ -18,6 +18,7 @@ from pulsegrid.functions.columns import correlation
 from .series_arrays import (  # noqa: F401
     ARRAY_CALCULATORS,
     agg_autocorrelation,
+    array_features,
     ar_from_products,
     cwt_coefficient,
     cwt_peaks,
@@ -289,9 +290,11 @@ def extract_features(series: DataFrame, preset: str | dict = "curated") -> DataF
         import pandas as pd
 
         rows = np.full((len(values), len(names)), np.nan)
-        for k, v in enumerate(values):
-            x = np.asarray(v, float)
-            rows[k] = [np.nan if y is None else y for c, many in whole.items() for y in ARRAY_CALCULATORS[c](x, many)]
+        series = [np.asarray(v, float) for v in values]
+        sizes = np.array([len(x) for x in series])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            rows[at] = array_features(np.stack([series[k] for k in at]), whole)
         return pd.DataFrame(rows, columns=names)
 
     # series take time, not bytes: as many tasks as the session's exchanges have, where adaptive execution would merge them

@@ -235,3 +235,29 @@ def test_autoregression_hands_arrays_of_numbers_to_python(spark):
     assert plan.toString().count("Aggregate") == 1  # sums are not spread over rows and gathered again
     phi = T.ar_model(df, 3).first()
     assert [phi.intercept, *phi.phi] == pytest.approx(S.ar_coefficients(walk(40, 0.5), [{"coeff": c, "k": 3} for c in range(4)]))
+
+
+def test_series_of_one_length_are_taken_together(monkeypatch):
+    """A wave costs calls of numpy rather than points: many waves are few calls, and each has the values it has alone."""
+    xs, calls = np.vstack([RNG.normal(size=(150, 64)), RNG.integers(0, 3, (150, 64)), np.ones((1, 64))]), []
+    counted = lambda f: lambda x, settings: calls.append(len(x)) or f(x, settings)
+    chosen = {c: T.PRESETS["efficient"][c] for c in S.BATCHES}
+    monkeypatch.setattr(S, "BATCHES", {c: counted(f) for c, f in S.BATCHES.items()})
+    got = S.array_features(xs, chosen)
+    assert sum(calls) == len(xs) * len(chosen) and len(calls) <= len(chosen) * len(xs) / 50
+    for x, row in zip(xs, got, strict=True):
+        want = [np.nan if v is None else v for c, many in chosen.items() for v in S.ARRAY_CALCULATORS[c](x, many)]
+        assert row == pytest.approx(want, nan_ok=True)
+
+
+def test_change_quantiles_of_arrays_are_the_aggregates(spark):
+    rows = [(n, t, None if n > 5 and t % 7 == 3 or n == 9 else float(v)) for n in range(10) for t, v in enumerate(RNG.integers(0, 9 + n, (1, 2, 5, 30, 64)[n % 5]))]
+    df = spark.createDataFrame(rows, "id int, time int, value double").repartition(4)
+    many = T.MASS["change_quantiles"]
+    assert len(many) > T.MANY
+    together = {r.id: r for r in T.extract_features(df, {"change_quantiles": many}).collect()}
+    alone = {r.id: r for r in T.extract_features(df, {"change_quantiles": many[::4]}).collect()}
+    assert set(together) == set(alone) == set(range(10))
+    for k, r in alone.items():
+        for name in (T.feature_name("change_quantiles", p) for p in many[::4]):
+            assert together[k][name] == pytest.approx(r[name], abs=1e-12), (k, name)
