@@ -97,3 +97,32 @@ def test_equal_rows_are_trained_and_judged_once(spark, noisy):
     one = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=3, maxDepth=3, stepSize=0.5, featureSubsetStrategy="all", seed=42).fit(rows)
     tests = lambda model: [line for line in model.trees[0].toDebugString.split("\n") if "If" in line]
     assert tests(plain.models[1]) == tests(one)
+
+
+def test_rounds_of_patience_are_kept_for_a_learning_curve(spark, noisy):
+    short = L.train_boosted(noisy, ["x", "noise"], rounds=12, depth=4, eta=0.8, validation="held", patience=2)
+    m = L.train_boosted(noisy, ["x", "noise"], rounds=12, depth=4, eta=0.8, validation="held", patience=2, past_best=True)
+    curve = L.learning_curve(m, noisy, validation="held").where("rows = 'validation'")
+    for c, up, to in zip(m.classes, m.models, short.models, strict=True):
+        loss = [r.loss for r in curve.where(f"class = '{c}'").orderBy("round").collect()]
+        assert len(loss) == len(up.trees) == len(to.trees) + 2 and L.best_round(loss, 2) == (len(to.trees), True)
+    assert spark.sparkContext.getCheckpointDir()  # long runs are cut off every tenth round
+
+
+def test_learning_curve_query_trains_with_the_full_settings(spark, monkeypatch):
+    import inspect
+
+    from pulsegrid.plans import q_models
+
+    asked, train = {}, L.train_boosted
+
+    def briefly(df, features, **options):
+        asked.update(options)
+        return train(df, features, **{"rounds": 3, "depth": 2, "patience": 1} | options)
+
+    monkeypatch.setattr(L, "train_boosted", briefly)
+    curve = q_models.l7(spark, "/root/testdata/sf0.001")
+    assert not {"rounds", "depth", "eta", "subsample", "colsample", "patience"} & set(asked) and asked["validation"] == "held"
+    own = inspect.signature(train).parameters
+    assert (own["rounds"].default, own["depth"].default, own["eta"].default, own["patience"].default) == (500, 6, 0.1, 20)
+    assert {r.rows for r in curve.collect()} == {"train", "validation"}
